@@ -371,3 +371,24 @@ def test_scores_without_labels_or_text(spark, docs, none):
 ])
 def test_empty_tables(none, f):
     assert f(none).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    from tidemark.llm.common import components
+
+    rnd = random.Random(seed)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(500, 100 + i) for i in range(50)] + [(rnd.randrange(1000, 1200), rnd.randrange(1000, 1200)) for _ in range(90)] + [(7, None), (None, 8), (900, 900)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {x: root(x) for x in list(parent)}

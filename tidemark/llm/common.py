@@ -189,21 +189,33 @@ def runs(batches: Iterator[pa.RecordBatch], key: list[str], least: int) -> Itera
         yield pa.concat_tables(held).combine_chunks()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component): each node's least reachable node, for undirected edges (src, dst).
 
-    Each round takes the least label of a node's neighbours and then its label's label; each is written,
-    so that plans stay short. Nulls and loops are left out; without edges the result is empty.
+    Each round a node follows the one that a hash puts first among itself and its neighbours, and edges are rewritten
+    between those followed, which about halves them; every round is written, so that plans stay short. The rounds'
+    maps are then composed from the last one back. Nulls and loops are left out; without edges the result is empty.
     """
-    e = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst")
-    e = written(e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
-    label = written(e.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")), "labels")
-    for _ in range(rounds):
-        near = e.join(label.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        step = label.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        up = label.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = written(step.join(up, "component", "left").select("node", "old", F.least("component", F.coalesce("up", "component")).alias("component")), "labels")
-        label = new.select("node", "component")
-        if new.where("old <> component").isEmpty():
-            return label
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    e = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    e = written(e.distinct(), "edges")
+    maps: list[DataFrame] = []
+    while not e.isEmpty():
+        if len(maps) == rounds:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+        both = e.union(e.select("dst", "src"))
+        first = lambda c, r=len(maps): F.struct(F.xxhash64(c, F.lit(r)), F.col(c).alias("n"))
+        near = both.groupBy("src").agg(F.min(first("dst")).alias("k"))
+        to = written(near.select(F.col("src").alias("node"), F.least("k", first("src"))["n"].alias("to")), "follow")
+        maps.append(to)
+        a, b = to.select(F.col("node").alias("src"), F.col("to").alias("a")), to.select(F.col("node").alias("dst"), F.col("to").alias("b"))
+        e = e.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+        e = written(e.distinct(), "edges")
+    if not maps:
+        return e.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    whole = maps[-1]
+    for to in reversed(maps[:-1]):
+        up = whole.select(F.col("node").alias("to"), F.col("to").alias("up"))
+        whole = written(to.join(up, "to", "left").select("node", F.coalesce("up", "to").alias("to")), "follow")
+    # a root is in its own component, though it may not have followed itself in every round
+    least = written(whole.groupBy("to").agg(F.min("node").alias("component")), "components")
+    return written(whole.join(least, "to").select("node", "component"), "components")

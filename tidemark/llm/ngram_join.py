@@ -166,7 +166,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall
     texts = written(texts.select("words", "at.row", "at.bands", "copies"), "texts")
     band = texts.select("row", F.explode("bands").alias("band"))
     bucket = band.groupBy("band").agg(F.min("row").alias("least"), F.count("*").alias("m")).where("m > 1").select("band", "least")
-    near = components(band.join(bucket, "band").select(F.col("row").alias("src"), F.col("least").alias("dst")))
+    # a row points at the least of its buckets' documents, and so do they: a few edges for each row at most
+    least = band.join(written(bucket, "buckets"), "band").groupBy("row").agg(F.collect_set("least").alias("all")).select("row", "all", F.array_min("all").alias("dst"))
+    near = components(least.select(F.explode(F.array_union(F.array("row"), "all")).alias("src"), "dst").distinct())
     sizes = near.groupBy("component").agg(F.count("*").alias("m"))
     held = near.withColumnRenamed("node", "row").join(sizes, "component").join(texts.select("row", "bands", "copies"), "row")
     held = held.select("row", "component", F.ceil(F.col("m") / block).cast("int").alias("blocks"), "copies", "bands")
@@ -184,7 +186,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall
     out = sig.where("words IS NOT NULL").select("doc_id", "words").join(of_text, "words").select("doc_id", "group", "n_links", "n_copies")
     out = out.unionByName(sig.where("words IS NULL").select("doc_id", F.col("row").alias("group"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")))
     out = written(out, "grouped")
-    least = out.groupBy("group").agg(F.min("doc_id").alias("class_id"))
+    least = written(out.groupBy("group").agg(F.min("doc_id").alias("class_id")), "classes")
     return out.join(least, "group").select("doc_id", "class_id", "n_links", "n_copies")
 
 
