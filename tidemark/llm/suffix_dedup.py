@@ -236,7 +236,8 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, span: int = 400, most: int
     in a shuffle, with the same result.
     """
     anchors = written(docs.select("row", "text").mapInArrow(_anchor_rows(span), "row long, key long, ctx long, x long, dlo int, dhi int"), "anchors")
-    again = anchors.groupBy("key").agg(F.count("*").alias("all")).where("all > 1").select("key")
+    # written, so that the join below has an exchange on either side and a key with very many rows is split
+    again = written(anchors.groupBy("key").agg(F.count("*").alias("all")).where("all > 1").select("key"), "again")
     held = written(anchors.join(again, "key", "left_semi"), "held")
     contexts = held.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("row", "x", "dlo", "dhi")).alias("at"))
     contexts = written(contexts, "contexts")
