@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, tasks, written
-from tidemark.llm.tokens import Encoder
+from tidemark.llm.tokens import encoder
 
 Plan = list[tuple[dict[int, int], int]]  # (pieces of each length in a sequence, number of such sequences)
 
@@ -121,10 +121,10 @@ def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 5_000) -> Pla
 
 def _piece_rows(path: str, end: int, capacity: int):
     def run(batches):
-        encoder = Encoder(path)
-        for batch in slices(batches, "text"):
+        code = encoder(path)
+        for batch in slices(batches, "text", 1 << 20):
             own, piece, start, length, crc = ([] for _ in range(5))
-            for i, ids in enumerate(encoder.encode(batch.column(1).to_pylist(), end)):
+            for i, ids in enumerate(code.encode(batch.column(1).to_pylist(), end)):
                 n = len(ids) // 4
                 at, k = 0, 0
                 while at < n:  # the first piece takes what whole pieces leave over

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fresh_path, slices, tasks, written
-from tidemark.llm.tokens import Encoder
+from tidemark.llm.tokens import encoder
 
 BLOCK = 256
 HEAD, HEAD_SIZE = "<IHHB", 9
@@ -34,6 +34,26 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1].astype(np.int64)
 
 
+def _pack(v: np.ndarray, w: int) -> np.ndarray:
+    """The low w bits of each number end to end, a row of bytes for each row."""
+    size = 2 if w <= 16 else 4
+    raw = v.astype(f"<u{size}").view(np.uint8)
+    if w == 8 * size:
+        return raw
+    bits = np.unpackbits(raw.reshape(*v.shape, size), axis=2, bitorder="little")[:, :, :w]
+    return np.packbits(bits.reshape(len(v), -1), axis=1, bitorder="little")
+
+
+def _unpack(raw: np.ndarray, n: int, w: int) -> np.ndarray:
+    """n numbers of w bits from each row of bytes."""
+    size = 2 if w <= 16 else 4
+    if w < 8 * size:
+        bits = np.zeros((len(raw), n, 8 * size), np.uint8)
+        bits[:, :, :w] = np.unpackbits(raw, axis=1, bitorder="little", count=n * w).reshape(len(raw), n, w)
+        raw = np.packbits(bits.reshape(len(raw), -1), axis=1, bitorder="little")
+    return np.ascontiguousarray(raw).view(f"<u{size}").astype(np.uint32)
+
+
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """Blocks of 256 ids, the last one shorter."""
     whole = len(ids) // BLOCK
@@ -54,8 +74,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         for w in np.unique(width):
             on = np.flatnonzero(width == w)
             v = rest[on]
-            bits = ((v[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8).reshape(len(on), -1)
-            packed = np.packbits(bits, axis=1, bitorder="little")
+            packed = _pack(v, int(w))
             high = v >> np.uint32(w) if w < 32 else np.zeros_like(v)
             for k, b in enumerate(on):
                 exc = np.flatnonzero(high[k])
@@ -78,10 +97,7 @@ def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
         size = (n * w + 7) // 8
         place, body, low, exc = (np.array(c, np.int64) for c in zip(*blocks))
         if w:
-            bits = np.unpackbits(raw[body[:, None] + np.arange(size)], axis=1, bitorder="little")[:, : n * w].reshape(len(blocks), n, w)
-            v = np.zeros((len(blocks), n), np.uint32)
-            for k in range(w):
-                v |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
+            v = _unpack(raw[body[:, None] + np.arange(size)], n, w)
         else:
             v = np.zeros((len(blocks), n), np.uint32)
         for k in np.flatnonzero(exc):
@@ -104,7 +120,7 @@ def _write_files(folder: str, tokenizer: str, end: int):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder = Encoder(tokenizer)
+        code = encoder(tokenizer)
         store, base = file_system(folder)
         name = f"{base}/shard-{shard:08d}.pfr"
         draft = f"{base}/.draft-{shard:08d}-{TaskContext.get().taskAttemptId()}"
@@ -117,7 +133,7 @@ def _write_files(folder: str, tokenizer: str, end: int):
                 out = store.open_output_stream(draft)
                 out.write(MAGIC)
                 at = len(MAGIC)
-            coded = encoder.encode(batch.column(1).to_pylist(), end)
+            coded = code.encode(batch.column(1).to_pylist(), end)
             docs += [(i or 0, int(i is not None), len(c) // 4) for i, c in zip(batch.column(0).to_pylist(), coded)]
             held = np.concatenate((held, np.frombuffer(b"".join(coded), "<u4")))
             ready = len(held) // BLOCK * BLOCK

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
-import regex
+import numpy as np
 
-#: Fixed value: how the byte-level vocabularies split a text into pieces before merging.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: how the byte-level vocabularies split a text into pieces before merging, as it reads for Latin letters,
+#: their digits and common punctuation. Texts with any other character go to the library as they are.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+PIECES = rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+"
+PLAIN = r"[\t\n\r -~¡-±´-¸º»¿-ɏ‐-‧]*"
 
 
 class Encoder:
@@ -17,25 +21,63 @@ class Encoder:
     Merges never cross pieces, so each distinct piece is encoded once by the library and kept, up to `most` pieces.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(PIECES).findall
+        self.split, self.plain = re.compile(PIECES).findall, re.compile(PLAIN).fullmatch
         self.most, self.known = most, {}
+        size = self.tokenizer.get_vocab_size()
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Words with a space before them go to the library many in one text: where a token opens with a space, a word does."""
+        words, rest = [], []
+        for p in pieces:
+            (words if p[0] == " " and p[1:].isalpha() else rest).append(p)
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = np.array(list(chain.from_iterable(self._library(["".join(part[k : k + 64]) for k in range(0, len(part), 64)]))), np.uint32)
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(part):
+                rest += part
+                continue
+            raw, cuts = ids.astype("<u4").tobytes(), (starts * 4).tolist()
+            for p, i, j in zip(part, cuts, [*cuts[1:], len(raw)]):
+                self.known[p] = raw[i:j]
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for p, ids in zip(part, self._library(part)):
+                self.known[p] = b"".join(i.to_bytes(4, "little") for i in ids)
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """ids of each text and the end id; a null counts as empty."""
         tail = end.to_bytes(4, "little")
-        pieces = [self.split(t) if t else [] for t in texts]
+        pieces = [self.split(t) if t and self.plain(t) else None for t in texts]
         if len(self.known) > self.most:
             self.known = {}
-        new = list(set(chain.from_iterable(pieces)).difference(self.known))
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[piece] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+        self._learn(list(set(chain.from_iterable(filter(None, pieces))).difference(self.known)))
         get = self.known.__getitem__
-        return [b"".join(map(get, p)) + tail for p in pieces]
+        out = []
+        for t, p in zip(texts, pieces):
+            if p is None:
+                p = np.array(self._library([t])[0], "<u4").tobytes() if t else b""
+                out.append(p + tail)
+            else:
+                out.append(b"".join(map(get, p)) + tail)
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process and vocabulary."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
