@@ -44,7 +44,7 @@ def row_key(*cols) -> F.Column:
     return F.xxhash64(*cols)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in runs of about `most` bytes of `column`, at least one row each."""
     for batch in batches:
         n = batch.num_rows

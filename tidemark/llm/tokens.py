@@ -21,7 +21,7 @@ class Encoder:
     Merges never cross pieces, so each distinct piece is encoded once by the library and kept, up to `most` pieces.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -20,7 +20,7 @@ LANE = 4096
 def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """(conv_id, call_id, position, problems): how many arguments are unknown, of a wrong type or missing; null: not JSON.
 
-    schemas: name, argument, kind (a key of KINDS), required. A call whose name has no schema has only unknown arguments.
+    schemas: name, argument, kind (a key of KINDS), required. A call whose name has no schema has one problem at least.
     """
     spark = calls.sparkSession
     key = ["conv_id", "call_id", "position"]
@@ -30,14 +30,14 @@ def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     rules = schemas.select(F.col("name").alias("rule_name"), F.col("argument").alias("rule_argument"), "required", F.concat(F.lit("^("), pattern[F.col("kind")], F.lit(")$")).alias("fits"))
     met = given.join(rules, (F.col("name") == F.col("rule_name")) & (F.col("argument") == F.col("rule_argument")), "left")
     bad = F.when(F.col("rule_name").isNull(), 1).when(F.regexp_like("is", F.col("fits")), 0).otherwise(1)
-    need = schemas.where("required").groupBy("name").agg(F.count("*").alias("needed"))
+    need = schemas.groupBy("name").agg(F.count_if("required").alias("needed"))
     seen = met.groupBy(*key).agg(F.sum(bad).alias("bad"), F.sum(F.when(F.col("required"), 1).otherwise(0)).alias("found"))
     seen = seen.select(*[F.col(k).alias(f"seen_{k}") for k in key], "bad", "found")
     same = F.lit(True)
     for k in key:
         same = same & F.col(k).eqNullSafe(F.col(f"seen_{k}"))
     out = parsed.join(need, "name", "left").join(seen, same, "left")
-    problems = F.coalesce("bad", F.lit(0)) + F.coalesce("needed", F.lit(0)) - F.coalesce("found", F.lit(0))
+    problems = F.coalesce("bad", F.lit(0)) + F.coalesce("needed", F.lit(1)) - F.coalesce("found", F.lit(0))
     return out.select(*key, F.when(F.col("args").isNotNull(), problems).alias("problems")).dropDuplicates(key)
 
 
@@ -47,7 +47,7 @@ def ordered(calls: DataFrame, rounds: int = 1000) -> DataFrame:
     calls: conv_id, call_id, position, after (array of call ids of the same conversation). A call's key is the latest
     position among itself and what it needs, and the number of steps past the call at that position. Keys are
     relaxed until they hold, which a log in order does at once. A call that steps past more calls than its
-    conversation has needs itself: it is cyclic and stays where it stands. `missing` counts needs that no call meets.
+    conversation has needs itself; it and all that need it are cyclic and stand where the relaxation left them. `missing` counts needs that no call meets.
     """
     one = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min("position").alias("position"))
     size = one.groupBy("conv_id").agg(F.count("*").alias("calls"))
@@ -58,14 +58,18 @@ def ordered(calls: DataFrame, rounds: int = 1000) -> DataFrame:
     keys = written(keys, "call-keys")
     needs = written(needs, "call-needs")
     for _ in range(rounds):
-        of = keys.where("NOT cyclic").select("conv_id", F.col("call_id").alias("need"), F.struct("late", (F.col("hops") + 1).alias("hops")).alias("k"))
+        of = keys.select("conv_id", F.col("call_id").alias("need"), F.struct("cyclic", "late", (F.col("hops") + 1).alias("hops")).alias("k"))
         least = needs.join(of, ["conv_id", "need"]).groupBy("conv_id", "call_id").agg(F.max("k").alias("k"))
-        late = least.join(keys.where("NOT cyclic"), ["conv_id", "call_id"]).where("k.late > late OR (k.late = late AND k.hops > hops)").select("conv_id", "call_id", "k")
-        late = written(late, "call-late")
+        late = least.join(keys.where("NOT cyclic"), ["conv_id", "call_id"]).where("k.cyclic OR k.late > late OR (k.late = late AND k.hops > hops)")
+        late = written(late.select("conv_id", "call_id", "k"), "call-late")
         if late.isEmpty():
             break
         k = F.col("k")
-        keys = keys.join(late, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "calls", "missing", F.coalesce(k["late"], "late").alias("late"), F.coalesce(k["hops"], "hops").alias("hops"), (F.col("cyclic") | (F.coalesce(k["hops"], F.lit(0)) > F.col("calls"))).alias("cyclic"))
+        moved = F.coalesce(~k["cyclic"], F.lit(False))
+        keys = keys.join(late, ["conv_id", "call_id"], "left").select(
+            "conv_id", "call_id", "calls", "missing", F.when(moved, k["late"]).otherwise(F.col("late")).alias("late"), F.when(moved, k["hops"]).otherwise(F.col("hops")).alias("hops"),
+            (F.col("cyclic") | F.coalesce(k["cyclic"] | (k["hops"] > F.col("calls")), F.lit(False))).alias("cyclic"),
+        )
         keys = written(keys, "call-keys")
     return keys.drop("calls")
 

@@ -131,8 +131,8 @@ class Features:
         if len(self.known) > self.most:
             self.known = {}
         new = list(set(chain.from_iterable(docs)).difference(self.known))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        for at in range(0, len(new), 4_000):
+            part = new[at : at + 4_000]
             self.known.update(dict.fromkeys(part))
             for i, v in zip(*self.marks.values(part)):
                 self.known[part[i]] = v
@@ -203,7 +203,7 @@ def logistic_link(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def _feature_rows(landmarks: list[str]):
     def run(batches):
         of = Features(landmarks).of
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text"):
             sums = of(batch.column(1).to_pylist())
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, sums.shape[1]), pa.int32()), pa.array(sums.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["toxic", "sums"])
@@ -261,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, landmarks
 def _score_rows(model: Model):
     def run(batches):
         features = Features(model.landmarks) if model.landmarks else None
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text"):
             texts = batch.column(1)
             s = model.scores(features.of(texts.to_pylist())) if features else model.scores(np.zeros((batch.num_rows, 1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], ["doc_id", "score"])
@@ -283,7 +283,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def _keep_rows(model: Model):
     def run(batches):
         features = Features(model.landmarks) if model.landmarks else None
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text"):
             texts = batch.column(batch.schema.names.index("text"))
             s = model.scores(features.of(texts.to_pylist())) if features else np.zeros(batch.num_rows)
             yield batch.filter(pa.array(s < 0.5))

@@ -86,22 +86,34 @@ def _write_archives(folder: str):
     return run
 
 
+def members(data: bytes):
+    """What each gzip member of an archive holds; input is fed in small steps, so no rest is copied."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, parts, step = zlib.decompressobj(31), [], 4096
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member is cut short")
+            fed = view[at : at + step]
+            parts.append(z.decompress(fed))
+            at += len(fed) - len(z.unused_data)
+            step = min(step * 2, 1 << 20)
+        yield b"".join(parts)
+
+
 def split_records(data: bytes):
     """(fields, block) of each record of an archive, gzipped member by member or plain."""
     if data[:2] == b"\x1f\x8b":
-        while data:
-            z = zlib.decompressobj(31)
-            yield from split_records(z.decompress(data) + z.flush())
-            data = z.unused_data
+        for member in members(data):
+            yield from split_records(member)
         return
     at = 0
     while at < len(data):
         if data[at : at + 5] != b"WARC/":
             raise ValueError("not a WARC record")
         end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         fields: dict[str, str] = {}
-        for line in lines:
+        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
             k, _, v = line.partition(":")
             fields.setdefault(k.strip().lower(), v.strip())
         size = int(fields["content-length"])
