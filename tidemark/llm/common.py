@@ -22,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 500 rows and 8 MB at most, where the session still has the default of 10000 rows.
+
+    Texts are long: two tasks' batches of 10000 of them would take a good part of an executor's memory.
+    """
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(rows, "10000") == "10000":
+        spark.conf.set(rows, "500")
+        spark.conf.set(size, "8m")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -29,6 +40,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, so that a lost executor costs one read."""
     spark = df.sparkSession
+    small_batches(spark)
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -36,6 +48,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def tasks(df: DataFrame) -> int:
     """Shuffle partitions for explicit deals; follows the session, which follows the input."""
+    small_batches(df.sparkSession)
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 

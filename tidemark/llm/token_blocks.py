@@ -120,7 +120,7 @@ def _write_files(folder: str, tokenizer: str, end: int):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        code = encoder(tokenizer)
+        code = encoder(tokenizer, 1_000_000)
         store, base = file_system(folder)
         name = f"{base}/shard-{shard:08d}.pfr"
         draft = f"{base}/.draft-{shard:08d}-{TaskContext.get().taskAttemptId()}"
@@ -170,10 +170,10 @@ def _read_files(batches):
             crc, doc, need = np.zeros(n_docs, np.int64), 0, np.zeros(0, np.uint32)
             sums: list[int] = []
             for b in range(0, n_blocks, 4096):  # a million ids at a time, whatever the file's size
-                need = np.concatenate((need, decode_blocks(data, starts[b : b + 4096])))
+                need = np.concatenate((need, decode_blocks(data, starts[b : b + 4096]))).astype("<u4", copy=False)
                 at = 0
                 while doc < n_docs and at + n[doc] <= len(need):
-                    sums.append(zlib.crc32(need[at : at + n[doc]].astype("<u4").tobytes()))
+                    sums.append(zlib.crc32(need[at : at + n[doc]]))
                     at, doc = at + int(n[doc]), doc + 1
                 need = need[at:]
             crc[:] = sums

@@ -21,7 +21,7 @@ class Encoder:
     Merges never cross pieces, so each distinct piece is encoded once by the library and kept, up to `most` pieces.
     """
 
-    def __init__(self, path: str, most: int = 450_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -37,9 +37,8 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Words with a space before them go to the library many in one text: where a token opens with a space, a word does."""
-        words, rest = [], []
-        for p in pieces:
-            (words if p[0] == " " and p[1:].isalpha() else rest).append(p)
+        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        rest = list(set(pieces).difference(words)) if len(words) < len(pieces) else []
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             ids = np.array(list(chain.from_iterable(self._library(["".join(part[k : k + 64]) for k in range(0, len(part), 64)]))), np.uint32)
@@ -48,8 +47,7 @@ class Encoder:
                 rest += part
                 continue
             raw, cuts = ids.astype("<u4").tobytes(), (starts * 4).tolist()
-            for p, i, j in zip(part, cuts, [*cuts[1:], len(raw)]):
-                self.known[p] = raw[i:j]
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))))
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
             for p, ids in zip(part, self._library(part)):
@@ -73,11 +71,11 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = 600_000) -> Encoder:
     """One encoder per worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, most) not in _ENCODERS:
+        _ENCODERS[path, most] = Encoder(path, most)
+    return _ENCODERS[path, most]
