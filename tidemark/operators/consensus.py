@@ -45,3 +45,22 @@ def modal(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
     n = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("n"))
     best = n.groupBy(*key).agg(F.max(F.struct("n", (-F.col(value)).alias("_v"))).alias("b"))
     return best.select(*key, (-F.col("b._v")).alias("mode_value"), F.col("b.n").alias("n"))
+
+
+def paired_consensus(df: DataFrame, key: Sequence[str], source: str, side: str, sides: tuple[str, str], price: str) -> DataFrame:
+    """Per key: median fair probability of the first side, its population deviation, median hold and sources that quote both sides.
+
+    A source's greatest price per side counts; sources with one side or a price of zero or less are left out.
+    """
+    one, two = F.col(sides[0]), F.col(sides[1])
+    both = df.groupBy(*key, source).pivot(side, list(sides)).agg(F.max(price)).where((one > 0) & (two > 0))
+    both = both.select(*key, (one / (one + two)).alias("p"), (one + two).alias("h"))
+    return both.groupBy(*key).agg(F.median("p").alias("fair_probability"), F.stddev_pop("p").alias("dispersion"), F.median("h").alias("hold"), F.count("*").alias("sources"))
+
+
+def compared(old: DataFrame, new: DataFrame, key: Sequence[str], value: str) -> DataFrame:
+    """Both results side by side: key, old, new, change and where the key is found (both, old_only, new_only)."""
+    a, b = old.select(*key, F.col(value).alias("old"), F.lit(1).alias("_a")), new.select(*key, F.col(value).alias("new"), F.lit(1).alias("_b"))
+    j = a.join(b, list(key), "full_outer")
+    found = F.when(F.col("_b").isNull(), "old_only").when(F.col("_a").isNull(), "new_only").otherwise("both")
+    return j.select(*key, "old", "new", (F.col("new") - F.col("old")).alias("change"), found.alias("found"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import log_loss
+from tidemark.operators.ranks import running_totals
 
 
 def metrics(df: DataFrame, p: str, y: str, segment: str) -> DataFrame:
@@ -21,9 +24,34 @@ def ece(df: DataFrame, p: str, y: str, bins: int) -> DataFrame:
     return b.agg(F.sum("n").alias("n"), F.count("*").alias("bins"), (F.sum(F.col("n") * F.abs(F.col("p") - F.col("y"))) / F.sum("n")).alias("ece"))
 
 
+def equal_mass_ece(df: DataFrame, p: str, y: str, row_id: str) -> DataFrame:
+    """n, bins and expected calibration error over bins of equal mass; null under 36 rows.
+
+    A bin holds 12 rows or more and there are 3 to 10 of them; the first bins take the rows left over. Rows are ranked by
+    p, then by id, through the counts of distinct values of p.
+    """
+    rows = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(p, y, row_id)
+    below = running_totals(rows.groupBy(p).agg(F.count("*").alias("n")), p, ["n"]).select(p, "below_n")
+    total = rows.agg(F.count("*").alias("_n")).withColumn("_k", F.greatest(F.lit(3), F.least(F.lit(10), F.floor(F.col("_n") / 12))))
+    r = rows.join(below, p).join(F.broadcast(total)).withColumn("_r", F.col("below_n") + F.row_number().over(Window.partitionBy(p).orderBy(row_id)) - 1)  # total is one row
+    size, more = F.floor(F.col("_n") / F.col("_k")), F.col("_n") % F.col("_k")
+    long = more * (size + 1)
+    bin_ = F.when(F.col("_r") < long, F.floor(F.col("_r") / (size + 1))).otherwise(more + F.floor((F.col("_r") - long) / size))
+    b = r.groupBy(bin_.alias("_bin"), "_n").agg(F.count("*").alias("c"), F.abs(F.avg(p) - F.avg(y)).alias("gap"))
+    return b.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("n"), F.count("*").alias("bins"), F.when(F.max("_n") >= 36, F.sum(F.col("c") * F.col("gap")) / F.max("_n")).alias("ece"))
+
+
+def trailing_ece(df: DataFrame, key: Sequence[str], order: Sequence[str], p: str, y: str, length: int = 64, bins: int = 10) -> DataFrame:
+    """Adds trailing_ece: the calibration error of the last `length` rows of a key, null until there are that many."""
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(-(length - 1), 0)
+    row = F.struct(F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).alias("b"), (F.col(p) - F.col(y)).cast("double").alias("d"))
+    out = df.withColumn("_rows", F.collect_list(row).over(w))
+    gaps = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.abs(F.aggregate(F.col("_rows"), F.lit(0.0), lambda s, r: s + F.when(r["b"] == b, r["d"]).otherwise(0.0))))
+    return out.withColumn("trailing_ece", F.when(F.size("_rows") == length, F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / length)).drop("_rows")
+
+
 def auc(df: DataFrame, score: str, y: str) -> DataFrame:
-    """Mann-Whitney AUC with ties averaged. Rows are summed by score first, so ranks run over distinct scores."""
-    s = df.groupBy(score).agg(F.count_if(F.col(y) == 1).alias("up"), F.count_if(F.col(y) == 0).alias("down"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)  # one row per distinct score
-    s = s.withColumn("below", F.coalesce(F.sum("down").over(w), F.lit(0)))
-    return s.agg(F.sum("up").alias("ups"), F.sum("down").alias("downs"), F.try_divide(F.sum(F.col("up") * (F.col("below") + F.col("down") / 2)), F.sum("up") * F.sum("down")).alias("auc"))
+    """Mann-Whitney AUC with ties averaged, from counts of distinct scores; null scores are left out."""
+    s = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(y) == 1).alias("up"), F.count_if(F.col(y) == 0).alias("down"))
+    s = running_totals(s, score, ["down"])
+    return s.agg(F.sum("up").alias("ups"), F.sum("down").alias("downs"), F.try_divide(F.sum(F.col("up") * (F.col("below_down") + F.col("down") / 2)), F.sum("up") * F.sum("down")).alias("auc"))

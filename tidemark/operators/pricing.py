@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.prices import offered_decimal, three_regions
 from tidemark.functions.scalars import normal_cdf
 
 
@@ -26,3 +27,29 @@ def margin_grid(df: DataFrame, key: list[str], mean: str, sd: float, low: int, h
 def decision(edge: Column, fresh: Column, least_edge: float) -> Column:
     """ABSTAIN without an edge or fresh prices, BET from `least_edge` on, else NO_BET."""
     return F.when(edge.isNull() | ~F.coalesce(fresh, F.lit(False)), "ABSTAIN").when(edge >= least_edge, "BET").otherwise("NO_BET")
+
+
+def ladder(df: DataFrame, key: list[str], mean: str, line: str, sd: float, steps: int = 14, step: float = 1.0, hold: float = 0.045) -> DataFrame:
+    """Rungs around a line: rung, win, push, loss and the price offered under a hold (null where a win is rarer than 1%)."""
+    g = df.select(*key, F.col(mean).alias("_m"), F.col(line).alias("_l"), F.explode(F.sequence(F.lit(-steps), F.lit(steps))).alias("_k"))
+    g = g.select(*key, "_m", (F.col("_l") + F.col("_k") * step).alias("rung"))
+    win, push, loss = three_regions(F.col("_m") + F.col("rung"), sd, F.col("rung"))
+    g = g.withColumns({"win": win, "push": push, "loss": loss})
+    return g.withColumn("offered", F.when(F.col("win") > 0.01, offered_decimal(F.col("win"), F.col("loss"), hold))).drop("_m")
+
+
+def covers(grid: DataFrame, key: list[str], margin: str, p: str, line: Column) -> DataFrame:
+    """cover, push and fail of a line from margin probabilities, normalised."""
+    edge = F.col(margin) + line
+    s = grid.groupBy(*key).agg(*[F.sum(F.when(c, F.col(p)).otherwise(0.0)).alias(n) for n, c in (("cover", edge > 0), ("push", edge == 0), ("fail", edge < 0))])
+    total = F.col("cover") + F.col("push") + F.col("fail")
+    return s.select(*key, *[F.try_divide(F.col(c), total).alias(c) for c in ("cover", "push", "fail")])
+
+
+def shrunk_grid(df: DataFrame, bucket: str, margin: str, sd: float, low: int, high: int, strength: float = 200.0) -> DataFrame:
+    """Per bucket and whole margin: the share of rows, shrunk n / (n + strength) towards a centred normal curve."""
+    h = df.where(F.col(margin).between(low, high)).groupBy(bucket, margin).agg(F.count("*").alias("_k"))
+    n = h.groupBy(bucket).agg(F.sum("_k").alias("n"))
+    g = margin_grid(n.withColumn("_zero", F.lit(0.0)), [bucket, "n"], "_zero", sd, low, high).withColumnRenamed("p", "_curve")
+    j = g.join(h.withColumnRenamed(margin, "margin"), [bucket, "margin"], "left")
+    return j.select(bucket, "margin", ((F.coalesce("_k", F.lit(0)) + strength * F.col("_curve")) / (F.col("n") + strength)).alias("p"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,37 @@ def mixture(df: DataFrame, key: Sequence[str], weight: str, mean: str, sd: str)
     )
     mu = F.col("m") / F.col("s")
     return t.select(*key, "parts", mu.alias("mixture_mean"), F.greatest(F.lit(0.0), F.col("q") / F.col("s") - mu * mu).alias("mixture_variance"), (F.log("s") - F.col("h") / F.col("s")).alias("entropy"))
+
+
+def aged(df: DataFrame, entity: str, value: str, amount: str, age: str, half_life: float, bucket: Column, strength: float) -> DataFrame:
+    """Entity means weighted by amount and age, shrunk towards the mean of the entity's bucket: prior_mean, weight, bucket_variance.
+
+    A weight is amount * 0.5 ** (age / half_life); rows with nulls count for nothing. `bucket` is an expression over the entity.
+    """
+    w = F.col(amount) * F.pow(F.lit(0.5), F.col(age) / half_life)
+    e = df.dropna(subset=[entity, value, amount, age]).groupBy(entity).agg(F.sum(w).alias("weight"), F.sum(w * F.col(value)).alias("_s"))
+    e = e.where("weight > 0").withColumn("_m", F.col("_s") / F.col("weight")).withColumn("bucket", bucket)
+    b = e.groupBy("bucket").agg((F.sum("_s") / F.sum("weight")).alias("_mu"), F.sum("weight").alias("_w"), F.sum(F.col("weight") * F.col("_m") ** 2).alias("_q"))
+    share = F.col("weight") / (F.col("weight") + strength)
+    j = e.join(b, "bucket")
+    return j.select(entity, "bucket", "weight", (share * F.col("_m") + (1 - share) * F.col("_mu")).alias("prior_mean"), F.greatest(F.lit(0.0), F.col("_q") / F.col("_w") - F.col("_mu") ** 2).alias("bucket_variance"))
+
+
+def push_rates(history: DataFrame, line: str, push: str, strength: float = 50.0, smoothing: float = 0.5, most: float = 0.25) -> DataFrame:
+    """(line, n, rate) for whole lines: the share of pushes, pooled towards that of all whole lines. Other lines can't push."""
+    h = history.where(F.col(line).isNotNull() & F.col(push).isNotNull() & (F.abs(F.col(line) - F.round(line)) <= 1e-9))
+    by = h.groupBy(F.round(line).alias(line)).agg(F.count("*").alias("n"), F.sum(push).alias("_k"))
+    whole = by.agg(((F.sum("_k") + smoothing) / (F.sum("n") + 2 * smoothing)).alias("_g"))
+    return by.join(F.broadcast(whole)).select(line, "n", F.least(F.lit(most), (F.col("_k") + strength * F.col("_g")) / (F.col("n") + strength)).alias("rate"))  # one row
+
+
+def overridden(generated: DataFrame, overrides: DataFrame, group: str, member: str, p: str) -> DataFrame:
+    """Shares with overrides: (group, member, p, origin). A group's overrides stand as given, what is left of 1 goes to its
+    other members by their own shares; groups without overrides stay. Overrides over 1 in a group fail the query."""
+    o = overrides.select(group, member, F.col(p).cast("double").alias(p), F.lit("override").alias("origin"))
+    sums = o.groupBy(group).agg(F.sum(p).alias("_o"))
+    sums = sums.withColumn("_o", F.when(F.col("_o") > 1 + 1e-9, F.raise_error(F.lit("overrides of a group exceed 1")).cast("double")).otherwise(F.col("_o")))
+    rest = generated.select(group, member, F.coalesce(F.col(p).cast("double"), F.lit(0.0)).alias("_p")).join(o.select(group, member), [group, member], "left_anti").join(sums, group, "left")
+    share = F.coalesce(F.try_divide(F.col("_p"), F.sum("_p").over(Window.partitionBy(group))), F.lit(0.0))
+    left = rest.select(group, member, F.when(F.col("_o").isNull(), F.col("_p")).otherwise(share * F.greatest(F.lit(0.0), 1 - F.col("_o"))).alias(p), F.lit("generated").alias("origin"))
+    return left.unionByName(o.join(sums, group).select(group, member, F.when(F.col("_o").isNotNull(), F.col(p)).alias(p), "origin"))

@@ -2,38 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import consensus, evaluation, joins, models, pricing, priors, windows
+from tidemark.plans import markets  # noqa: F401  its queries register themselves
+from tidemark.plans.registry import ORACLE_SQL, QUERIES, query, r6, read
 from tidemark.sources import tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
 FLAGSHIP = "pregame_roll"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def r6(c):
-    return F.round(c, 6)
-
-
 def orders(spark, sf):
     """Customers' orders as dated sequences; money in whole cents keeps sums exact."""
     o = read(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))

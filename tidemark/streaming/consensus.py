@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,3 +24,18 @@ def drain(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
     q = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """What a stream's query gives for the files there are now, as a Parquet table in the folder that the cluster shares.
+
+    Each batch writes the whole result of its own number; the last one counts, so a batch that runs again changes nothing.
+    """
+    spark = stream.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
+    path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    q = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    q = q.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out/{n}")).start()
+    q.awaitTermination()
+    last = q.lastProgress
+    return spark.read.parquet(f"{path}/out/{last['batchId']}") if last else spark.createDataFrame([], stream.schema)
