@@ -65,10 +65,11 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         low = part.min(1)
         rest = part - low[:, None]
         n = part.shape[1]
-        ranked = np.sort(_bits(rest), 1)
+        ranked = np.sort(rest, 1)
         places = np.ceil(np.array(PERCENTILES) / 100 * n).astype(int) - 1
-        widths = ranked[:, places]
-        cost = np.stack([n * w + 40 * (ranked > w[:, None]).sum(1) for w in widths.T], 1)
+        widths = _bits(ranked[:, places])
+        past = (1 << widths.clip(max=32)) - 1
+        cost = np.stack([n * w + 40 * (ranked[:, PERCENTILES[0] * n // 100 :] > m[:, None].astype(np.uint32)).sum(1) for w, m in zip(widths.T, past.T)], 1)
         width = widths[np.arange(len(part)), cost.argmin(1)]
         blocks: list = [b""] * len(part)
         for w in np.unique(width):
