@@ -1,7 +1,7 @@
 """Licence recognition by sentence rules, with DataFrame functions only.
 
-Texts are cut into sentences in place; each is normalised and looked up among known licence sentences, and the
-sequence of identifiers is matched against ordered rules. Nothing is exploded or shuffled.
+Each text becomes a line of words in which line and sentence ends are marked; known licence sentences are found between
+the marks, and the sequence of identifiers is matched against ordered rules. Nothing is exploded or shuffled.
 """
 
 from __future__ import annotations
@@ -46,26 +46,75 @@ RULES = {
     "Public-Domain": [["public-domain"]],
 }
 
+#: Whole sentences of genuine notices, as they go on where SENTENCES stops or words them otherwise. "*"
+#: stands for 1 to 20 words (a holder's name). The SQL of the query knows SENTENCES and RULES only.
+WORDINGS = {
+    "apache-copy": ["you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at https www apache org licenses license 2 0"],
+    "mit-grant": [SENTENCES["mit-grant"] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
+    "mit-notice": ["the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"],
+    "as-is": [SENTENCES["as-is"] + " express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
+    "bsd-as-is": ["this software is provided by * as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"],
+    "bsd-name": [
+        "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "neither the name of * nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "the name of * may not be used to endorse or promote products derived from this software without specific prior written permission",
+    ],
+    "gpl-free": [SENTENCES["gpl-free"] + v for v in (" either version 3 of the license or at your option any later version", " version 3 of the license", " version 3")],
+    "gpl2-free": [
+        *[SENTENCES["gpl-free"] + v for v in (" either version 2 of the license or at your option any later version", " version 2 of the license", " version 2")],
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    ],
+    "gpl-warranty": [SENTENCES["gpl-warranty"] + " without even the implied warranty of merchantability or fitness for a particular purpose"],
+}
+#: More ways to show a licence, by the identifiers that only WORDINGS has.
+WORDING_RULES = {
+    "GPL-2.0": [["gpl2-free", "gpl-warranty"]],
+    "BSD-2-Clause": [["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-as-is"]],
+}
+#: Marks of ends: a sentence must stop at HARD; at SOFT (a line end, the point of "v.") it may stop or go on.
+HARD, SOFT = "\x01", "\x02"
+
+
+def marked(text: Column) -> Column:
+    """Lower-case words of letters and digits with one space, SOFT or HARD between them, HARD at both ends."""
+    t = F.translate(F.lower(text), HARD + SOFT, "  ")
+    for pattern, to in (
+        (r"(?<!\bv)[.!?]\s+", HARD), (r"[.!?]\s+|\n", SOFT), (f"[^a-z0-9{HARD}{SOFT}]+", " "),
+        (f" ?{SOFT} ?{SOFT}[ {SOFT}]*", HARD),  # a line without words
+        (f" ?{HARD}[ {HARD}{SOFT}]*", HARD), (f" ?{SOFT} ?", SOFT),
+    ):
+        t = F.regexp_replace(t, pattern, to)
+    return F.concat(F.lit(HARD), F.trim(t), F.lit(HARD))
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
+def _pattern(sentence: str) -> str:
+    gap = f"(?:[a-z0-9]+[ {SOFT}]){{1,20}}?"
+    return f"[ {SOFT}]".join(sentence.split(" ")).replace(f"*[ {SOFT}]", gap)
 
-def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: dict[str, list[list[str]]] = RULES) -> DataFrame:
+
+def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: dict[str, list[list[str]]] = RULES, wordings: dict[str, list[str]] = WORDINGS, wording_rules: dict[str, list[list[str]]] = WORDING_RULES) -> DataFrame:
     """One row per document: doc_id, n_known, sentence_ids, licences (both joined by commas, "" if there are none).
 
-    docs: doc_id, text; other columns are ignored, whatever their names. Sentences end at . ! or ? before white space and
-    at line ends. Between the known sentences of a rule no other known sentence may stand, unknown ones may. Licences
-    come in alphabetical order. A null or empty text has none; rows that repeat give rows that repeat; an empty table
-    gives an empty result.
+    docs: doc_id, text; other columns are ignored, whatever their names. A known sentence starts and ends where a line
+    or a sentence does: at . ! or ? before white space, or at a line end. It may run over line ends and past "v." but not
+    over a line without words; of sentences with one start the longest counts. Between the known sentences of a rule no
+    other known sentence may stand, unknown ones may. Licences come in alphabetical order. A null or empty text has
+    none; rows that repeat give rows that repeat; an empty table gives an empty result.
     """
-    known = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (v, k)])
-    parts = F.split(F.coalesce("text", F.lit("")), r"[.!?]\s+|\n+")
-    ids = F.filter(F.transform(parts, lambda s: F.element_at(known, normalised(s))), lambda x: x.isNotNull())
-    found = docs.select("doc_id", ids.alias("ids"))
+    known = {v: k for k, v in sentences.items()} | {v: k for k, vs in wordings.items() for v in vs}
+    plain = F.create_map(*[F.lit(x) for v, k in known.items() if "*" not in v for x in (v, k)])
+    gapped = [(f"^{_pattern(v)}$", k) for v, k in known.items() if "*" in v]
+    every = "|".join(_pattern(v) for v in sorted(known, key=len, reverse=True))
+    found = F.regexp_extract_all(marked(F.coalesce("text", F.lit(""))), F.lit(f"(?<=[{HARD}{SOFT}])(?:{every})(?=[{HARD}{SOFT}])"), F.lit(0))
+
+    def name(s: Column) -> Column:
+        return F.coalesce(F.element_at(plain, F.translate(s, SOFT, " ")), *[F.when(s.rlike(p), k) for p, k in gapped])
+
+    found = docs.select("doc_id", F.transform(found, name).alias("ids"))
+    ways = {k: rules.get(k, []) + wording_rules.get(k, []) for k in {*rules, *wording_rules}}
     line = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
     shown = F.filter(
-        F.array(*[F.when(_any(line, ways), F.lit(name)) for name, ways in sorted(rules.items())]),
+        F.array(*[F.when(_any(line, w), F.lit(name)) for name, w in sorted(ways.items())]),
         lambda x: x.isNotNull(),
     )
     return found.select("doc_id", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(shown, ",").alias("licences"))
