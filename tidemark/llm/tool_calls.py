@@ -41,39 +41,71 @@ def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return out.select(*key, F.when(F.col("args").isNotNull(), problems).alias("problems")).dropDuplicates(key)
 
 
-def ordered(calls: DataFrame, rounds: int = 1000) -> DataFrame:
+def ordered(calls: DataFrame, rounds: int = 8) -> DataFrame:
     """(conv_id, call_id, late, hops, cyclic, missing): sort keys that put each call after those it needs.
 
     calls: conv_id, call_id, position, after (array of call ids of the same conversation). A call's key is the latest
     position among itself and what it needs, and the number of steps past the call at that position. Keys are
-    relaxed until they hold, which a log in order does at once. A call that steps past more calls than its
-    conversation has needs itself; it and all that need it are cyclic and stand where the relaxation left them. `missing` counts needs that no call meets.
+    relaxed, which a log in order does not need and one with calls near their places soon ends; conversations that
+    still move after `rounds` are settled by contraction. A call that needs itself, and all that need it, are cyclic;
+    their keys are unspecified. `missing` counts needs that no call meets.
     """
-    one = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min("position").alias("position"))
+    key = ["conv_id", "call_id"]
+    one = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy(*key).agg(F.min("position").alias("position"))
     size = one.groupBy("conv_id").agg(F.count("*").alias("calls"))
-    needs = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL").select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("need")).where("need IS NOT NULL").distinct()
+    needs = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL").select(*key, F.explode(F.array_distinct("after")).alias("need")).where("need IS NOT NULL").distinct()
     met = needs.join(one.select("conv_id", F.col("call_id").alias("need"), F.lit(1).alias("met")), ["conv_id", "need"], "left")
-    missing = met.groupBy("conv_id", "call_id").agg(F.sum(F.when(F.col("met").isNull(), 1).otherwise(0)).alias("missing"))
-    keys = one.join(size, "conv_id").join(missing, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "calls", F.coalesce("missing", F.lit(0)).alias("missing"), F.col("position").alias("late"), F.lit(0).cast("long").alias("hops"), F.lit(False).alias("cyclic"))
+    missing = met.groupBy(*key).agg(F.sum(F.when(F.col("met").isNull(), 1).otherwise(0)).alias("missing"))
+    keys = one.join(size, "conv_id").join(missing, key, "left").select(*key, "calls", F.coalesce("missing", F.lit(0)).alias("missing"), F.col("position").alias("late"), F.lit(0).cast("long").alias("hops"), F.lit(False).alias("cyclic"))
     keys = written(keys, "call-keys")
     needs = written(needs, "call-needs")
-    for _ in range(rounds):
-        of = keys.select("conv_id", F.col("call_id").alias("need"), F.struct("cyclic", "late", (F.col("hops") + 1).alias("hops")).alias("k"))
-        least = needs.join(of, ["conv_id", "need"]).groupBy("conv_id", "call_id").agg(F.max("k").alias("k"))
-        late = least.join(keys.where("NOT cyclic"), ["conv_id", "call_id"]).where("k.cyclic OR k.late > late OR (k.late = late AND k.hops > hops)")
-        late = written(late.select("conv_id", "call_id", "k"), "call-late")
+    for left in range(rounds, -1, -1):
+        of = keys.select("conv_id", F.col("call_id").alias("need"), F.struct("late", (F.col("hops") + 1).alias("hops")).alias("k"))
+        least = needs.join(of, ["conv_id", "need"]).groupBy(*key).agg(F.max("k").alias("k"))
+        late = written(least.join(keys, key).where(F.col("k") > F.struct("late", "hops")).select(*key, "k"), "call-late")
         if late.isEmpty():
             break
-        k = F.col("k")
-        moved = F.coalesce(~k["cyclic"], F.lit(False))
-        keys = keys.join(late, ["conv_id", "call_id"], "left").select(
-            "conv_id", "call_id", "calls", "missing", F.when(moved, k["late"]).otherwise(F.col("late")).alias("late"), F.when(moved, k["hops"]).otherwise(F.col("hops")).alias("hops"),
-            (F.col("cyclic") | F.coalesce(k["cyclic"] | (k["hops"] > F.col("calls")), F.lit(False))).alias("cyclic"),
-        )
-        keys = written(keys, "call-keys")
+        if not left:
+            keys = _contracted(keys, needs, late.select("conv_id").distinct())
+            break
+        keys = written(_raised(keys, late), "call-keys")
     return keys.drop("calls")
 
 
+def _raised(keys: DataFrame, to: DataFrame) -> DataFrame:
+    """keys, at least as late as `to` (conv_id, call_id, k) says."""
+    k = F.greatest(F.struct("late", "hops"), "k")
+    return keys.join(to, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "calls", "missing", k["late"].alias("late"), k["hops"].alias("hops"), "cyclic")
+
+
+def _contracted(keys: DataFrame, needs: DataFrame, conversations: DataFrame) -> DataFrame:
+    """keys with those of `conversations` settled; the others as they are.
+
+    A need of a call without open needs is met; a need of a call with just one is led on to that one, so that chains halve
+    in each round. A path of as many steps as the conversation has calls holds a cycle, and where nothing moves every
+    open call needs a cycle. Each round meets, merges or lengthens needs, so there is no limit to set: chains and
+    trees take about log2 of their depth, meshes of calls with several open needs each up to their depth.
+    """
+    key = ["conv_id", "call_id"]
+    rest = keys.join(conversations, "conv_id", "left_anti")
+    keys = written(keys.join(conversations, "conv_id", "left_semi"), "call-keys")
+    edges = written(needs.join(keys.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"]).select(*key, "need", F.lit(1).cast("long").alias("w")), "call-edges")
+    while not edges.isEmpty():
+        open_ = edges.groupBy(*key).agg(F.count("*").alias("n"), F.max("need").alias("next"), F.max("w").alias("more"))
+        of = keys.join(open_, key, "left").select("conv_id", F.col("call_id").alias("need"), "calls", "late", "hops", "cyclic", F.coalesce("n", F.lit(0)).alias("n"), "next", "more")
+        step = written(edges.join(of, ["conv_id", "need"]), "call-steps")
+        moves = step.where("n <= 1 OR cyclic")
+        stuck = moves.isEmpty()
+        round_ = step if stuck else step.where("cyclic OR (n = 1 AND w + more >= calls)")
+        round_ = written(round_.select(*key).distinct(), "call-cycles")
+        later = moves.where("NOT cyclic").groupBy(*key).agg(F.max(F.struct("late", (F.col("hops") + F.col("w")).alias("hops"))).alias("k"))
+        keys = _raised(keys, later).join(round_.withColumn("found", F.lit(True)), key, "left")
+        keys = written(keys.withColumn("cyclic", F.col("cyclic") | F.coalesce("found", F.lit(False))).drop("found"), "call-keys")
+        led = step.where("n > 0 AND NOT cyclic").select(*key, F.when(F.col("n") == 1, F.col("next")).otherwise(F.col("need")).alias("need"), F.when(F.col("n") == 1, F.col("w") + F.col("more")).otherwise(F.col("w")).alias("w"))
+        edges = written(led.join(round_, key, "left_anti").groupBy(*key, "need").agg(F.max("w").alias("w")), "call-edges")
+    return rest.unionByName(keys)
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row per call: conv_id, call_id, name, step, linked, valid, missing, cyclic, message.
 
