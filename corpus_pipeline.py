@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, ngram_join, packing, suffix_dedup, toxicity
-from tidemark.llm.common import written
+from tidemark.llm.common import row_key, written
 from tidemark.llm.queries import table, tokenizer_path
 
 
@@ -20,12 +20,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with what is left of their texts; n_chars follows the text."""
-    kept = suffix_dedup.remove_repeats(docs.select("doc_id", "text"), 400, with_text=True)
-    changed = kept.where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_text"), F.lit(True).alias("_cut"))
-    joined = docs.join(changed, F.col("doc_id") == F.col("_id"), "left")
+    """Documents with what is left of their texts, told apart by id and text; n_chars follows the text."""
+    docs, columns = docs.withColumn("_row_key", row_key("doc_id", "text")), docs.columns
+    kept = suffix_dedup.remove_repeats(docs.select(F.col("_row_key").alias("doc_id"), "text"), 400, with_text=True)
+    changed = kept.where("n_removed > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_text"), F.lit(True).alias("_cut"))
+    joined = docs.join(changed, F.col("_row_key") == F.col("_id"), "left")
     text = F.when(F.col("_cut"), F.col("_text")).otherwise(F.col("text"))
-    return joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))).select(*columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

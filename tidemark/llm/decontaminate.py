@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Members, slices, word_hashes, written
+from tidemark.llm.common import Members, row_key, slices, word_hashes, written
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -179,6 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: float
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs (all columns) without those that have a passage like a test item; rows without an id stay."""
-    bad = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("_bad")).where("_bad IS NOT NULL").distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    """docs (all columns) without those that have a passage like a test item, told apart by id and text."""
+    keyed = docs.withColumn("_row_key", row_key("doc_id", "text"))
+    bad = contaminated(keyed.select(F.col("_row_key").alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("_bad")).distinct()
+    return keyed.join(bad, F.col("_row_key") == F.col("_bad"), "left_anti").select(*docs.columns)

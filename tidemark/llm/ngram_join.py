@@ -158,6 +158,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall
     documents with the same words. A null or wordless text links to nothing and is its own class (a null id too).
     Rows that repeat id and text count as copies. An empty table gives an empty result.
     """
+    out = _grouped(docs, n, similarity, recall, block)
+    least = written(out.groupBy("group").agg(F.min("doc_id").alias("class_id")), "classes")
+    return out.join(least, "group").select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def _grouped(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.9999999, block: int = 256) -> DataFrame:
+    """(row, doc_id, group, n_links, n_copies): one row per document, with its row key and the group that links give it."""
     bands, rows = banding(similarity, recall)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", row_key("doc_id", "text"))
     id_type = dict(docs.dtypes)["doc_id"]
@@ -183,18 +190,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall
     groups = components(verified.select(F.col("row").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "row")
     of_text = texts.join(links, "row", "left").join(groups, "row", "left")
     of_text = of_text.select("words", F.coalesce("component", "row").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    out = sig.where("words IS NOT NULL").select("doc_id", "words").join(of_text, "words").select("doc_id", "group", "n_links", "n_copies")
-    out = out.unionByName(sig.where("words IS NULL").select("doc_id", F.col("row").alias("group"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")))
-    out = written(out, "grouped")
-    least = written(out.groupBy("group").agg(F.min("doc_id").alias("class_id")), "classes")
-    return out.join(least, "group").select("doc_id", "class_id", "n_links", "n_copies")
+    out = sig.where("words IS NOT NULL").select("row", "doc_id", "words").join(of_text, "words").select("row", "doc_id", "group", "n_links", "n_copies")
+    out = out.unionByName(sig.where("words IS NULL").select("row", "doc_id", F.col("row").alias("group"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")))
+    return written(out, "grouped")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """docs without near-duplicates: of each class the row with the least doc_id stays (of rows that share that id, one).
 
-    Keeps all columns. Rows without an id and wordless texts stay.
+    Keeps all columns. Rows are told apart by id and text, so that each has its own decision; rows without an id come
+    last in their class. Wordless texts stay.
     """
-    keep = near_duplicates(docs, **how).where("doc_id IS NOT NULL AND doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    some = docs.where("doc_id IS NOT NULL")
-    return some.join(keep, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    keep = _grouped(docs, **how).groupBy("group").agg(F.min_by("row", first).alias("_kept")).select("_kept")
+    some = F.coalesce("text", F.lit("")).rlike(r"[0-9A-Za-z_\x{80}-\x{10FFFF}]")
+    keyed = docs.where(some).withColumn("_row_key", row_key("doc_id", "text"))
+    kept = keyed.join(keep, F.col("_row_key") == F.col("_kept"), "left_semi").dropDuplicates(["_row_key"])
+    return kept.select(*docs.columns).unionByName(docs.where(~some))

@@ -24,9 +24,9 @@ LEAST_PAYLOAD = 100
 ARCHIVE_BYTES = 32 << 20
 
 
-def record_id(page: int, kind: str) -> str:
-    """A name-based URN, the same at every attempt."""
-    h = hashlib.sha256(f"{kind}:{page}".encode()).hexdigest()
+def record_id(page: int, digest: str, kind: str) -> str:
+    """A name-based URN of a page and its payload, the same at every attempt."""
+    h = hashlib.sha256(f"{kind}:{page}:{digest}".encode()).hexdigest()
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-5{h[13:16]}-a{h[17:20]}-{h[20:32]}>"
 
 
@@ -38,7 +38,7 @@ def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
 def capture_records(page: int, url: str | None, html: bytes, digest: str, first: int) -> list[bytes]:
     """request, response or revisit, and metadata records of one page; `first` is the page whose payload it is."""
     uri = re.sub(r"[\x00-\x20\x7f]+", "%20", url or "urn:page:none")
-    own = record_id(page, "response")
+    own = record_id(page, digest, "response")
     common = [("WARC-Target-URI", uri), ("WARC-Date", DATE)]
     asked = b"GET / HTTP/1.1\r\n\r\n"
     answer = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {page}\r\nContent-Length: {len(html)}\r\n\r\n".encode()
@@ -46,11 +46,11 @@ def capture_records(page: int, url: str | None, html: bytes, digest: str, first:
     if first == page:
         body = record("response", main, answer + html)
     else:
-        body = record("revisit", [*main, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(first, "response")), ("WARC-Refers-To-Page", str(first))], answer)
+        body = record("revisit", [*main, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(first, digest, "response")), ("WARC-Refers-To-Page", str(first))], answer)
     return [
-        record("request", [*common, ("WARC-Record-ID", record_id(page, "request")), ("WARC-Concurrent-To", own), ("Content-Type", "application/http;msgtype=request")], asked),
+        record("request", [*common, ("WARC-Record-ID", record_id(page, digest, "request")), ("WARC-Concurrent-To", own), ("Content-Type", "application/http;msgtype=request")], asked),
         body,
-        record("metadata", [*common, ("WARC-Record-ID", record_id(page, "metadata")), ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")], f"page-id: {page}\r\npayload-bytes: {len(html)}\r\nhas-url: {int(url is not None)}\r\n".encode()),
+        record("metadata", [*common, ("WARC-Record-ID", record_id(page, digest, "metadata")), ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")], f"page-id: {page}\r\npayload-bytes: {len(html)}\r\nhas-url: {int(url is not None)}\r\n".encode()),
     ]
 
 
@@ -186,8 +186,8 @@ def captures(pages: DataFrame) -> DataFrame:
     """Writes pages as WARC archives, reads them back and assembles captures.
 
     pages: page_id (a whole number), url, html; other columns are ignored, whatever their names. Rows without a
-    page_id have no record identifier and are left out. Rows that repeat a page_id give one record each with the same
-    identifier, and one capture row each. An empty table gives an empty result.
+    page_id have no record identifier and are left out. Rows that repeat a page_id and payload give one record each with the
+    same identifier, and one capture row each; with another payload they have an identifier of their own. An empty table gives an empty result.
     """
     return read_captures(pages.sparkSession, write_warc(pages))
 
