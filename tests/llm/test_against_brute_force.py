@@ -67,6 +67,41 @@ def test_repeats_in_low_entropy_texts(spark, seed, span, most):
     assert Counter(map(tuple, suffix_dedup.remove_repeats(df, span, most=most).collect())) == removed(rows, span)
 
 
+def word_cuts(rows, span):
+    """What is left of each text once every word of a repeated run of `span` words is gone."""
+    found = [[(m.start(), m.group()) for m in re.finditer(r"[0-9A-Za-z_\u0080-\U0010ffff]+", t or "")] for _, t in rows]
+    words = [[w.lower() for _, w in f] for f in found]
+    seen = Counter(tuple(w[p : p + span]) for w in words for p in range(len(w) - span + 1))
+    out = []
+    for (i, t), f, w in zip(rows, found, words):
+        gone = {k for p in range(len(w) - span + 1) if seen[tuple(w[p : p + span])] > 1 for k in range(p, p + span)}
+        ends = [a for a, _ in f[1:]] + [len(t or "")]
+        out.append((i, t if t is None else t[: f[0][0]] + "".join(t[a:b] for k, ((a, _), b) in enumerate(zip(f, ends)) if k not in gone) if f else t))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("seed, span, most", [(0, 6, 20_000), (1, 8, 3), (2, 50, 20_000), (3, 50, 2)])
+def test_repeated_runs_of_words_are_removed(spark, seed, span, most):
+    rnd = random.Random(seed)
+    word = lambda: rnd.choice(["a", "Überall", "İx", "c-d", "e'f", "gh"]) + (str(rnd.randrange(50)) if rnd.random() < 0.9 else "")
+    base = [[word() for _ in range(rnd.randrange(40, 120))] for _ in range(5)]
+    rows = []
+    for i in range(50):
+        w = []
+        for _ in range(rnd.randrange(4)):
+            b = rnd.choice(base)
+            a = rnd.randrange(len(b))
+            w += [x.upper() if rnd.random() < 0.1 and x.isascii() else x for x in b[a : a + rnd.randrange(90)]] + [word() for _ in range(rnd.randrange(9))]
+        rows.append((i, "".join(x + rnd.choice([" ", "\n", ", "]) for x in w)))
+    rows += [(100, None), (101, ""), (102, "?! "), (103, "na " * 120), (3, rows[4][1]), (4, rows[4][1])]
+    df = spark.createDataFrame([(i, t, "k", 7) for i, t in rows], "doc_id long, text string, key string, n_chars int")
+    got = suffix_dedup.without_repeats(df, span, "word", "n_chars", most)
+    assert got.columns == df.columns
+    got = got.collect()
+    assert Counter((r.doc_id, r.text) for r in got) == word_cuts(rows, span)
+    assert all(r.n_chars == 7 or r.n_chars == len(r.text) for r in got)
+
+
 def shingles_of(text):
     w = re.findall(r"[0-9A-Za-z_\u0080-\U0010ffff]+", (text or "").lower())
     return w, {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()

@@ -7,8 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-import corpus_pipeline
-from tidemark.llm import decontaminate, ngram_join, warc
+from tidemark.llm import decontaminate, ngram_join, suffix_dedup, warc
 from tidemark.llm.queries import ORACLE_SQL
 
 
@@ -45,7 +44,7 @@ def test_repeats_are_cut_in_all_rows(spark, frame):
     shared = words(7, 100)
     lone = [words(s, 20) for s in range(4)]
     rows = [(None, f"{lone[0]} A{shared}B {lone[1]}"), (3, f"{lone[2]} C{shared}D"), (3, lone[3]), (3, lone[3]), (4, None)]
-    got = corpus_pipeline.cut_repeats(spark, frame(rows), "")
+    got = suffix_dedup.without_repeats(frame(rows), 400, "byte", "n_chars")
     assert got.columns == ["doc_id", "text", "lang", "n_chars"]
     assert rows_of(got) == Counter([(None, f"{lone[0]} AB {lone[1]}"), (3, f"{lone[2]} CD"), (3, lone[3]), (3, lone[3]), (4, None)])
     assert all(r.n_chars == len(r.text or "") for r in got.collect())

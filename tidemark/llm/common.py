@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return root.rstrip("/")
 
@@ -57,6 +59,21 @@ def row_key(*cols) -> F.Column:
     return F.xxhash64(*cols)
 
 
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "left_semi", least: int = 10_000) -> DataFrame:
+    """left joined with right (a row per key; `weight`: how many rows of left have it), however the keys are spread.
+
+    Keys with over a thousandth of all rows (and over `least` rows) are fewer than a thousand, so they are broadcast
+    and their rows stay where they are; no task of the shuffle join gets more than that of one key.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    most = max(least, total // 1000)
+    hot = right.where(F.col(weight) > most)
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    mark = left.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return left.join(F.broadcast(hot), on, how).unionByName(mark.join(right.where(F.col(weight) <= most), on, how))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in runs of about `most` bytes of `column`, at least one row each."""
     for batch in batches:
@@ -110,6 +127,21 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte start and end of each word of the rows; lower-casing a text changes neither their number nor their order."""
+    n = len(data)
+    is_word = _WORD[data]
+    before = np.zeros(n, bool)
+    before[1:] = is_word[:-1]
+    cuts = off[1:-1]
+    first = np.zeros(n, bool)
+    first[cuts[cuts < n]] = True
+    start = np.flatnonzero(is_word & (~before | first))
+    after = np.zeros(n, bool)
+    after[:-1] = is_word[1:] & ~first[1:]
+    return start, np.flatnonzero(is_word & ~after) + 1
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased words of all rows: 64-bit hash of each, the row offsets into them, and each word's byte start.
 
@@ -120,18 +152,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), np.zeros(0, np.int64)
-    is_word = _WORD[data]
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = is_word[:-1]
-    cuts = off[1:-1]
-    first = np.zeros(n, bool)
-    first[cuts[cuts < n]] = True
-    start = np.flatnonzero(is_word & (~before | first))
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = is_word[1:] & ~first[1:]
-    end = np.flatnonzero(is_word & ~after) + 1
+    start, end = word_bounds(data, off)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=total[1:])
     h = (total[end] - total[start]) * _powers(_INVERSE, n)[start]

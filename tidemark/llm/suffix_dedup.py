@@ -1,15 +1,22 @@
-"""Removal of byte strings that repeat, from merged shard suffix orders (sparse Burrows-Wheeler transforms).
+"""Removal of strings that repeat, from merged shard suffix orders (sparse Burrows-Wheeler transforms).
 
 A full suffix array of the corpus is several times its size, so the transform is sampled. Anchors are the
 minima of hashed 16-byte grams in sliding windows, chosen so that every `span`-byte string holds an anchor that
 depends on the string alone. The first such anchor owns the string. Bytes that all strings of an anchor share
 are the first symbol of its suffix; suffixes whose first symbol occurs once have no long common prefix with any
-other and are set aside by a join. For the rest each shard (a partition of documents) gives its suffixes with
-the bytes that precede them (the transform's column). Shards are merged by iterative interleave refinement: all
-shards' rows begin in one block per first symbol, each round splits the blocks that are still tied by the next
-eight bytes, and the round that separates two neighbours yields their common prefix. The same refinement over
-the preceding bytes gives common extensions to the left. A string at distance l before its anchor repeats if
-another row shares both its block at left depth and its block at right depth: the repeated intervals.
+other and are set aside by a join, and equal suffixes are counted before any shuffle of their bytes.
+
+Each shard (about a megabyte of documents) sorts its own suffixes and hands them on in that order, each with the
+bytes that precede it (the transform's column). Shards are merged by iterative interleave refinement: the interleave
+begins with whole shards one after the other, in one block per first symbol; each round deals the rows of blocks
+that are still tied by their next eight bytes, keeping the order so far, so rows of one shard never pass each other
+and no suffix is sorted again. The round that parts two neighbours yields their common prefix. From the merged order
+the same rounds over the preceding bytes give common extensions to the left. A string at distance l before its
+anchor repeats if another row shares both its block at left depth and its block at right depth: the repeated
+intervals.
+
+Strings are of bytes or of words; of words, each is four bytes of its hash, and what repeats are runs of words,
+whatever the case, white space and punctuation.
 """
 
 from __future__ import annotations
@@ -19,10 +26,13 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import mix, row_key, runs, slices, tasks, text_bytes, written
+from tidemark.llm.common import hot_join, mix, row_key, runs, slices, tasks, text_bytes, word_bounds, word_hashes, written
+
+UNITS = {"byte": 1, "word": 4}  # bytes that stand for one
 
 
 class Shape:
@@ -38,6 +48,14 @@ class Shape:
         self.after = span - self.far  # bytes from the anchor on that all its strings share
 
 
+def symbols(column: pa.Array, unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """What strings are made of, as bytes, and the rows' offsets."""
+    if unit == "byte":
+        return text_bytes(column)
+    words, off, _ = word_hashes(column)
+    return (words >> np.uint64(32)).astype("<u4").view(np.uint8), off * 4
+
+
 def anchors_of(data: np.ndarray, off: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, anchor, first string start, last string start) in the joined bytes, for anchors that own a string."""
     none = np.zeros(0, np.int64)
@@ -75,11 +93,11 @@ def anchors_of(data: np.ndarray, off: np.ndarray, shape: Shape) -> tuple[np.ndar
     return row[own], x[own], lo[own], hi[own]
 
 
-def _anchor_rows(span: int):
+def _anchor_rows(span: int, unit: str):
     def run(batches):
         shape = Shape(span)
         for batch in slices(batches, "text"):
-            data, off = text_bytes(batch.column(1))
+            data, off = symbols(batch.column(1), unit)
             row, x, lo, hi = anchors_of(data, off, shape)
             raw = memoryview(np.ascontiguousarray(data))
             a, b = (x - shape.near).tolist(), (x + shape.after).tolist()
@@ -99,13 +117,15 @@ def _anchor_rows(span: int):
     return run
 
 
-def _tail_rows(span: int):
-    """A shard's suffixes: what follows the shared symbol, and what precedes it, last byte first."""
+def _tail_rows(span: int, unit: str):
+    """A shard's suffixes in their order: what follows the shared symbol, and what precedes it, last byte first."""
 
     def run(batches):
-        shape = Shape(span)
+        from pyspark import TaskContext
+
+        shape, shard = Shape(span), TaskContext.get().partitionId() << 24
         for batch in slices(batches, "text"):
-            data, off = text_bytes(batch.column(1))
+            data, off = symbols(batch.column(1), unit)
             out: list[tuple] = []
             for i, (row, found) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                 text = data[off[i] : off[i + 1]]
@@ -115,14 +135,17 @@ def _tail_rows(span: int):
                     right = text[x + shape.after : x - s["dhi"] + span].tobytes()
                     out.append((s["key"], row, s["n"], s["m"], x, s["dlo"], s["dhi"], left, right))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TAIL_TYPES)], _TAIL_NAMES)
+                out.sort(key=lambda t: (t[0], t[8]))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), _TAIL_TYPES)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(out), shard)), pa.array(np.arange(len(out), dtype=np.int32))], _TAIL_NAMES)
+                shard += 1
 
     return run
 
 
-_TAIL_NAMES = ["key", "row", "n", "m", "x", "dlo", "dhi", "left", "right"]
+_TAIL_NAMES = ["key", "row", "n", "m", "x", "dlo", "dhi", "left", "right", "shard", "rank"]
 _TAIL_TYPES = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()] * 2
-_TAILS = "key long, row long, n long, m long, x long, dlo int, dhi int, left binary, right binary"
+_TAILS = "key long, row long, n long, m long, x long, dlo int, dhi int, left binary, right binary, shard long, rank int"
 
 
 def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,29 +161,34 @@ def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 def interleave(group: np.ndarray, rows: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merged order of the rows and the common prefix of each with the one before it, -1 where groups part.
 
-    All rows begin in their group's block. Each round deals the rows of blocks that are still tied by their next
-    eight bytes, keeping the order so far, and leaves settled blocks alone; no suffix is sorted as a whole.
+    Rows come shard after shard, each shard's in its own order. All begin in their group's block. Each round deals the
+    rows of blocks that are still tied by their next eight bytes, keeping the order so far, and leaves settled blocks
+    alone. Where a row is a prefix of another, the shorter one comes first.
     """
     n = len(group)
     order = np.argsort(group, kind="stable")
-    g = group[order]
-    lcp = np.full(n, rows.shape[1], np.int64)  # rows.shape[1]: not parted yet
+    open_ = rows.shape[1] + 1  # not parted yet
+    lcp = np.full(n, open_, np.int64)
     lcp[0] = -1
-    lcp[1:][g[1:] != g[:-1]] = -1
+    lcp[1:][group[order[1:]] != group[order[:-1]]] = -1
     words = rows.view(">u8")
     for depth in range(words.shape[1] + 1):
-        tied = lcp == rows.shape[1]
+        tied = lcp == open_
         live = np.flatnonzero(tied | np.append(tied[1:], False))
         if not len(live):
             break
         block = np.cumsum(~tied)[live]
-        symbol = (words[order[live], depth] if depth < words.shape[1] else length[order[live]]).astype(np.uint64)
-        dealt = np.lexsort((symbol, block))
-        order[live] = order[live][dealt]
-        symbol = symbol[dealt]
+        held = order[live]
+        symbol = (words[held, depth] if depth < words.shape[1] else length[held]).astype(np.uint64)
+        parted = symbol[1:] < symbol[:-1]
+        parted &= block[1:] == block[:-1]
+        if parted.any():  # shards that are not yet interleaved here
+            dealt = np.lexsort((symbol, block))
+            held, symbol = held[dealt], symbol[dealt]
+            order[live] = held
         if depth < words.shape[1]:
             parts = np.flatnonzero((symbol[1:] != symbol[:-1]) & (block[1:] == block[:-1]))
-            a, b = rows[order[live[parts]], 8 * depth : 8 * depth + 8], rows[order[live[parts + 1]], 8 * depth : 8 * depth + 8]
+            a, b = rows[held[parts], 8 * depth : 8 * depth + 8], rows[held[parts + 1], 8 * depth : 8 * depth + 8]
             lcp[live[parts + 1]] = 8 * depth + np.argmax(a != b, axis=1)
     both = np.minimum(length[order[1:]], length[order[:-1]])
     lcp[1:] = np.where(lcp[1:] < 0, -1, np.minimum(lcp[1:], both))
@@ -172,13 +200,15 @@ def repeated(group: np.ndarray, dlo: np.ndarray, dhi: np.ndarray, left: tuple, r
     n = len(group)
     flag = np.zeros((n, shape.window), bool)
     ranks, lcps, best = [], [], []
-    for rows, length in (left, right):
-        order, lcp = interleave(group, rows, length)
+    merged = np.arange(n)
+    for rows, length in (right, left):  # the left side starts from the merged order of the right
+        order, lcp = interleave(group[merged], rows[merged], length[merged])
+        merged = merged[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        ranks.append(rank)
-        lcps.append(lcp)
-        best.append(np.maximum(lcp, np.append(lcp[1:], -1))[rank])
+        rank[merged] = np.arange(n)
+        ranks.insert(0, rank)
+        lcps.insert(0, lcp)
+        best.insert(0, np.maximum(lcp, np.append(lcp[1:], -1))[rank])
     for i in range(shape.window):
         l = shape.near + i  # noqa: E741
         r = shape.far - l
@@ -229,36 +259,42 @@ def _string_rows(span: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, dealt: DataFrame, span: int = 400, most: int = 20_000) -> DataFrame:
-    """(row, s, e) byte spans of repeated strings; docs: doc_id, text, row; dealt: the same, dealt out by row.
+def repeated_spans(docs: DataFrame, dealt: DataFrame, span: int = 400, most: int = 20_000, unit: str = "byte") -> DataFrame:
+    """(row, s, e) spans of repeated strings, in bytes of symbols; docs: text, row; dealt: the same, dealt out by row.
 
     `most`: rows of one first symbol that a merge task takes; beyond it strings are counted by their 128-bit digests
     in a shuffle, with the same result.
     """
-    anchors = written(docs.select("row", "text").mapInArrow(_anchor_rows(span), "row long, key long, ctx long, x long, dlo int, dhi int"), "anchors")
-    # written, so that the join below has an exchange on either side and a key with very many rows is split
-    again = written(anchors.groupBy("key").agg(F.count("*").alias("all")).where("all > 1").select("key"), "again")
-    held = written(anchors.join(again, "key", "left_semi"), "held")
+    span = span * UNITS[unit]
+    anchors = written(docs.select("row", "text").mapInArrow(_anchor_rows(span, unit), "row long, key long, ctx long, x long, dlo int, dhi int"), "anchors")
+    again = written(anchors.groupBy("key").agg(F.count("*").alias("all")).where("all > 1"), "again")
+    held = written(hot_join(anchors, again, ["key"], "all"), "held")
     contexts = held.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("row", "x", "dlo", "dhi")).alias("at"))
     contexts = written(contexts, "contexts")
     keys = contexts.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("key", "m")
-    whole = held.join(contexts.where("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi").select("row", (F.col("x") - F.col("dlo")).alias("s"), (F.col("x") - F.col("dhi") + span).alias("e"))
-    open_ = contexts.join(keys, "key").select("at.row", F.struct("key", "n", "m", "at.x", "at.dlo", "at.dhi").alias("s"))
+    keys = written(keys, "open-keys")
+    whole = hot_join(held, contexts.where("n > 1").select("key", "ctx", "n"), ["key", "ctx"], "n").select("row", (F.col("x") - F.col("dlo")).alias("s"), (F.col("x") - F.col("dhi") + span).alias("e"))
+    open_ = hot_join(contexts, keys, ["key"], "m", "inner").select("at.row", F.struct("key", "n", "m", "at.x", "at.dlo", "at.dhi").alias("s"))
     by_doc = open_.groupBy("row").agg(F.collect_list("s").alias("found"))
     # rows that are equal in id and text share `row`; one of them speaks for all
-    tails = dealt.join(by_doc.hint("shuffle_hash"), "row").select("row", "text", "found", "doc_id").mapInArrow(_tail_rows(span), _TAILS).dropDuplicates(["key", "row", "x"])
-    spans = whole.unionByName(tails.where(F.col("m") <= most).repartition(tasks(docs), "key").sortWithinPartitions("key").mapInArrow(_merge_rows(span), "row long, s long, e long"))
+    tails = dealt.join(by_doc.hint("shuffle_hash"), "row").select("row", "text", "found").mapInArrow(_tail_rows(span, unit), _TAILS).dropDuplicates(["key", "row", "x"])
+    order = ["key", "shard", "rank"]
+    spans = whole.unionByName(tails.where(F.col("m") <= most).repartition(tasks(docs), "key").sortWithinPartitions(*order).mapInArrow(_merge_rows(span), "row long, s long, e long"))
     if keys.where(F.col("m") > most).isEmpty():
         return spans
     strings = written(tails.where(F.col("m") > most).mapInArrow(_string_rows(span), "key long, d binary, row long, n long, s long"), "strings")
-    counted = strings.groupBy("key", "d").agg(F.sum("n").alias("c"), F.count("*").alias("k")).where("c > 1 AND k > 1").select("key", "d")
-    return spans.unionByName(strings.where("n = 1").join(counted, ["key", "d"], "left_semi").select("row", "s", (F.col("s") + span).alias("e")))
+    counted = strings.groupBy("key", "d").agg(F.sum("n").alias("c"), F.count("*").alias("k")).where("c > 1 AND k > 1").select("key", "d", "k")
+    counted = written(counted, "string-counts")
+    return spans.unionByName(hot_join(strings.where("n = 1"), counted, ["key", "d"], "k").select("row", "s", (F.col("s") + span).alias("e")))
+
 
+def _cut_rows(unit: str, with_text: bool):
+    """Rows of (anything, text, found): what is left of each text."""
 
-def _cut_rows(with_text: bool):
     def run(batches):
         for batch in slices(batches, "text"):
             data, off = text_bytes(batch.column(1))
+            spots = _word_starts(data, off) if unit == "word" else None
             out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
             for i, found in enumerate(batch.column(2).to_pylist()):
                 text = data[off[i] : off[i + 1]]
@@ -268,9 +304,12 @@ def _cut_rows(with_text: bool):
                     keep = np.ones(len(text), bool)
                     end = -1
                     for s in found:
-                        keep[s["s"] : s["e"]] = False
-                        count += s["s"] > end
-                        end = max(end, s["e"])
+                        a, b = s["s"], s["e"]
+                        if spots:
+                            a, b = spots[i][-(-a // 4)], spots[i][b // 4]
+                        keep[a:b] = False
+                        count += a > end
+                        end = max(end, b)
                     removed = int(len(text) - keep.sum())
                     kept = text[keep].tobytes()
                 else:
@@ -282,7 +321,7 @@ def _cut_rows(with_text: bool):
                 if with_text:
                     out["kept"].append(kept.decode("utf-8", "ignore"))
             arrays = [batch.column(0)] + [pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")] + [pa.array(out["kept_sha256"], pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
                 arrays.append(pa.array(out["kept"], pa.string()))
                 names.append("kept_text")
@@ -291,18 +330,47 @@ def _cut_rows(with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, span: int = 400, with_text: bool = False, most: int = 20_000) -> DataFrame:
-    """One row per document with what is left once every byte of a repeated `span`-byte string is gone.
+def _word_starts(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """Where each row's words start, and its end; a removed word takes what follows it up to the next one along."""
+    start = word_bounds(data, off)[0]
+    at = np.searchsorted(start, off)
+    return [np.append(start[a:b] - o, e - o) for a, b, o, e in zip(at[:-1], at[1:], off[:-1], off[1:])]
 
-    docs: doc_id, text; other columns are ignored, whatever their names. A null or short text keeps all its bytes
-    (null: none). Matches never cross documents; overlapping matches within one document count. Rows that repeat
-    both id and text are two occurrences and lose the same bytes; rows with one id and other texts are handled apart.
-    An empty table gives an empty result. `with_text` adds the kept text; a character cut in two is dropped there,
-    while kept_sha256 is over the exact bytes.
-    """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.select("doc_id", "text", row_key("doc_id", "text").alias("row"))
+
+def _cut(docs: DataFrame, doc: Column, span: int, unit: str, most: int, with_text: bool) -> DataFrame:
+    """(doc, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of each row."""
+    base = docs.select(doc.alias("doc"), F.coalesce("text", F.lit("")).alias("text"), row_key("doc_id", F.coalesce("text", F.lit(""))).alias("row"))
     dealt = base.repartition(tasks(docs), "row")  # one exchange of the texts serves both joins
-    spans = repeated_spans(base, dealt, span, most).groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("found"))
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return dealt.join(spans.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "found").mapInArrow(_cut_rows(with_text), schema)
+    spans = repeated_spans(base.select("row", "text"), dealt, span, most, unit).groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("found"))
+    schema = T.StructType([base.schema["doc"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), *(T.StructField(n, T.StringType()) for n in ["kept_sha256", "kept_text"][: 1 + with_text])])
+    return dealt.join(spans.hint("shuffle_hash"), "row", "left").select("doc", "text", "found").mapInArrow(_cut_rows(unit, with_text), schema)
+
+
+def remove_repeats(docs: DataFrame, span: int = 400, with_text: bool = False, most: int = 20_000, unit: str = "byte") -> DataFrame:
+    """One row per document with what is left once every byte of a repeated string of `span` units is gone.
+
+    docs: doc_id, text; other columns are ignored, whatever their names. `unit` is byte or word (see the top; a word
+    goes with what stands between it and the next). A null or short text keeps all its bytes (null: none). Matches never
+    cross documents; overlapping matches within one document count. Rows that repeat both id and text are two
+    occurrences and lose the same bytes; rows with one id and other texts are handled apart. An empty table gives an
+    empty result. `with_text` adds the kept text; a character cut in two is dropped there, while kept_sha256 is over
+    the exact bytes.
+    """
+    return _cut(docs, F.col("doc_id"), span, unit, most, with_text).withColumnRenamed("doc", "doc_id")
+
+
+def without_repeats(docs: DataFrame, span: int = 50, unit: str = "word", length: str | None = None, most: int = 20_000) -> DataFrame:
+    """docs (all columns, all rows) with what remove_repeats leaves of each text; nulls stay null.
+
+    `length`: a column that counts the text's characters, if there is one; it is set anew where a text was cut.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    out = _cut(docs, F.struct(*[docs[c] for c in others], docs["text"].isNull().alias(ABSENT)), span, unit, most, True)
+    text = F.when(~F.col("doc")[ABSENT], F.col("kept_text"))
+    shown = {c: F.col("doc")[c] for c in others} | {"text": text}
+    if length in others:
+        shown[length] = F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema[length].dataType)).otherwise(shown[length])
+    return out.select(*[shown[c].alias(c) for c in docs.columns])
+
+
+ABSENT = "text is null"  # no docs column
