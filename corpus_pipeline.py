@@ -4,36 +4,37 @@ documents with benchmark passages go, and what is left is packed into sequences.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, ngram_join, packing, suffix_dedup, toxicity
-from tidemark.llm.common import row_key, written
+from tidemark.llm.common import written
 from tidemark.llm.queries import table, tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score stays under 0.5; a null text counts as empty."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class (five words, 0.8): that with the least id. Wordless texts stay."""
     return ngram_join.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with what is left of their texts, told apart by id and text; n_chars follows the text."""
-    docs, columns = docs.withColumn("_row_key", row_key("doc_id", "text")), docs.columns
-    kept = suffix_dedup.remove_repeats(docs.select(F.col("_row_key").alias("doc_id"), "text"), 400, with_text=True)
-    changed = kept.where("n_removed > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_text"), F.lit(True).alias("_cut"))
-    joined = docs.join(changed, F.col("_row_key") == F.col("_id"), "left")
-    text = F.when(F.col("_cut"), F.col("_text")).otherwise(F.col("text"))
-    return joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))).select(*columns)
+    """All documents, without the words of any run of 50 words that also stands elsewhere; n_chars follows the text.
+
+    In words, as 50 of them take 100 to 500 bytes. Rows are told apart by id and text; a null text stays null.
+    """
+    return suffix_dedup.without_repeats(docs, 50, "word", "n_chars")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage that aligns with a test item at half its length's score or more."""
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 1024 ids."""
     return packing.pack(docs, tokenizer_path(), 1024, 2)
 
 
