@@ -228,7 +228,7 @@ def best_possible(sizes, capacity):
 
 
 @pytest.mark.parametrize("seed", range(12))
-def test_bin_completion_is_near_the_optimum(seed):
+def test_bin_completion_is_the_optimum(seed):
     rnd = random.Random(seed)
     sizes = [rnd.randrange(1, 31) for _ in range(11)]
     counts = np.bincount(sizes, minlength=31)
@@ -239,7 +239,36 @@ def test_bin_completion_is_near_the_optimum(seed):
         for k, c in shape.items():
             placed[k] += c * n
     assert placed == Counter(sizes)
-    assert sum(n for _, n in plan) <= best_possible(sizes, 30) + 1
+    assert sum(n for _, n in plan) == best_possible(sizes, 30)
+
+
+def test_more_nodes_are_never_worse():
+    sizes = np.random.default_rng(0).integers(300, 500, 2000)
+    counts = np.bincount(sizes, minlength=1025)
+    used = []
+    for nodes in (0, 10, 300):
+        plan = packing.bin_completion(counts, 1024, nodes)
+        placed = Counter()
+        for shape, n in plan:
+            assert sum(k * c for k, c in shape.items()) <= 1024
+            for k, c in shape.items():
+                placed[k] += c * n
+        assert placed == Counter(sizes.tolist())
+        used.append(sum(n for _, n in plan))
+    assert used == sorted(used, reverse=True)
+    assert used[0] <= 887
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_lower_bound_and_dominance(seed):
+    rnd = random.Random(100 + seed)
+    low = rnd.randrange(1, 15)
+    sizes = [rnd.randrange(low, 31) for _ in range(9)]
+    counts = np.bincount(sizes, minlength=31)
+    best = best_possible(sizes, 30)
+    assert packing.least_sequences(counts, 30) <= best
+    first = packing.best_fit(counts, 30)
+    assert sum(n for _, n in packing.branch_and_bound(counts, 30, first, 0, 10**6)) == best
 
 
 def test_token_files_hold_all_ids(docs, rows):

@@ -1,16 +1,22 @@
 """Packing of tokenised documents into fixed-length sequences by bin completion.
 
 Only the number of pieces of each length matters for a plan, and there are at most `capacity` lengths, so the
-search runs on that histogram, whatever the corpus size. Around the largest piece left, branch and bound
-enumerates undominated fillings of the rest of the sequence, best-fit filling being the incumbent; each chosen
-filling is repeated as often as the counts allow. Pieces then find their places by their rank among pieces of
-their length, which is counted without gathering a length in one task.
+search runs on that histogram, whatever the corpus size. Best-fit decreasing is the first incumbent. A plan completes
+the sequence of the largest piece left, again and again: sums that the pieces left can reach are known, so fillings
+of a given waste are enumerated without dead ends; dominated ones are passed over, and a plan is given up once its
+waste says that it can't beat the incumbent. Dives take one filling at each step, as often as the counts allow; after
+them a branch and bound over all undominated fillings of single sequences goes on for a stated number of nodes.
+Pieces then find their places by their rank among pieces of their length, which is counted without gathering a length
+in one task.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,51 +29,81 @@ from tidemark.llm.tokens import encoder
 Plan = list[tuple[dict[int, int], int]]  # (pieces of each length in a sequence, number of such sequences)
 
 
-def filling(left: np.ndarray, room: int, nodes: int, exact: int) -> list[int]:
-    """Lengths, largest first, that fill `room` with least waste from the counts `left`.
+class Reach:
+    """Which sums up to `room` the pieces of a histogram have, as bits, by the largest length used."""
 
-    Branches take lengths in falling order. A branch ends when its waste can no longer beat the incumbent's, and a
-    filling that leaves room for another piece is dominated. Of up to `exact` fillings without waste the one that can
-    be repeated most often is taken, which uses up plentiful lengths. After `nodes` branches the incumbent stands.
-    """
-    have = np.flatnonzero(left)
-    sizes, counts = have.tolist(), left[have].tolist()
-    at_most = np.searchsorted(have, np.arange(room + 1), side="right") - 1
-
-    best: list[int] = []  # best fit: the largest that goes in, again and again
-    rest, at, used = room, int(at_most[room]), 0
-    while at >= 0 and rest:
-        if sizes[at] <= rest and used < counts[at]:
-            best.append(sizes[at])
-            used += 1
-            rest -= sizes[at]
-        else:
-            at, used = at - 1, 0
-    waste, seen = rest, 0
-    perfect: list[list[int]] = [] if waste else [best]
-
-    def branch(rest: int, at: int, used: int, chosen: list[int]) -> None:
-        """used: pieces already taken of the length at place `at`."""
-        nonlocal best, waste, seen
-        seen += 1
-        if rest < waste or (not rest and not waste):
-            best, waste = chosen, rest
-            if not rest:
-                perfect.append(chosen)
+    def __init__(self, left: np.ndarray, room: int):
+        self.left, self.room = left, room
+        self.sizes = (np.flatnonzero(left[: room + 1])).tolist()
+        self.counts = left[self.sizes].tolist()
+        mask = (2 << room) - 1
+        self.below = [1]  # below[j]: sums without the lengths from place j on
+        for x, c in zip(self.sizes, self.counts):
+            sums, n, step = self.below[-1], min(c, room // x), 1
+            while n > 0:
+                take = min(step, n)
+                sums |= (sums << (take * x)) & mask
+                n, step = n - take, step * 2
+            self.below.append(sums)
+
+    def fillings(self, total: int, at: int | None = None) -> Iterator[list[int]]:
+        """Every set of pieces, largest first, whose lengths add up to `total`; large pieces are tried first."""
+        if not total:
+            yield []
+            return
+        at = min(len(self.sizes) if at is None else at, bisect_right(self.sizes, total))
+        for j in range(at - 1, -1, -1):
+            x = self.sizes[j]
+            for t in range(min(self.counts[j], total // x), 0, -1):
+                if self.below[j] >> (total - t * x) & 1:
+                    for rest in self.fillings(total - t * x, j):
+                        yield [x] * t + rest
+            if not self.below[j] >> total & 1:
                 return
-        top = int(at_most[rest])
-        if top < at:
-            at, used = top, 0
-        while at >= 0 and seen < nodes and len(perfect) < exact:
-            if used < counts[at]:
-                branch(rest - sizes[at], at, used + 1, [*chosen, sizes[at]])
-            at, used = at - 1, 0
-
-    if room:
-        branch(room, int(at_most[room]), 0, [])
-    if len(perfect) > 1:
-        return max(perfect, key=lambda f: min(int(left[x]) // k for x, k in Counter(f).items()))
-    return best
+
+    def least_waste(self) -> int:
+        return self.room + 1 - self.below[-1].bit_length()
+
+    def dominated(self, chosen: list[int], waste: int) -> bool:
+        """Whether a piece left fits besides, or may stand for one or two of the chosen with as good an end."""
+        spare = Counter(chosen)
+        free = [x for x, c in zip(self.sizes, self.counts) if c > spare[x]]
+
+        def between(low: int, high: int) -> bool:
+            k = bisect_right(free, low)
+            return k < len(free) and free[k] <= high
+
+        if between(0, waste):
+            return True
+        return any(between(y, y + waste) for y in spare) or any(between(chosen[i] + chosen[k] - 1, chosen[i] + chosen[k] + waste) for i in range(len(chosen)) for k in range(i))
+
+
+def wasteless(reach: Reach, exact: int) -> list[int]:
+    """Of up to `exact` fillings of least waste the one that can be repeated most often, which uses up plentiful lengths."""
+    some = list(islice(reach.fillings(reach.room - reach.least_waste()), exact))
+    return max(some, key=lambda f: min((int(reach.left[x]) // k for x, k in Counter(f).items()), default=0))
+
+
+def sparing(left: np.ndarray, room: int, price: float, most: int = 6) -> list[int]:
+    """The filling of at most `most` pieces that has the least waste plus `price` a piece: small pieces are kept for
+    where they save a whole sequence."""
+    sizes = np.flatnonzero(left[: room + 1]).tolist()
+    mask = (2 << room) - 1
+    table = [[1] + [0] * most]  # sums by the number of pieces, without the lengths from a place on
+    for x in sizes:
+        now = list(table[-1])
+        for _ in range(min(int(left[x]), room // x, most)):
+            for k in range(most, 0, -1):
+                now[k] |= (now[k - 1] << x) & mask
+        table.append(now)
+    k = min((k for k in range(most + 1) if table[-1][k]), key=lambda k: (room + 1 - table[-1][k].bit_length() + price * k, k))
+    total, out = table[-1][k].bit_length() - 1, []
+    for j in range(len(sizes), 0, -1):
+        x = sizes[j - 1]
+        t = next(t for t in range(k + 1) if total >= t * x and t <= left[x] and table[j - 1][k - t] >> (total - t * x) & 1)
+        out += [x] * t
+        total, k = total - t * x, k - t
+    return out
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> Plan:
@@ -90,35 +126,105 @@ def best_fit(counts: np.ndarray, capacity: int) -> Plan:
     return [(dict(Counter(shape)), n) for group in open_.values() for shape, n in group.items()]
 
 
-def completed(counts: np.ndarray, capacity: int, nodes: int, exact: int) -> Plan:
-    """Around the largest piece left the best filling, as often as the counts allow, until none is left."""
+def dive(counts: np.ndarray, capacity: int, most: int, choose) -> Plan | None:
+    """Around the largest piece left one filling, as often as the counts allow, until none is left; None once the
+    plan needs over `most` sequences, which its waste tells."""
     left, plan = counts.astype(np.int64).copy(), []
+    allow = most * capacity - int(left @ np.arange(capacity + 1))
     for x in range(capacity, 0, -1):
         while left[x]:
             left[x] -= 1
-            need = Counter([x, *filling(left, capacity - x, nodes, exact)])
+            need = Counter([x, *choose(left, capacity - x)])
             left[x] += 1
             n = min(int(left[k]) // c for k, c in need.items())
+            allow -= n * (capacity - sum(k * c for k, c in need.items()))
+            if allow < 0:
+                return None
             for k, c in need.items():
                 left[k] -= n * c
             plan.append((dict(need), n))
     return plan
 
 
-def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 5_000) -> Plan:
-    """The plan of fewest sequences among best-fit decreasing, the incumbent, and completions that weigh 1 to 64
-    wasteless fillings; ends once no plan can be better. Every piece is placed exactly once."""
-    plan = best_fit(counts, capacity)
-    least = -(-int(counts @ np.arange(capacity + 1)) // capacity)
-    for exact in (1, 2, 4, 8, 16, 64):
-        if sum(n for _, n in plan) == least:
-            break
-        other = completed(counts, capacity, nodes, exact)
-        if sum(n for _, n in other) < sum(n for _, n in plan):
-            plan = other
+def branch_and_bound(counts: np.ndarray, capacity: int, plan: Plan, least: int, nodes: int) -> Plan:
+    """The best plan met within `nodes` fillings tried; more nodes go on from there, so they never give a worse one.
+
+    The bound: what all sequences may waste in a plan with one sequence less than the incumbent's.
+    """
+    used, total = sum(n for _, n in plan), int(counts @ np.arange(capacity + 1))
+    left, seen = counts.astype(np.int64).copy(), 0
+    path: list[list[int]] = []
+    spent = 0  # waste on the path
+
+    def options() -> Iterator[list[int]]:
+        x = int(np.flatnonzero(left)[-1])
+        left[x] -= 1
+        reach = Reach(left.copy(), capacity - x)
+        left[x] += 1
+        for waste in range(reach.least_waste(), capacity - x + 1):
+            if spent + waste > (used - 1) * capacity - total:
+                return
+            if reach.below[-1] >> (capacity - x - waste) & 1:
+                for f in reach.fillings(capacity - x - waste):
+                    if not reach.dominated(f, waste):
+                        yield [x, *f]
+
+    stack = [options()] if left.any() else []
+    while stack and used > least and seen < nodes:
+        chosen = next(stack[-1], None)
+        if chosen is None:
+            stack.pop()
+            if path:
+                old = path.pop()
+                spent -= capacity - sum(old)
+                np.add.at(left, old, 1)
+            continue
+        if spent + capacity - sum(chosen) > (used - 1) * capacity - total:
+            continue
+        seen += 1
+        path.append(chosen)
+        spent += capacity - sum(chosen)
+        np.subtract.at(left, chosen, 1)
+        if left.any():
+            stack.append(options())
+            continue
+        if len(path) < used:
+            used = len(path)
+            plan = [(dict(Counter(f)), n) for f, n in Counter(map(tuple, path)).items()]
+        old = path.pop()
+        spent -= capacity - sum(old)
+        np.add.at(left, old, 1)
     return plan
 
 
+def least_sequences(counts: np.ndarray, capacity: int) -> int:
+    """A lower bound: by the total, and by pieces that can't share a sequence with each other."""
+    size = np.arange(capacity + 1)
+    best = -(-int(counts @ size) // capacity)
+    up, sums = np.cumsum(counts[::-1])[::-1], np.cumsum(counts * size)
+    for k in range(1, capacity // 2 + 1):  # pieces over capacity - k stand without those of k or more
+        alone, wide = int(up[capacity - k + 1]) if k else 0, int(up[capacity // 2 + 1])
+        half = wide - alone
+        middle = int(sums[capacity // 2] - sums[k - 1])
+        room = half * capacity - int(sums[capacity - k] - sums[capacity // 2])
+        best = max(best, alone + half + max(0, -(-(middle - room) // capacity)))
+    return best
+
+
+def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 2_000) -> Plan:
+    """The plan of fewest sequences met; every piece is placed exactly once. It ends at the lower bound, or after all
+    dives and `nodes` fillings of the branch and bound; small instances end there with proof."""
+    plan, least = best_fit(counts, capacity), least_sequences(counts, capacity)
+    ways = [lambda left, room, e=exact: wasteless(Reach(left, room), e) for exact in (1, 2, 4, 8, 16, 64)]
+    ways += [lambda left, room, p=capacity * k / 32: sparing(left, room, p) for k in (2, 4, 5, 6, 7, 8, 9, 10, 12)]
+    for choose in ways:
+        used = sum(n for _, n in plan)
+        if used <= least:
+            return plan
+        plan = dive(counts, capacity, used - 1, choose) or plan
+    return branch_and_bound(counts, capacity, plan, least, nodes)
+
+
 def _piece_rows(path: str, end: int, capacity: int):
     def run(batches):
         code = encoder(path)
