@@ -9,7 +9,7 @@ from itertools import chain
 import numpy as np
 
 #: Fixed value: how the byte-level vocabularies split a text into pieces before merging, as it reads for Latin letters,
-#: their digits and common punctuation. Texts with any other character go to the library as they are.
+#: their digits and common punctuation. Texts with any other character or an added token go to the library as they are.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 PIECES = rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+"
 PLAIN = r"[\t\n\r -~¡-±´-¸º»¿-ɏ‐-‧]*"
@@ -26,7 +26,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # added tokens (end of text and the like) are no pieces: texts that hold one go to the library whole
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split, self.plain = re.compile(PIECES).findall, re.compile(PLAIN).fullmatch
         self.most, self.known = most, {}
         size = self.tokenizer.get_vocab_size()
@@ -56,7 +57,8 @@ class Encoder:
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """ids of each text and the end id; a null counts as empty."""
         tail = end.to_bytes(4, "little")
-        pieces = [self.split(t) if t and self.plain(t) else None for t in texts]
+        whole = lambda t: any(a in t for a in self.added) or not self.plain(t)
+        pieces = [None if not t or whole(t) else self.split(t) for t in texts]
         if len(self.known) > self.most:
             self.known = {}
         self._learn(list(set(chain.from_iterable(filter(None, pieces))).difference(self.known)))
