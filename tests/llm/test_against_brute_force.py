@@ -177,10 +177,22 @@ def ids_of(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
+def test_ids_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.tokens import Encoder
+
+    library, own, rnd = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path()), random.Random(3)
+    parts = ["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "don't", "it's", " 12", "Über", "naïve", "...", "—", "日本", "😀", "\t", "a", " the", "I'LL", "\u00a0", "\x1c", "_"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(12))) for _ in range(2000)]
+    got = own.encode(texts, 2)
+    for t, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids + [2], t
+
+
 def test_packing_places_every_piece_once(docs, rows):
     got = packing.pack(docs, tokenizer_path(), 128, 2).collect()
     want, total = Counter(), 0
@@ -282,6 +294,9 @@ def test_token_files_hold_all_ids(docs, rows):
     for r in sorted(got, key=lambda r: r.start):
         assert r.start == at
         at += r.n_tokens
+    rolled = token_blocks.token_documents(docs, tokenizer_path(), 2, 20_000).collect()  # many files
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rolled) == want
+    assert sorted(r.start for r in rolled) == sorted(r.start for r in got)
     order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert order == sorted(order, key=lambda d: (d is not None, d or 0))
 

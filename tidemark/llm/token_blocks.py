@@ -116,93 +116,123 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _write_files(folder: str, tokenizer: str, end: int):
+class _File:
+    """A token file in the making. Its name holds the attempt, and only files that the manifest lists are ever read."""
+
+    def __init__(self, store, path: str):
+        self.out, self.path, self.at = store.open_output_stream(path), path, len(MAGIC)
+        self.out.write(MAGIC)
+        self.starts: list[int] = []
+        self.docs: list[tuple[int, int, int]] = []
+        self.held, self.ids = np.zeros(0, np.uint32), 0
+
+    def add(self, docs: list[tuple[int, int, int]], ids: bytes, last: bool = False) -> None:
+        self.docs += docs
+        self.held = np.concatenate((self.held, np.frombuffer(ids, "<u4")))
+        ready = len(self.held) if last else len(self.held) // BLOCK * BLOCK
+        for block in encode_blocks(self.held[:ready]):
+            self.starts.append(self.at)
+            self.out.write(block)
+            self.at += len(block)
+        self.ids, self.held = self.ids + ready, self.held[ready:]
+
+    def close(self) -> tuple[str, int, int]:
+        self.add([], b"", last=True)
+        self.out.write(np.array(self.starts, "<u8").tobytes())
+        i, has, n = (np.array(c) for c in zip(*self.docs))
+        self.out.write(i.astype("<i8").tobytes() + has.astype(np.uint8).tobytes() + n.astype("<u8").tobytes())
+        self.out.write(struct.pack(FOOT, self.ids, len(self.docs), len(self.starts)))
+        self.out.close()
+        return self.path, self.ids, len(self.docs)
+
+
+def _write_files(folder: str, tokenizer: str, end: int, file_bytes: int):
     def run(batches):
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
+        task = TaskContext.get()
         code = encoder(tokenizer, 1_000_000)
         store, base = file_system(folder)
-        name = f"{base}/shard-{shard:08d}.pfr"
-        draft = f"{base}/.draft-{shard:08d}-{TaskContext.get().taskAttemptId()}"
-        starts: list[int] = []
-        docs: list[tuple[int, int, int]] = []
-        held, total = np.zeros(0, np.uint32), 0
+        made: list[tuple[str, int, int]] = []
         out = None
         for batch in slices(batches, "text"):
-            if out is None:
-                out = store.open_output_stream(draft)
-                out.write(MAGIC)
-                at = len(MAGIC)
             coded = code.encode(batch.column(1).to_pylist(), end)
-            docs += [(i or 0, int(i is not None), len(c) // 4) for i, c in zip(batch.column(0).to_pylist(), coded)]
-            held = np.concatenate((held, np.frombuffer(b"".join(coded), "<u4")))
-            ready = len(held) // BLOCK * BLOCK
-            for block in encode_blocks(held[:ready]):
-                starts.append(at)
-                out.write(block)
-                at += len(block)
-            total, held = total + ready, held[ready:]
-        if out is None:
-            return
-        for block in encode_blocks(held):
-            starts.append(at)
-            out.write(block)
-        out.write(np.array(starts, "<u8").tobytes())
-        i, has, n = (np.array(c) for c in zip(*docs))
-        out.write(i.astype("<i8").tobytes() + has.astype(np.uint8).tobytes() + n.astype("<u8").tobytes())
-        out.write(struct.pack(FOOT, total + len(held), len(docs), len(starts)))
-        out.close()
-        store.move(draft, name)
-        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([total + len(held)]), pa.array([len(docs)])], ["shard", "n_ids", "n_docs"])
+            if out is None:
+                out = _File(store, f"{base}/shard-{task.partitionId():06d}-{len(made):06d}-{task.taskAttemptId()}.pfr")
+            out.add([(i or 0, int(i is not None), len(c) // 4) for i, c in zip(batch.column(0).to_pylist(), coded)], b"".join(coded))
+            if out.at >= file_bytes:
+                made.append(out.close())
+                out = None
+        if out is not None:
+            made.append(out.close())
+        if made:
+            path, ids, docs = zip(*made)
+            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()] * len(made), pa.int64()), pa.array(range(len(made)), pa.int64()), pa.array(path), pa.array(ids, pa.int64()), pa.array(docs, pa.int64())], ["shard", "part", "path", "n_ids", "n_docs"])
+
+    return run
+
+
+def _read_files(folder: str):
+    """Reads a million ids at a time through the index of block starts, whatever the file's size."""
+
+    def run(batches):
+        store, _ = file_system(folder)
+        for batch in batches:
+            for path, base in zip(*(c.to_pylist() for c in batch.columns)):
+                with store.open_input_file(path) as f:
+                    size = f.size()
+
+                    def part(at: int, n: int) -> bytes:
+                        f.seek(at)
+                        return f.read(n)
+
+                    n_ids, n_docs, n_blocks = struct.unpack(FOOT, part(size - FOOT_SIZE, FOOT_SIZE))
+                    at = size - FOOT_SIZE - 17 * n_docs
+                    table = part(at, 17 * n_docs)
+                    ids, has, n = np.frombuffer(table, "<i8", n_docs), np.frombuffer(table, np.uint8, n_docs, 8 * n_docs), np.frombuffer(table, "<u8", n_docs, 9 * n_docs).astype(np.int64)
+                    starts = np.append(np.frombuffer(part(at - 8 * n_blocks, 8 * n_blocks), "<u8").astype(np.int64), at - 8 * n_blocks)
+                    past, doc, crc = np.cumsum(n), 0, 0
+                    sums, left = [], int(n[0])
+                    for b in range(0, n_blocks, 4096):
+                        e = min(n_blocks, b + 4096)
+                        need = decode_blocks(part(int(starts[b]), int(starts[e] - starts[b])), starts[b:e] - starts[b]).astype("<u4", copy=False)
+                        k = 0
+                        while doc < n_docs and k < len(need):  # a document may go on in the next part
+                            take = min(left, len(need) - k)
+                            crc, k, left = zlib.crc32(need[k : k + take], crc), k + take, left - take
+                            if not left:
+                                sums.append(crc)
+                                doc, crc = doc + 1, 0
+                                left = int(n[doc]) if doc < n_docs else 0
+                if len(sums) != n_docs or int(past[-1]) != n_ids:
+                    raise ValueError(f"token file {path} does not add up")
+                for k in range(0, n_docs, 10_000):
+                    to = slice(k, k + 10_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[to], mask=has[to] == 0), pa.array(base + (past - n)[to]), pa.array(n[to]), pa.array(sums[to], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
 
-def _read_files(batches):
-    for batch in batches:
-        for data, base in zip(batch.column(0), batch.column(1).to_pylist()):
-            data = data.as_buffer().to_pybytes()
-            n_ids, n_docs, n_blocks = struct.unpack_from(FOOT, data, len(data) - FOOT_SIZE)
-            at = len(data) - FOOT_SIZE - 17 * n_docs
-            ids, has, n = np.frombuffer(data, "<i8", n_docs, at), np.frombuffer(data, np.uint8, n_docs, at + 8 * n_docs), np.frombuffer(data, "<u8", n_docs, at + 9 * n_docs).astype(np.int64)
-            starts = np.frombuffer(data, "<u8", n_blocks, at - 8 * n_blocks).astype(np.int64)
-            past = np.cumsum(n)
-            crc, doc, need = np.zeros(n_docs, np.int64), 0, np.zeros(0, np.uint32)
-            sums: list[int] = []
-            for b in range(0, n_blocks, 4096):  # a million ids at a time, whatever the file's size
-                need = np.concatenate((need, decode_blocks(data, starts[b : b + 4096]))).astype("<u4", copy=False)
-                at = 0
-                while doc < n_docs and at + n[doc] <= len(need):
-                    sums.append(zlib.crc32(need[at : at + n[doc]]))
-                    at, doc = at + int(n[doc]), doc + 1
-                need = need[at:]
-            crc[:] = sums
-            if int(past[-1]) != n_ids:
-                raise ValueError("a token file does not add up")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=has == 0), pa.array(base + past - n), pa.array(n), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-
-def write_token_files(docs: DataFrame, tokenizer: str, end: int = 2) -> tuple[str, DataFrame]:
-    """Files in a new folder of the shared directory, in ascending doc_id order, and their sizes (one row per file)."""
+def write_token_files(docs: DataFrame, tokenizer: str, end: int = 2, file_bytes: int = 128 << 20) -> tuple[str, DataFrame]:
+    """Files in a new folder of the shared directory, in ascending doc_id order, and their manifest: shard, part, path,
+    n_ids, n_docs, a row per file. A task begins another file once one has `file_bytes` (and ends the document)."""
     folder = fresh_path(docs.sparkSession, "token-files")
     store, base = file_system(folder)
     store.create_dir(base)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(tasks(docs), "doc_id").sortWithinPartitions("doc_id")
-    return folder, written(dealt.mapInArrow(_write_files(folder, tokenizer, end), "shard long, n_ids long, n_docs long"), "token-sizes")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))  # many rows of one id need not be one task's
+    dealt = dealt.repartitionByRange(tasks(docs), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    return folder, written(dealt.mapInArrow(_write_files(folder, tokenizer, end, file_bytes), "shard long, part long, path string, n_ids long, n_docs long"), "token-manifest")
 
 
-def token_documents(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
+def token_documents(docs: DataFrame, tokenizer: str, end: int = 2, file_bytes: int = 128 << 20) -> DataFrame:
     """Writes the files and reads them back: doc_id, start, n_tokens, ids_crc32 per document.
 
     docs: doc_id (a whole number), text; other columns are ignored, whatever their names. A null or empty text is the
     end id alone. Null ids come first; rows with equal ids come next to each other in any order. An empty table
-    gives no files and an empty result.
+    gives no files and an empty result. Only files that the committed manifest lists are read, so tasks that ran twice
+    leave nothing behind that counts.
     """
-    spark = docs.sparkSession
-    folder, sizes = write_token_files(docs, tokenizer, end)
-    before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # one row per file
-    bases = sizes.select("shard", F.coalesce(before, F.lit(0)).alias("base"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfr").load(folder)
-    files = files.select("content", F.regexp_extract("path", r"shard-(\d+)\.pfr$", 1).cast("long").alias("shard"))
-    return files.join(F.broadcast(bases), "shard").select("content", "base").mapInArrow(_read_files, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    folder, manifest = write_token_files(docs, tokenizer, end, file_bytes)
+    before = F.sum("n_ids").over(Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1))  # one row per file
+    files = manifest.select("path", F.coalesce(before, F.lit(0)).alias("base")).repartition(max(tasks(docs), manifest.count()))
+    return files.mapInArrow(_read_files(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
