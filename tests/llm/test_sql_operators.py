@@ -1,6 +1,7 @@
 """Operators that SQL can express: awkward tables here, whole tables against DuckDB."""
 
 import hashlib
+import io
 import json
 from collections import Counter
 
@@ -45,12 +46,13 @@ def test_archives_round_trip(spark):
 def test_plain_archives_and_cut_members():
     import gzip
 
+
     records = warc.capture_records(1, "http://a", b"x" * 300_000, "00", 1)
     packed = b"".join(map(gzip.compress, records))
-    assert [f["warc-type"] for f, _ in warc.split_records(packed)] == ["request", "response", "metadata"]
-    assert [b for _, b in warc.split_records(packed)] == [b for _, b in warc.split_records(b"".join(records))]
+    assert [f["warc-type"] for f, _ in warc.split_records(io.BytesIO(packed))] == ["request", "response", "metadata"]
+    assert [b for _, b in warc.split_records(io.BytesIO(packed))] == [b for _, b in warc.split_records(io.BytesIO(b"".join(records)))]
     with pytest.raises(ValueError):
-        list(warc.split_records(packed[:-5]))
+        list(warc.split_records(io.BytesIO(packed[:-5])))
 
 
 CALLS = "conv_id long, call_id string, position long, name string, arguments string, after array<string>, content string"

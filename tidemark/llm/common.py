@@ -71,7 +71,7 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how:
     if hot.isEmpty():
         return left.join(right, on, how)
     mark = left.join(F.broadcast(hot.select(*on)), on, "left_anti")
-    return left.join(F.broadcast(hot), on, how).unionByName(mark.join(right.where(F.col(weight) <= most), on, how))
+    return left.join(F.broadcast(hot), on, "inner" if how == "left" else how).unionByName(mark.join(right.where(F.col(weight) <= most), on, how))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:

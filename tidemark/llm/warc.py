@@ -11,12 +11,13 @@ import gzip
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh_path, written
+from tidemark.llm.common import fresh_path, hot_join, tasks, written
 from tidemark.llm.token_blocks import file_system
 
 DATE = "2024-01-01T00:00:00Z"
@@ -55,72 +56,68 @@ def capture_records(page: int, url: str | None, html: bytes, digest: str, first:
 
 
 def _write_archives(folder: str):
+    """Archives named by attempt, and a row for each; only those that the written manifest lists are read."""
+
     def run(batches):
         from pyspark import TaskContext
 
         task = TaskContext.get()
         store, base = file_system(folder)
-        out, part, size = None, 0, 0
-
-        def close():
-            out.close()
-            store.move(draft, f"{base}/part-{task.partitionId():06d}-{part:06d}.warc.gz")
-
+        made: list[str] = []
+        out, size = None, 0
         for batch in batches:
             for page, url, html, digest, first in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
-                    draft, size = f"{base}/.draft-{task.partitionId()}-{task.taskAttemptId()}-{part}", 0
-                    out = store.open_output_stream(draft, compression=None)
+                    made.append(f"{base}/part-{task.partitionId():06d}-{len(made):06d}-{task.taskAttemptId()}.warc.gz")
+                    out, size = store.open_output_stream(made[-1], compression=None), 0
                 for r in capture_records(page, url, (html or "").encode("utf-8", "replace"), digest, first):
                     member = gzip.compress(r, 6, mtime=0)
                     out.write(member)
                     size += len(member)
                 if size >= ARCHIVE_BYTES:
-                    close()
-                    out, part = None, part + 1
+                    out.close()
+                    out = None
         if out is not None:
-            close()
-            part += 1
-        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()]), pa.array([part])], ["task", "archives"])
+            out.close()
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()] * len(made), pa.int64()), pa.array(made)], ["task", "path"])
 
     return run
 
 
-def members(data: bytes):
-    """What each gzip member of an archive holds; input is fed in small steps, so no rest is copied."""
-    view, at = memoryview(data), 0
-    while at < len(view):
-        z, parts, step = zlib.decompressobj(31), [], 4096
+def members(stream, step: int = 1 << 14) -> Iterator[bytes]:
+    """What each gzip member of an archive holds; the archive is read in small steps."""
+    fed = stream.read(step)
+    while fed:
+        z, parts = zlib.decompressobj(31), []
         while not z.eof:
-            if at >= len(view):
+            if not fed:
                 raise ValueError("a gzip member is cut short")
-            fed = view[at : at + step]
             parts.append(z.decompress(fed))
-            at += len(fed) - len(z.unused_data)
-            step = min(step * 2, 1 << 20)
+            fed = z.unused_data if z.eof else stream.read(step)
         yield b"".join(parts)
-
-
-def split_records(data: bytes):
-    """(fields, block) of each record of an archive, gzipped member by member or plain."""
-    if data[:2] == b"\x1f\x8b":
-        for member in members(data):
-            yield from split_records(member)
-        return
-    at = 0
-    while at < len(data):
-        if data[at : at + 5] != b"WARC/":
-            raise ValueError("not a WARC record")
-        end = data.index(b"\r\n\r\n", at)
-        fields: dict[str, str] = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            k, _, v = line.partition(":")
-            fields.setdefault(k.strip().lower(), v.strip())
-        size = int(fields["content-length"])
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        while data[at : at + 2] == b"\r\n":
-            at += 2
+        fed = fed or stream.read(step)
+
+
+def split_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields, block) of each record of an open archive, gzipped member by member or plain."""
+    start = stream.read(2)
+    stream.seek(0)
+    for data in members(stream) if start == b"\x1f\x8b" else [stream.read()]:
+        at = 0
+        while at < len(data):
+            if data[at : at + 5] != b"WARC/":
+                raise ValueError("not a WARC record")
+            end = data.index(b"\r\n\r\n", at)
+            fields: dict[str, str] = {}
+            for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+                k, _, v = line.partition(":")
+                fields.setdefault(k.strip().lower(), v.strip())
+            size = int(fields["content-length"])
+            yield fields, data[end + 4 : end + 4 + size]
+            at = end + 4 + size
+            while data[at : at + 2] == b"\r\n":
+                at += 2
 
 
 _RECORDS = "kind string, id string, to string, uri string, digest string, refers string, refers_page long, page long, payload_bytes long, payload_sha256 string, has_url boolean"
@@ -128,29 +125,39 @@ _NAMES = [x.split()[0] for x in _RECORDS.split(", ")]
 _TYPES = [pa.string()] * 6 + [pa.int64()] * 3 + [pa.string(), pa.bool_()]
 
 
-def _read_archives(batches):
-    for batch in batches:
-        for data in batch.column(0):
-            out: list[tuple] = []
-            for f, block in split_records(data.as_buffer().to_pybytes()):
-                kind = f["warc-type"]
-                payload = block.partition(b"\r\n\r\n")[2] if kind in ("response", "revisit") else b""
-                own = re.search(rb"(?i)x-page-id: (-?\d+)|page-id: (-?\d+)", block.partition(b"\r\n\r\n")[0]) if kind != "request" else None
-                size = re.search(rb"payload-bytes: (\d+)", block) if kind == "metadata" else None
-                out.append((
-                    kind, f["warc-record-id"], f.get("warc-concurrent-to"), f.get("warc-target-uri"), f.get("warc-payload-digest", "").removeprefix("sha256:") or None, f.get("warc-refers-to"),
-                    int(f["warc-refers-to-page"]) if "warc-refers-to-page" in f else None, int(own[1] or own[2]) if own else None,
-                    int(size[1]) if size else len(payload), hashlib.sha256(payload).hexdigest() if kind == "response" else None, b"has-url: 1" in block if kind == "metadata" else None,
-                ))
-                if len(out) == 5000:
+def _read_archives(folder: str):
+    def run(batches):
+        store, _ = file_system(folder)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                out: list[tuple] = []
+                with store.open_input_file(path) as f:
+                    for row in map(_record_row, split_records(f)):
+                        out.append(row)
+                        if len(out) == 5000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], _NAMES)
+                            out = []
+                if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], _NAMES)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], _NAMES)
+
+    return run
+
+
+def _record_row(found: tuple[dict[str, str], bytes]) -> tuple:
+    f, block = found
+    kind = f["warc-type"]
+    payload = block.partition(b"\r\n\r\n")[2] if kind in ("response", "revisit") else b""
+    own = re.search(rb"(?i)x-page-id: (-?\d+)|page-id: (-?\d+)", block.partition(b"\r\n\r\n")[0]) if kind != "request" else None
+    size = re.search(rb"payload-bytes: (\d+)", block) if kind == "metadata" else None
+    return (
+        kind, f["warc-record-id"], f.get("warc-concurrent-to"), f.get("warc-target-uri"), f.get("warc-payload-digest", "").removeprefix("sha256:") or None, f.get("warc-refers-to"),
+        int(f["warc-refers-to-page"]) if "warc-refers-to-page" in f else None, int(own[1] or own[2]) if own else None,
+        int(size[1]) if size else len(payload), hashlib.sha256(payload).hexdigest() if kind == "response" else None, b"has-url: 1" in block if kind == "metadata" else None,
+    )
 
 
-def write_warc(pages: DataFrame) -> str:
-    """Archives of all pages in a new folder of the shared directory; its address.
+def write_warc(pages: DataFrame) -> tuple[str, DataFrame]:
+    """Archives of all pages in a new folder of the shared directory: its address, and the manifest (task, path).
 
     pages: page_id, url, html. A null html is an empty payload. Payloads of less than 100 bytes are always responses.
     """
@@ -159,19 +166,19 @@ def write_warc(pages: DataFrame) -> str:
     store.create_dir(base)
     rows = pages.select("page_id", "url", "html", F.sha2(F.encode(F.coalesce("html", F.lit("")), "utf-8"), 256).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
     first = rows.where(F.col("size") >= LEAST_PAYLOAD).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    shared = rows.join(first.select(F.col("digest").alias("_d"), "first"), (F.col("digest") == F.col("_d")) & (F.col("size") >= LEAST_PAYLOAD), "left")
+    shared = hot_join(rows, written(first, "payloads"), ["digest"], "n", "left")  # equal digests, equal sizes
     shared = shared.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "digest", F.coalesce("first", "page_id").cast("long").alias("first"))
-    written(shared.where("page_id IS NOT NULL").mapInArrow(_write_archives(folder), "task long, archives long"), "warc-tasks")
-    return folder
+    return folder, written(shared.where("page_id IS NOT NULL").mapInArrow(_write_archives(folder), "task long, path string"), "warc-manifest")
 
 
-def read_captures(spark, folder: str) -> DataFrame:
+def read_captures(folder: str, manifest: DataFrame) -> DataFrame:
     """One nested row per capture: page_id, url, response, request, metadata, joined through WARC-Concurrent-To.
 
-    A response or revisit without request or metadata keeps nulls there; those without a response are left out.
+    manifest: path, a row per archive (any file system that pyarrow knows; `folder` names it). A response or revisit
+    without request or metadata keeps nulls there; those without a response are left out.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("content")
-    records = written(files.mapInArrow(_read_archives, _RECORDS), "warc-records")
+    files = manifest.select("path").repartition(max(tasks(manifest), manifest.count()))
+    records = written(files.mapInArrow(_read_archives(folder), _RECORDS), "warc-records")
     main = records.where("kind IN ('response', 'revisit')")
     asked = records.where("kind = 'request'").groupBy("to").agg(F.min(F.struct("id", "uri")).alias("request"))
     told = records.where("kind = 'metadata'").groupBy("to").agg(F.min(F.struct("id", "page", "payload_bytes", "has_url")).alias("metadata"))
@@ -189,7 +196,7 @@ def captures(pages: DataFrame) -> DataFrame:
     page_id have no record identifier and are left out. Rows that repeat a page_id and payload give one record each with the
     same identifier, and one capture row each; with another payload they have an identifier of their own. An empty table gives an empty result.
     """
-    return read_captures(pages.sparkSession, write_warc(pages))
+    return read_captures(*write_warc(pages))
 
 
 def capture_digests(pages: DataFrame) -> DataFrame:
