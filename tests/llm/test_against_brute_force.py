@@ -151,9 +151,25 @@ def edited(seed, n, words=120):
 def test_every_link_is_found(spark, rows):
     more = rows + [(2000 + i, t) for i, t in enumerate(edited(1, 40) + edited(2, 7))] + [(3000, "A b, c d e!"), (3001, "a B c d E"), (3002, "a b c d e f")]
     df = spark.createDataFrame([(*r, 0) for r in more], "doc_id long, text string, words int")
-    for block in (256, 8):
-        got = Counter(map(tuple, ngram_join.near_duplicates(df, block=block).collect()))
-        assert got == near(more)
+    want = near(more)
+    for block, whole in ((256, 4096), (8, 4096), (8, 5)):
+        got = Counter(map(tuple, ngram_join.near_duplicates(df, block=block, whole=whole).collect()))
+        assert got == want
+
+
+def test_a_long_chain_of_weak_links(spark):
+    rnd = random.Random(4)
+    words, texts = [f"w{k}" for k in range(1400)], []
+    for i in range(400):  # each shares most of its words with the next ones, few are near by the threshold
+        own = words[3 * i : 3 * i + 60]
+        texts.append(" ".join(own))
+        if i % 50 == 0:
+            own[rnd.randrange(60)] = "other"
+            texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, ngram_join.near_duplicates(df, block=32, whole=16).collect()))
+    assert got == near(rows)
 
 
 def test_one_of_each_class_stays(spark):
