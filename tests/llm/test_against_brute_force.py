@@ -391,8 +391,8 @@ def test_passages_of_benchmarks_are_found(spark):
     want.add((102, 52))
     df = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, item int")
     bench = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, at int")
-    for size in (8 << 20, 400):  # all items at once, and in several blocks
-        got = decontaminate.contaminated(df, bench, block_bytes=size).collect()
+    for most in (4_000_000, 0):  # documents sifted in the scan, and not
+        got = decontaminate.contaminated(df, bench, most_filter=most).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want
         assert all(0.5 <= r.score <= 1 for r in got)
     left = decontaminate.without_contaminated(df, bench)
@@ -400,6 +400,48 @@ def test_passages_of_benchmarks_are_found(spark):
     assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_common_words_and_very_long_items(spark):
+    rnd = random.Random(11)
+    common = [f"c{k}" for k in range(30)]
+    short = [rnd.choice(common) for _ in range(14)]
+    short[6] = "rareword"  # the copy has another word here
+    long = [f"l{rnd.randrange(10**6)}" for _ in range(50_000)]
+    texts = [" ".join(rnd.choice(common) for _ in range(3000)) for _ in range(20)]
+    leak = " ".join(short[:6] + ["swapped"] + short[7:])
+    book = " ".join(long[20_000:20_500])
+    rows = [(i, t) for i, t in enumerate(texts)] + [(50, "x y z " + leak + " u v"), (51, "p q " + book + " r"), (52, " ".join(long))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(df, bench, least=0.8).collect()}
+    assert set(got) == {(50, 1), (51, 2), (52, 2)}
+    assert got[52, 2] == 1.0
+
+
+def test_all_pairs_over_the_threshold_are_found(spark):
+    rnd = random.Random(21)
+    word = lambda: f"w{int(rnd.paretovariate(0.6))}"
+    items = [(i, [word() for _ in range(rnd.randrange(8, 25))]) for i in range(15)]
+    docs = []
+    for d in range(60):
+        text = [word() for _ in range(rnd.randrange(5, 120))]
+        if d % 2:
+            copy = list(rnd.choice(items)[1])
+            for _ in range(rnd.randrange(len(copy) // 3)):
+                copy[rnd.randrange(len(copy))] = word()
+            text[len(text) // 2 : len(text) // 2] = copy
+        docs.append((d, text))
+    want = {}
+    for d, t in docs:
+        for i, w in items:
+            score = local_score(w, t) / (2 * len(w))
+            if score >= 0.7:
+                want[d, i] = score
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(df, bench, least=0.7).collect()}
+    assert want and got == want
+
+
 def test_whole_leaks_in_the_corpus_are_found(spark):
     sf = "/root/testdata/sf0.01"
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))

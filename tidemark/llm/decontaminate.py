@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the passages they point at.
 
-Test items are taken in blocks of bounded size, each broadcast against all documents; the documents never move.
-Word frequencies over the whole corpus decide which n-grams of an item are rare enough to be seeds. Every seed
-that a document shares with an item marks a passage; passages are aligned with the item word by word.
+Word frequencies over the whole corpus decide which n-grams of a test item are its seeds: all that are rare, and the
+rarest of every short stretch, so that no stretch is without one. Documents meet the seeds in a Spark join on their
+hashes. Seeds that a document shares with an item mark passages, which are joined with the item's words and aligned
+with them word by word.
 """
 
 from __future__ import annotations
@@ -12,29 +13,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Members, row_key, slices, word_hashes, written
+from tidemark.llm.common import Members, hot_join, row_key, signed, slices, tasks, word_hashes, written
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+NUMBER = np.int64(2**63 - 1)  # of a word's hash in alignments, where numbers below 0 match nothing
 
 
-def _count_rows(words: np.ndarray):
+def _count_rows(words: np.ndarray | None):
+    """(word, n) of each slice; n of no word: all words."""
+
     def run(batches):
-        known = Members(words)
-        total = np.zeros(len(known.values) + 1, np.int64)  # the last is all other words
+        known = Members(words) if words is not None else None
         for batch in slices(batches, "text"):
             h, _, _ = word_hashes(batch.column(0))
-            at = known.find(h)
-            total += np.bincount(np.where(at < 0, len(known.values), at), minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["word", "n"])
+            hit = h[known.find(h) >= 0] if known else h
+            word, n = np.unique(hit, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([*signed(word).tolist(), None], pa.int64()), pa.array([*n.tolist(), len(h)], pa.int64())], ["word", "n"])
 
     return run
 
 
-def grams(ids: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n-grams of word numbers."""
-    h = np.zeros(max(0, len(ids) - n + 1), np.uint64)
+def grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams of word hashes."""
+    h = np.full(max(0, len(words) - n + 1), n, np.uint64)
     for i in range(n):
-        h = (h ^ ids[i : len(ids) - n + 1 + i].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(i + 1)
+        h = (h ^ words[i : len(words) - n + 1 + i]) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(i + 1)
         h ^= h >> np.uint64(29)
     return h * np.uint64(0x9FB21C651E98DF25)
 
@@ -73,113 +76,174 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, first, last
 
 
-def _match_rows(vocabulary: np.ndarray, seeds: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], n: int, least: float):
-    """seeds: for each item its number, word places, hashes of its seed n-grams and their starts."""
+def seeds_of(odds: np.ndarray, rare: float, stretch: int) -> np.ndarray:
+    """Places of an item's seeds: grams of odds `rare` or less, and the least likely of every `stretch` in a row."""
+    chosen = odds <= rare
+    w = min(stretch, len(odds))
+    windows = np.lib.stride_tricks.sliding_window_view(odds, w)
+    chosen[np.arange(len(windows)) + windows.argmin(1)] = True
+    return np.flatnonzero(chosen) if chosen.sum() > 1 else np.arange(len(odds))
+
+
+def _item_rows(longest: int):
+    """Word hashes of items, and of each of their stretches if they are long; the last stretch ends with the item."""
 
     def run(batches):
-        known = Members(vocabulary)
-        hashes = np.concatenate([s[2] for s in seeds])
-        item = np.repeat(np.arange(len(seeds)), [len(s[2]) for s in seeds])
-        start = np.concatenate([s[3] for s in seeds])
-        order = np.argsort(hashes, kind="stable")
-        hashes, item, start = hashes[order], item[order], start[order]
-        set_ = Members(hashes)
-        first, past = np.searchsorted(hashes, set_.values), np.searchsorted(hashes, set_.values, side="right")
-        length = np.array([len(s[1]) for s in seeds])
         for batch in slices(batches, "text"):
             words, off, _ = word_hashes(batch.column(1))
-            ids = known.find(words)
-            if len(ids) < n:
-                continue
-            here = ids >= 0
-            full = np.logical_and.reduce([here[i : len(ids) - n + 1 + i] for i in range(n)])
-            spot = np.flatnonzero(full)
+            words, at, part, out = signed(words), batch.column(0).to_pylist(), [], []
+            for i, (a, b) in enumerate(zip(off[:-1], off[1:])):
+                for s in range(a, b, longest):
+                    part.append(at[i])
+                    out.append(words[max(a, min(s, b - longest)) : min(b, s + longest)])
+            if part:
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["at", "words"])
+
+    return run
+
+
+def _seed_rows(n: int, rare: float, stretch: int, total: float):
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for item, words in zip(*(c.to_pylist() for c in batch.columns)):
+                words.sort(key=lambda w: w["pos"])
+                own, share = np.array([w["word"] for w in words], np.int64).view(np.uint64), (np.array([w["n"] for w in words]) + 1) / max(1.0, total)
+                size = min(n, len(own))
+                odds = np.prod([share[k : len(own) - size + 1 + k] for k in range(size)], axis=0)
+                start = seeds_of(odds, rare, stretch)
+                out += [(g, item, s, len(own), size) for g, s in zip(signed(grams(own, size)[start]).tolist(), start.tolist())]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["gram", "part", "start", "length", "size"])
+
+    return run
+
+
+def _hit_rows(sizes: list[int], wanted: np.ndarray | None):
+    """Documents that hold a wanted gram (null: any gram): their words and where those grams start."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        known = Members(wanted) if wanted is not None else None
+        row = TaskContext.get().partitionId() << 33
+        for batch in slices(batches, "text"):
+            words, off, _ = word_hashes(batch.column(1))
+            spot, gram = [], []
+            for size in sizes:
+                g = grams(words, size)
+                at = np.flatnonzero(known.find(g) >= 0) if known else np.arange(len(g))
+                at = at[at + size <= off[np.searchsorted(off, at, side="right")]]
+                spot.append(at)
+                gram.append(g[at])
+            spot, gram = np.concatenate(spot), signed(np.concatenate(gram))
             doc = np.searchsorted(off, spot, side="right") - 1
-            inside = spot + n <= off[doc + 1]
-            spot, doc = spot[inside], doc[inside]
-            if not len(spot):
+            order = np.argsort(doc, kind="stable")
+            spot, gram, doc = spot[order], gram[order], doc[order]
+            held, first = np.unique(doc, return_index=True)
+            if not len(held):
                 continue
-            gram = grams(np.stack([ids[spot + i] for i in range(n)], 1).ravel(), n)[::n]
-            at = set_.find(gram)
-            spot, doc, at = spot[at >= 0], doc[at >= 0], at[at >= 0]
-            many = past[at] - first[at]
-            entry = np.repeat(first[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            spot, doc, it = np.repeat(spot, many), np.repeat(doc, many), item[entry]
-            lo = np.maximum(spot - start[entry] - length[it] // 4 - 4, off[doc])
-            hi = np.minimum(spot - start[entry] + length[it] + length[it] // 4 + 4, off[doc + 1])
-            order = np.lexsort((lo, it, doc))
-            found: dict[tuple[int, int], list] = {}
-            for d, i, a, b in zip(doc[order].tolist(), it[order].tolist(), lo[order].tolist(), hi[order].tolist()):
-                w = found.setdefault((d, i), [])
-                if w and a <= w[-1][1] and max(b, w[-1][1]) - w[-1][0] <= 4 * length[i] + 64:
+            cuts = pa.array(np.append(first, len(doc)), pa.int32())
+            hits = pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([pa.array(gram), pa.array((spot - off[doc]).astype(np.int32))], ["gram", "pos"]))
+            texts = pa.array([signed(words[off[d] : off[d + 1]]) for d in held], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(held))), batch.column(0).take(pa.array(held)), texts, hits], ["row", "doc_id", "words", "hits"])
+            row += len(held)
+
+    return run
+
+
+def _passage_rows(batches):
+    """Passages that a document's seeds point at: near ones of one item are joined up to four times its length."""
+    for batch in batches:
+        out: list[tuple] = []
+        for row, words, found in zip(*(c.to_pylist() for c in batch.columns)):
+            held: dict[int, list] = {}
+            found = [(h["part"], max(0, h["pos"] - h["start"] - h["length"] // 4 - 4), min(len(words), h["pos"] - h["start"] + h["length"] + h["length"] // 4 + 4), h["length"]) for h in found]
+            for part, a, b, length in sorted(found):
+                w = held.setdefault(part, [])
+                if w and a <= w[-1][1] and max(b, w[-1][1]) - w[-1][0] <= 4 * length + 64:
                     w[-1][1], w[-1][2] = max(w[-1][1], b), w[-1][2] + 1
                 else:
                     w.append([a, b, 1])
-            todo = [(d, i, a, b, k) for (d, i), w in found.items() for a, b, k in w]
-            todo.sort(key=lambda x: (length[x[1]], x[3] - x[2]))
-            top: dict[tuple[int, int], tuple] = {}
-            for at in range(0, len(todo), 256):
-                part = todo[at : at + 256]
-                score, s, e = align([seeds[i][1] for _, i, *_ in part], [ids[a:b] for *_, a, b, _ in part])
-                for (d, i, a, _, k), x, y, z in zip(part, score.tolist(), s.tolist(), e.tolist()):
-                    old = top.get((d, i), (-1.0, 0, 0, 0))
-                    new = (x / (MATCH * int(length[i])), int(a + y - off[d]), int(a + z - off[d]))
-                    top[d, i] = (*max(old[:3], new, key=lambda v: (v[0], -v[1])), old[3] + k)
-            rows = [(d, seeds[i][0], sc, s, e, k) for (d, i), (sc, s, e, k) in sorted(top.items()) if sc >= least]
-            if rows:
-                d, *rest = zip(*rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), *(pa.array(c) for c in rest)], ["doc_id", "item", "score", "first_word", "past_word", "n_seeds"])
+            out += [(row, part, a, k, words[a:b]) for part, w in held.items() for a, b, k in w]
+        for at in range(0, len(out), 1000):
+            part = out[at : at + 1000]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["row", "part", "a", "k", "passage"])
+
+
+def _score_rows(cells: int = 1 << 20):
+    """Alignments of passages with their items, many at a time while their table's row stays under `cells`."""
+
+    def run(batches):
+        for batch in batches:
+            row, part, a, k = (batch.column(i).to_numpy() for i in range(4))
+            passage, item = ([v.values.to_numpy() & NUMBER for v in batch.column(i)] for i in (4, 5))
+            size, wide = np.array([len(v) for v in item]), np.array([len(v) for v in passage])
+            todo, out = np.lexsort((wide, size)).tolist(), []
+            while todo:
+                n = 1
+                while n < min(256, len(todo)) and (n + 1) * max(wide[i] for i in todo[: n + 1]) <= cells:
+                    n += 1
+                now, todo = todo[:n], todo[n:]
+                score, first, past = align([item[i] for i in now], [passage[i] for i in now])
+                out += [(int(row[i]), int(part[i]), float(x) / (MATCH * int(size[i])), int(a[i] + s), int(a[i] + e), int(k[i])) for i, x, s, e in zip(now, score, first, past)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["row", "part", "score", "first_word", "past_word", "n_seeds"])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: float = 1e-7, least: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
+def _filter(df: DataFrame, column: str, most: int) -> np.ndarray | None:
+    """The column's distinct values, to sift documents by, if there are at most `most` (eight bytes each)."""
+    few = df.select(column).distinct()
+    if few.count() > most:
+        return None
+    return np.array([r[0] for r in few.collect()], np.int64).view(np.uint64)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: float = 1e-7, least: float = 0.5, longest: int = 512, stretch: int = 3, most_filter: int = 4_000_000) -> DataFrame:
     """Rows (doc_id, item_id, score, first_word, past_word, n_seeds): documents with a passage like a test item.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored, whatever their names. score is the best
     local alignment of lower-cased words over that of an exact copy (1.0); rows have score >= `least`. A seed is an
-    n-gram whose words' corpus frequencies multiply to `rare` or less; an item with fewer than two such n-grams uses
-    all it has, and an item of fewer than n words uses one gram of all its words. Null or wordless texts match
-    nothing; rows that repeat give rows that repeat, items with equal ids or texts are kept apart. Empty tables
-    give an empty result. Items are taken in blocks of `block_bytes` of text, so a block can be broadcast.
+    n-gram whose words' corpus frequencies multiply to `rare` or less, or the least likely of `stretch` n-grams in a row;
+    an item with fewer than two seeds uses all its n-grams, and an item of fewer than n words uses one gram of all
+    its words. An item of over `longest` words is matched in stretches of that many, of which the best counts. Null or
+    wordless texts match nothing; rows that repeat give rows that repeat, items with equal ids or texts are kept apart.
+    Empty tables give an empty result.
+
+    The benchmark's words and seeds sift the documents in the scan if there are at most `most_filter` of them (32 MB);
+    beyond it all grams go to the join, with the same result.
     """
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").where("text IS NOT NULL")
-    items = written(items.withColumn("at", F.monotonically_increasing_id()), "items")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-int(total) // block_bytes))
-    id_type = dict(benchmark.dtypes)["item_id"]
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item long, score double, first_word long, past_word long, n_seeds long"
+    id_type = dict(docs.dtypes)["doc_id"]
+    items = written(benchmark.select("item_id", "text").where("text IS NOT NULL").withColumn("at", F.monotonically_increasing_id()), "items")
+    parts = items.select("at", "text").mapInArrow(_item_rows(longest), "at long, words array<long>").withColumn("part", F.monotonically_increasing_id())
+    parts = written(parts, "item-parts")
     texts = docs.select("doc_id", "text").where("text IS NOT NULL")
-    out = spark.createDataFrame([], schema)
-    for part in range(parts):  # a block is at most a few times block_bytes: items are dealt out by hash
-        block = items.where(F.pmod(F.xxhash64("at"), F.lit(parts)) == part).select("at", "text").orderBy("at").collect()
-        words, off, _ = word_hashes(pa.array([r["text"] for r in block], pa.string()))
-        vocabulary = np.unique(words)
-        if not len(vocabulary):
-            continue
-        counts = np.zeros(len(vocabulary) + 1)
-        for r in texts.select("text").mapInArrow(_count_rows(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
-            counts[r["word"]] = r["n"]
-        share = (counts[:-1] + 1) / max(1.0, counts.sum())
-        ids = np.searchsorted(vocabulary, words)
-        by_size: dict[int, list] = {}
-        for r, i, j in zip(block, off[:-1], off[1:]):
-            own = ids[i:j]
-            size = min(n, len(own))
-            if not size:
-                continue
-            odds = np.prod([share[own[k : len(own) - size + 1 + k]] for k in range(size)], axis=0)
-            chosen = np.flatnonzero(odds <= rare)
-            chosen = chosen if len(chosen) > 1 else np.arange(len(odds))
-            by_size.setdefault(size, []).append((r["at"], own, grams(own, size)[chosen], chosen))
-        for size, seeds in by_size.items():
-            out = out.unionByName(texts.mapInArrow(_match_rows(vocabulary, seeds, size, least), schema))
-    return out.join(items.select(F.col("at").alias("item"), F.col("item_id").cast(id_type)), "item").select("doc_id", "item_id", "score", "first_word", "past_word", "n_seeds")
+    placed = parts.select("part", F.posexplode("words").alias("pos", "word"))
+    counts = texts.select("text").mapInArrow(_count_rows(_filter(placed, "word", most_filter)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = written(counts, "word-counts")
+    total = counts.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
+    shares = placed.join(counts, "word", "left").groupBy("part").agg(F.collect_list(F.struct("pos", "word", F.coalesce("n", F.lit(0)).alias("n"))).alias("words"))
+    seeds = written(shares.mapInArrow(_seed_rows(n, rare, stretch, float(total)), "gram long, part long, start long, length long, size long"), "seeds")
+    sizes = sorted(r[0] for r in seeds.select("size").distinct().collect()) or [n]  # at most n
+    held = texts.mapInArrow(_hit_rows(sizes, _filter(seeds, "gram", most_filter)), f"row long, doc_id {id_type}, words array<long>, hits array<struct<gram:long,pos:int>>")
+    held = written(held, "seeded")
+    met = held.select("row", F.explode("hits").alias("h")).select("row", "h.gram", "h.pos").join(seeds, "gram")
+    met = met.groupBy("row").agg(F.collect_list(F.struct("part", "pos", "start", "length")).alias("found"))
+    passages = held.select("row", "words").join(met, "row").select("row", "words", "found").mapInArrow(_passage_rows, "row long, part long, a long, k long, passage array<long>")
+    passages = written(passages, "passages")
+    use = parts.join(passages.groupBy("part").agg(F.count("*").alias("m")), "part").select("part", F.col("words").alias("item"), "m")
+    scored = hot_join(passages, use, ["part"], "m", "inner").select("row", "part", "a", "k", "passage", "item")
+    scored = scored.repartition(tasks(docs)).mapInArrow(_score_rows(), "row long, part long, score double, first_word long, past_word long, n_seeds long")
+    best = F.max(F.struct("score", (-F.col("first_word")).alias("back"), (-F.col("past_word")).alias("end"))).alias("b")
+    top = written(scored, "scored").join(parts.select("part", "at"), "part").groupBy("row", "at").agg(best, F.sum("n_seeds").alias("n_seeds")).where(F.col("b.score") >= least)
+    top = top.join(items.select("at", "item_id"), "at").join(held.select("row", "doc_id"), "row")
+    return top.select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.back")).alias("first_word"), (-F.col("b.end")).alias("past_word"), "n_seeds")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs (all columns) without those that have a passage like a test item, told apart by id and text."""
-    keyed = docs.withColumn("_row_key", row_key("doc_id", "text"))
-    bad = contaminated(keyed.select(F.col("_row_key").alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    return keyed.join(bad, F.col("_row_key") == F.col("_bad"), "left_anti").select(*docs.columns)
+    keyed = docs.select(row_key("doc_id", "text").alias("row"), F.struct("*").alias("doc"))  # no name in docs can clash
+    bad = contaminated(keyed.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), benchmark, **how).select(F.col("doc_id").alias("row")).distinct()
+    return keyed.join(bad, "row", "left_anti").select("doc.*")
