@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import log_loss
+from tidemark.operators import scans
 from tidemark.operators.ranks import running_totals
 
 
@@ -55,3 +56,48 @@ def auc(df: DataFrame, score: str, y: str) -> DataFrame:
     s = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(y) == 1).alias("up"), F.count_if(F.col(y) == 0).alias("down"))
     s = running_totals(s, score, ["down"])
     return s.agg(F.sum("up").alias("ups"), F.sum("down").alias("downs"), F.try_divide(F.sum(F.col("up") * (F.col("below_down") + F.col("down") / 2)), F.sum("up") * F.sum("down")).alias("auc"))
+
+
+def regression(df: DataFrame, guess: str, actual: str) -> DataFrame:
+    """n, MAE and RMSE over rows with both values."""
+    e = F.col(guess) - F.col(actual)
+    return df.where(e.isNotNull()).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
+
+
+def classwise_ece(df: DataFrame, classes: dict[str, str], y: str, bins: int = 10) -> DataFrame:
+    """ece: the mean over classes of each one's calibration error. classes: the column of each class's probability."""
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("p"), (F.col(y) == k).cast("int").alias("hit")) for k, c in classes.items()])).alias("r")).select("r.*")
+    rows = rows.where("p IS NOT NULL AND hit IS NOT NULL").withColumn("b", F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)))
+    each = rows.groupBy("k", "b").agg(F.count("*").alias("n"), F.abs(F.avg("p") - F.avg("hit")).alias("gap")).groupBy("k").agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"))
+    return each.agg(F.count("*").alias("classes"), F.avg("ece").alias("ece"))
+
+
+def weighted_scorecard(df: DataFrame, key: Sequence[str], n: str, week: str, losses: dict[str, tuple[str, str]], correct: str) -> DataFrame:
+    """Per key: weeks, n, the gain of each loss (market less model, weighted by n) and the share of correct picks."""
+    w = lambda c: F.sum(F.col(c) * F.col(n)) / F.sum(n)
+    return df.groupBy(*key).agg(F.count_distinct(week).alias("weeks"), F.sum(n).alias("n"), *[(w(market) - w(model)).alias(name) for name, (market, model) in losses.items()], F.try_divide(F.sum(correct), F.sum(n)).alias("accuracy"))
+
+
+def share_interval(share: str, n: str, z: float = 1.959963984540054) -> tuple[Column, Column]:
+    """Wilson's interval of a share of n; null for none. Stands for the quantiles of binomial draws."""
+    p, k = F.col(share), F.col(n)
+    mid, half = p + z * z / (2 * k), z * F.sqrt(p * (1 - p) / k + z * z / (4 * k * k))
+    return F.when(k > 0, (mid - half) / (1 + z * z / k)), F.when(k > 0, (mid + half) / (1 + z * z / k))
+
+
+def paired_gains(one: DataFrame, other: DataFrame, key: Sequence[str], loss: str) -> DataFrame:
+    """n, mean and standard error of the differences in loss over the ids that both have."""
+    d = one.select(*key, F.col(loss).alias("_a")).join(other.select(*key, F.col(loss).alias("_b")), list(key)).select((F.col("_a") - F.col("_b")).alias("d"))
+    return d.agg(F.count("d").alias("n"), F.avg("d").alias("gain"), (F.stddev_samp("d") / F.sqrt(F.count("d"))).alias("se"))
+
+
+def drift(df: DataFrame, key: Sequence[str], order: Sequence[str], p: str, y: str, slack: float = 0.02, limit: float = 3.0, length: int = 64, most_ece: float = 0.08, least: int = 32) -> DataFrame:
+    """Each row with trailing_ece, cusum_up, cusum_down and drift_alarm, and whether its key has one (triggered).
+
+    An alarm needs `least` rows of the key so far, and a sum over `limit` or a trailing error over `most_ece`.
+    """
+    rows = scans.cusum_rows(df.withColumn("_r", (F.col(p) - F.col(y)).cast("double")), key, order, "_r", slack, limit).drop("_r")
+    rows = trailing_ece(rows, key, order, p, y, length)
+    enough = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) >= least
+    rows = rows.withColumn("drift_alarm", enough & (F.col("alarm") | (F.coalesce("trailing_ece", F.lit(0.0)) > most_ece)))
+    return rows.drop("alarm").withColumn("triggered", F.bool_or("drift_alarm").over(Window.partitionBy(*key)))

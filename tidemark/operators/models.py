@@ -5,27 +5,21 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tidemark.operators import scans
 
-def elo(games: DataFrame, group: str, order: str, winner: str, loser: str, k: float = 20.0) -> DataFrame:
-    """Final ratings per group after its games in order; a rating starts at 1500. Games without two sides are left out."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rating: dict = {}
-        for a, b in pdf.sort_values([order, winner, loser])[[winner, loser]].dropna().itertuples(index=False):
-            ra, rb = rating.get(a, 1500.0), rating.get(b, 1500.0)
-            gain = k * (1 - 1 / (1 + 10 ** ((rb - ra) / 400)))
-            rating[a], rating[b] = ra + gain, rb - gain
-        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(rating), "side": list(rating), "rating": list(rating.values())})
 
-    types = dict(games.dtypes)
-    return games.groupBy(group).applyInPandas(run, f"{group} {types[group]}, side {types[winner]}, rating double")
+def elo(games: DataFrame, group: str, order: str, winner: str, loser: str, k: float = 20.0) -> DataFrame:
+    """Final ratings (group, side, rating) after all games in order; games without two sides are left out."""
+    rows = scans.elo_rows(games.select(group, order, winner, loser).dropna(subset=[winner, loser]), group, [order], winner, loser, k)
+    place = F.struct(order, winner, loser)
+    sides = rows.select(group, place.alias("_at"), F.explode(F.array(*[F.struct(F.col(c).alias("side"), F.col(f"{n}_after").alias("rating")) for c, n in ((winner, "winner"), (loser, "loser"))])).alias("s"))
+    return sides.groupBy(group, F.col("s.side").alias("side")).agg(F.max_by("s.rating", "_at").alias("rating"))
 
 
 def ridge(df: DataFrame, inputs: list[str], target: str, penalty: float) -> DataFrame:
     """Ridge weights (term, weight) from the cross products, which Spark sums; only they reach one task."""
-    from pyspark.sql import functions as F
-
     x = [F.lit(1.0), *[F.col(c).cast("double") for c in inputs]]
     rows = df.dropna(subset=[*inputs, target])
     sums = rows.agg(*[F.sum(a * b).alias(f"c{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x) if i <= j], *[F.sum(a * F.col(target)).alias(f"y{i}") for i, a in enumerate(x)])

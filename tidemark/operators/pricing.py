@@ -24,6 +24,25 @@ def margin_grid(df: DataFrame, key: list[str], mean: str, sd: float, low: int, h
     return g.withColumn("p", F.try_divide(p, whole)).drop("_m")
 
 
+def folded_grid(df: DataFrame, key: list[str], mean: str, sd: float, low: int = -75, high: int = 75) -> DataFrame:
+    """As margin_grid, but what lies beyond either end counts to that end's margin, so nothing is scaled."""
+    g = df.select(*key, F.col(mean).alias("_m"), F.explode(F.sequence(F.lit(low), F.lit(high))).alias("margin"))
+    up = F.when(F.col("margin") == high, F.lit(1.0)).otherwise(normal_cdf((F.col("margin") + 0.5 - F.col("_m")) / sd))
+    down = F.when(F.col("margin") == low, F.lit(0.0)).otherwise(normal_cdf((F.col("margin") - 0.5 - F.col("_m")) / sd))
+    return g.withColumn("p", up - down).drop("_m")
+
+
+def nearest_center(df: DataFrame, value: str, centers: DataFrame, center: str) -> DataFrame:
+    """df with the center nearest to its value, the lower of two equally near ones; null without a value.
+
+    Centers are a registered table of a few hundred rows; a sorted array of them goes along with every row.
+    """
+    all_ = centers.where(F.col(center).isNotNull()).agg(F.array_sort(F.collect_set(F.col(center).cast("double"))).alias("_c"))
+    gap = lambda c: F.struct(F.abs(c - F.col(value)).alias("gap"), c.alias("c"))
+    near = F.array_min(F.transform("_c", gap))["c"]
+    return df.join(F.broadcast(all_)).withColumn(center, F.when(F.col(value).isNotNull(), near)).drop("_c")  # one row
+
+
 def decision(edge: Column, fresh: Column, least_edge: float) -> Column:
     """ABSTAIN without an edge or fresh prices, BET from `least_edge` on, else NO_BET."""
     return F.when(edge.isNull() | ~F.coalesce(fresh, F.lit(False)), "ABSTAIN").when(edge >= least_edge, "BET").otherwise("NO_BET")

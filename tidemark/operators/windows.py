@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import scans
+
 
 def prior_features(df: DataFrame, key: Sequence[str], order: Sequence[str], metrics: Sequence[str], season: str | None = None, last: Sequence[int] = (4, 8)) -> DataFrame:
     """Adds, per metric, mean and count over all earlier rows, the last n and the season so far; the row's own value is
@@ -28,17 +30,7 @@ def prior_features(df: DataFrame, key: Sequence[str], order: Sequence[str], metr
 
 def ewm_prior(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, half_life: float, name: str) -> DataFrame:
     """Adds the exponentially weighted mean of all earlier rows, as adjust=False with gaps that keep decaying."""
-    a = 1 - 0.5 ** (1 / half_life)
-    past = F.collect_list(F.struct(F.col(value).cast("double").alias("x"))).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-
-    def step(s: Column, r: Column) -> Column:
-        w = s["w"] * (1 - a)
-        new = F.when(s["y"].isNull(), r["x"]).otherwise((w * s["y"] + a * r["x"]) / (w + a))
-        seen = r["x"].isNotNull()
-        return F.struct(F.when(seen, new).otherwise(s["y"]).alias("y"), F.when(seen, F.lit(1.0)).otherwise(w).alias("w"))
-
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"))
-    return df.withColumn(name, F.aggregate(past, start, step, lambda s: s["y"]))
+    return scans.ewm_rows(df.withColumn("_x", F.col(value).cast("double")), key, order, "_x", half_life, name).drop("_x")
 
 
 def rest_days(df: DataFrame, key: Sequence[str], order: Sequence[str], time: str, short: float = 6.0) -> DataFrame:
@@ -55,19 +47,11 @@ def recency_exposure(df: DataFrame, key: Sequence[str], order: Sequence[str], am
 
 
 def cusum_alarms(df: DataFrame, key: Sequence[str], order: Sequence[str], residual: str, slack: float, limit: float) -> DataFrame:
-    """Per key: rows, alarms of the two-sided sum with reset, and the final sums. A null residual moves nothing."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(residual).cast("double").alias("_r"))))
-
-    def step(s: Column, r: Column) -> Column:
-        x = F.coalesce(r["_r"], F.lit(0.0))
-        up, down = F.greatest(F.lit(0.0), s["up"] + x - slack), F.greatest(F.lit(0.0), s["down"] - x - slack)
-        up, down = F.when(r["_r"].isNull(), s["up"]).otherwise(up), F.when(r["_r"].isNull(), s["down"]).otherwise(down)
-        hit = (up > limit) | (down > limit)
-        return F.struct(F.when(hit, 0.0).otherwise(up).alias("up"), F.when(hit, 0.0).otherwise(down).alias("down"), (s["alarms"] + hit.cast("long")).alias("alarms"))
-
-    zero = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.lit(0).cast("long").alias("alarms"))
-    folded = df.groupBy(*key).agg(F.count("*").alias("n"), F.aggregate(rows, zero, step).alias("s"))
-    return folded.select(*key, "n", F.col("s.alarms").alias("alarms"), F.col("s.up").alias("up"), F.col("s.down").alias("down"))
+    """Per key: rows, alarms of the two-sided sum with reset, and the final sums. A null residual counts as 0."""
+    rows = scans.cusum_rows(df.select(*key, *order, F.col(residual).cast("double").alias("_r")), key, order, "_r", slack, limit)
+    end = F.max_by(F.struct("cusum_up", "cusum_down", "alarm"), F.struct(*order))
+    s = rows.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("alarm").alias("alarms"), end.alias("s"))
+    return s.select(*key, "n", "alarms", *[F.when(F.col("s.alarm"), 0.0).otherwise(F.col(f"s.cusum_{d}")).alias(d) for d in ("up", "down")])
 
 
 def capped_share(df: DataFrame, key: Sequence[str], amount: str, cap: float, name: str) -> DataFrame:

@@ -32,7 +32,11 @@ def drained(stream: DataFrame) -> DataFrame:
     Each batch writes the whole result of its own number; the last one counts, so a batch that runs again changes nothing.
     """
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
     path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     q = q.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out/{n}")).start()
