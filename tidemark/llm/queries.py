@@ -65,9 +65,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_media_chunks, op2_tool_calls, op3_best_fit_packing, op4_suffix_dedup, op5_token_blocks, op6_warc, op7_decontamination, op8_ngram_join, op9_license_scan, op10_toxicity)}
 
-_CALL = """'{"chars":' || length(text) || ',"text":' || to_json(text) || ',"turn":' || turn || '}'"""
-
-
 def _license_sql() -> str:
     lookup = "CASE s " + " ".join(f"WHEN '{v}' THEN '{k}'" for k, v in licenses.SENTENCES.items()) + " END"
     shown = ", ".join("CASE WHEN " + " OR ".join(f"contains(line, ',{','.join(w)},')" for w in ways) + f" THEN '{name}' END" for name, ways in sorted(licenses.RULES.items()))
@@ -83,15 +80,23 @@ FROM lines"""
 
 
 ORACLE_SQL = {
-    "op2_tool_calls": f"""
-SELECT a.conv_id, 'turn-' || a.turn AS call_id, CASE WHEN a.role = 'system' THEN 'configure' ELSE 'reply' END AS name,
-       row_number() OVER (PARTITION BY a.conv_id ORDER BY a.turn) AS step, r.conv_id IS NOT NULL AS linked, true AS valid,
-       (CASE WHEN a.role = 'user' AND a.turn >= 2 AND p.conv_id IS NULL THEN 1 ELSE 0 END)::BIGINT AS missing, false AS cyclic,
-       '{{"arguments":' || a.args || ',"id":"turn-' || a.turn || '","name":"' || CASE WHEN a.role = 'system' THEN 'configure' ELSE 'reply' END
-         || '","result":' || coalesce(to_json(r.text)::VARCHAR, 'null') || '}}' AS message
-FROM (SELECT *, {_CALL} AS args FROM conversations WHERE role IN ('user', 'system')) a
-LEFT JOIN (SELECT * FROM conversations WHERE role = 'assistant') r ON r.conv_id = a.conv_id AND r.turn = a.turn + 1
-LEFT JOIN (SELECT * FROM conversations WHERE role IN ('user', 'system')) p ON p.conv_id = a.conv_id AND p.turn = a.turn - 2""",
+    "op2_tool_calls": """
+WITH RECURSIVE t AS (SELECT *, len(string_split(text, ' ')) AS words, string_split(text, ' ')[1] AS word FROM conversations),
+c AS (
+  SELECT conv_id, 'turn-' || turn AS call_id, turn AS position, CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name, true AS valid,
+    '{"chars":' || length(text) || ',"text":' || to_json(text) || ',"turn":' || turn || '}' AS args, words > 20 AS nested,
+    role = 'user' AND turn >= 2 AND conv_id % 4 <> 1 AS back, role = 'user' AND conv_id % 4 IN (1, 2) AS forth FROM t WHERE role IN ('user', 'system')
+  UNION ALL SELECT conv_id, 'turn-' || turn || '/lookup', turn, 'lookup', conv_id % 7 <> 3 AND turn % 3 > 0,
+    CASE WHEN conv_id % 7 <> 3 THEN '{"limit":' || CASE WHEN turn % 3 = 0 THEN '"' || words || '"' ELSE words::VARCHAR END || ',"word":' || to_json(word) || '}' END, false, false, false FROM t WHERE role IN ('user', 'system') AND words > 20),
+e AS (SELECT conv_id, call_id, 'turn-' || (position - 2) AS need FROM c WHERE back UNION ALL SELECT conv_id, call_id, 'turn-' || (position + 2) FROM c WHERE forth UNION ALL SELECT conv_id, call_id, call_id || '/lookup' FROM c WHERE nested),
+p AS (SELECT conv_id, call_id, call_id AS at, position, 0 AS d FROM c
+  UNION SELECT p.conv_id, p.call_id, c.call_id, c.position, d + 1 FROM p JOIN e ON e.conv_id = p.conv_id AND e.call_id = p.at JOIN c ON c.conv_id = e.conv_id AND c.call_id = e.need WHERE d < 40),
+k AS (SELECT conv_id, call_id, max((position, d)) AS k, max(d) = 40 AS cyclic FROM p GROUP BY ALL),
+m AS (SELECT e.conv_id, e.call_id, count(*) AS missing FROM e ANTI JOIN c ON c.conv_id = e.conv_id AND c.call_id = e.need GROUP BY ALL),
+r AS (SELECT conv_id, 'turn-' || (turn - 1) AS call_id, text AS content FROM t WHERE role = 'assistant' UNION ALL SELECT conv_id, 'turn-' || turn || '/lookup', word FROM t WHERE role IN ('user', 'system') AND words > 20 AND words % 2 = 0)
+SELECT c.conv_id, c.call_id, c.name, CASE WHEN NOT cyclic THEN row_number() OVER (PARTITION BY c.conv_id, cyclic ORDER BY k, c.call_id) END AS step, r.call_id IS NOT NULL AS linked, c.valid, coalesce(m.missing, 0)::BIGINT AS missing, cyclic,
+  '{"arguments":' || coalesce(args, 'null') || ',"id":"' || c.call_id || '","name":"' || c.name || '","result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' AS message
+FROM c JOIN k USING (conv_id, call_id) LEFT JOIN m USING (conv_id, call_id) LEFT JOIN r USING (conv_id, call_id)""",
     "op6_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),

@@ -41,7 +41,7 @@ def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return out.select(*key, F.when(F.col("args").isNotNull(), problems).alias("problems")).dropDuplicates(key)
 
 
-def ordered(calls: DataFrame, rounds: int = 8) -> DataFrame:
+def ordered(calls: DataFrame, rounds: int = 2) -> DataFrame:
     """(conv_id, call_id, late, hops, cyclic, missing): sort keys that put each call after those it needs.
 
     calls: conv_id, call_id, position, after (array of call ids of the same conversation). A call's key is the latest
@@ -110,7 +110,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row per call: conv_id, call_id, name, step, linked, valid, missing, cyclic, message.
 
     calls: conv_id, call_id, position, name, arguments (JSON), after; results: conv_id, call_id, position, content;
-    other columns are ignored, whatever their names. step numbers a conversation's calls from 1 in topological order.
+    other columns are ignored, whatever their names. step numbers a conversation's calls from 1 in topological order;
+    cyclic calls have none.
     Of several results with one identifier the earliest counts. Arguments that are null or not JSON make a call
     invalid and stand as null in the message. Calls without conversation or identifier are left out, of calls that
     share both the earliest stays (of equal positions the least name and arguments). Results without a call are left out. Empty
@@ -126,10 +127,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     both = both.join(checked(calls, schemas).select("conv_id", "call_id", "problems"), ["conv_id", "call_id"])
     # numbered in lanes of positions, so that a long conversation is not one task's
     both = both.withColumn("lane", F.floor(F.col("late") / LANE))
-    per = both.groupBy("conv_id", "lane").agg(F.count("*").alias("n"))
+    per = both.groupBy("conv_id", "lane").agg(F.count_if(~F.col("cyclic")).alias("n"))
     per = per.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     both = both.join(per.select(F.col("conv_id").alias("c"), F.col("lane").alias("l"), "before"), (F.col("conv_id") == F.col("c")) & F.col("lane").eqNullSafe(F.col("l")))
-    step = F.row_number().over(Window.partitionBy("conv_id", "lane").orderBy("late", "hops", "call_id")) + F.col("before")
+    step = F.when(~F.col("cyclic"), F.row_number().over(Window.partitionBy("conv_id", "lane", "cyclic").orderBy("late", "hops", "call_id")) + F.col("before"))
     quoted = lambda c: F.coalesce(F.to_json(F.to_variant_object(F.struct(F.col(c).alias("v")))).substr(F.lit(6), F.length(F.to_json(F.to_variant_object(F.struct(F.col(c).alias("v"))))) - 6), F.lit("null"))
     canonical = F.concat(
         F.lit('{"arguments":'), F.coalesce(F.to_json(F.try_parse_json("arguments")), F.lit("null")), F.lit(',"id":'), quoted("call_id"),
@@ -138,27 +139,38 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     return both.select("conv_id", "call_id", "name", step.cast("long").alias("step"), F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce(F.col("problems") == 0, F.lit(False)).alias("valid"), "missing", "cyclic", canonical.alias("message"))
 
 
-#: Schemas of the two calls that plain conversations hold.
-TURN_SCHEMAS = [(n, a, k, True) for n in ("configure", "reply") for a, k in (("chars", "integer"), ("text", "string"), ("turn", "integer"))]
+#: Schemas of the calls that conversation_calls makes.
+TURN_SCHEMAS = [(n, a, k, True) for n in ("configure", "reply") for a, k in (("chars", "integer"), ("text", "string"), ("turn", "integer"))] + [("lookup", "word", "string", True), ("lookup", "limit", "integer", True), ("lookup", "near", "boolean", False)]
 
 
 def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of plain conversations (conv_id, turn, role, text).
+    """Calls and results made from plain conversations (conv_id, turn, role, text), which hold none; other roles are left out.
 
-    A user's or system's turn calls for what comes next; it needs the user's turn two before it. An assistant's turn is
-    the result of the turn before.
+    A user's or system's turn calls for what comes next, and an assistant's turn is the result of the turn before. By the
+    remainder of conv_id by 4, a user's turn needs the user's turn two before it (0 and 3), two after it (1: a log in
+    reverse) or both (2: a cycle). A turn of over 20 words also makes a lookup, which it needs. A lookup has a result if
+    its turn's words are an even number; its limit is a string where the turn divides by 3, and its arguments are no
+    JSON where the remainder of conv_id by 7 is 3.
     """
+    conv, turn = F.col("conv_id"), F.col("turn")
+    words = F.size(F.split("text", " "))
     args = F.to_json(F.struct("turn", "text", F.length("text").alias("chars")), {"ignoreNullFields": "false"})
-    asked = conversations.where("role IN ('user', 'system')").select(
-        "conv_id", F.concat(F.lit("turn-"), "turn").alias("call_id"), F.col("turn").alias("position"), F.when(F.col("role") == "system", "configure").otherwise("reply").alias("name"),
-        args.alias("arguments"), F.when((F.col("role") == "user") & (F.col("turn") >= 2), F.array(F.concat(F.lit("turn-"), F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("after"),
-    )
-    told = conversations.where("role = 'assistant'").select("conv_id", F.concat(F.lit("turn-"), F.col("turn") - 1).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content"))
-    return asked, told
+    user = F.col("role") == "user"
+    at = lambda n: F.concat(F.lit("turn-"), n)
+    needs = F.array_compact(F.array(F.when(user & (turn >= 2) & (conv % 4 != 1), at(turn - 2)), F.when(user & (conv % 4).isin(1, 2), at(turn + 2)), F.when(words > 20, F.concat(at(turn), F.lit("/lookup")))))
+    asked = conversations.where("role IN ('user', 'system')")
+    calls = asked.select("conv_id", at(turn).alias("call_id"), turn.alias("position"), F.when(user, "reply").otherwise("configure").alias("name"), args.alias("arguments"), needs.alias("after"))
+    word = F.element_at(F.split("text", " "), 1).alias("word")
+    given = F.when(conv % 7 == 3, "{broken").when(turn % 3 == 0, F.to_json(F.struct(word, words.cast("string").alias("limit")))).otherwise(F.to_json(F.struct(word, words.alias("limit"))))
+    inner = asked.where(words > 20)
+    lookups = inner.select("conv_id", F.concat(at(turn), F.lit("/lookup")).alias("call_id"), turn.alias("position"), F.lit("lookup").alias("name"), given.alias("arguments"), F.array().cast("array<string>").alias("after"))
+    found = inner.where(words % 2 == 0).select("conv_id", F.concat(at(turn), F.lit("/lookup")).alias("call_id"), turn.alias("position"), word.alias("content"))
+    told = conversations.where("role = 'assistant'").select("conv_id", at(turn - 1).alias("call_id"), turn.alias("position"), F.col("text").alias("content"))
+    return calls.unionByName(lookups), told.unionByName(found)
 
 
 def linked_conversations(conversations: DataFrame) -> DataFrame:
-    """link() over the calls of plain conversations."""
+    """link() over the calls that conversation_calls makes."""
     calls, results = conversation_calls(conversations)
     schemas = conversations.sparkSession.createDataFrame(TURN_SCHEMAS, "name string, argument string, kind string, required boolean")
     return link(calls, results, schemas)
