@@ -276,8 +276,8 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, span: int = 400, most: int
     whole = hot_join(held, contexts.where("n > 1").select("key", "ctx", "n"), ["key", "ctx"], "n").select("row", (F.col("x") - F.col("dlo")).alias("s"), (F.col("x") - F.col("dhi") + span).alias("e"))
     open_ = hot_join(contexts, keys, ["key"], "m", "inner").select("at.row", F.struct("key", "n", "m", "at.x", "at.dlo", "at.dhi").alias("s"))
     by_doc = open_.groupBy("row").agg(F.collect_list("s").alias("found"))
-    # rows that are equal in id and text share `row`; one of them speaks for all
-    tails = dealt.join(by_doc.hint("shuffle_hash"), "row").select("row", "text", "found").mapInArrow(_tail_rows(span, unit), _TAILS).dropDuplicates(["key", "row", "x"])
+    # rows that are equal in id and text share `row` and come as often; their contexts have n > 1, so it changes nothing
+    tails = dealt.join(by_doc.hint("shuffle_hash"), "row").select("row", "text", "found").mapInArrow(_tail_rows(span, unit), _TAILS)
     order = ["key", "shard", "rank"]
     spans = whole.unionByName(tails.where(F.col("m") <= most).repartition(tasks(docs), "key").sortWithinPartitions(*order).mapInArrow(_merge_rows(span), "row long, s long, e long"))
     if keys.where(F.col("m") > most).isEmpty():
