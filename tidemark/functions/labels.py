@@ -11,6 +11,10 @@ from tidemark.functions.scalars import col
 MARKETS = {"pregame_moneyline": "moneyline", "moneyline": "moneyline", "h2h": "moneyline", "pregame_ats": "ats", "ats": "ats", "spreads": "ats", "pregame_total": "total", "total": "total", "totals": "total"}
 SELECTIONS = {"moneyline": ("home", "away", "tie"), "ats": ("home", "away"), "total": ("over", "under")}
 STATUSES = {"DOUBTFUL": "DOUBTFUL", "QUESTIONABLE": "QUESTIONABLE", "NO DESIGNATION": "NO_DESIGNATION", "": "NO_DESIGNATION"}
+PRACTICES = {
+    "DID NOT PARTICIPATE IN PRACTICE": "DNP", "DID NOT PARTICIPATE": "DNP", "LIMITED PARTICIPATION IN PRACTICE": "LIMITED", "LIMITED PARTICIPATION": "LIMITED",
+    "FULL PARTICIPATION IN PRACTICE": "FULL", "FULL PARTICIPATION": "FULL", "": "NOT_LISTED",
+}
 ROUNDS = ("Wildcard", "Division", "Conference", "Superbowl")
 REGULAR_WEEKS = 18
 
@@ -35,10 +39,15 @@ def selection(of: Column | str, c: Column | str) -> Column:
     return out
 
 
-def status(c: Column | str) -> Column:
-    """Upper-case status; known words by STATUSES (null and empty: no designation), others with _ for spaces."""
+def status(c: Column | str, words: dict[str, str] = STATUSES) -> Column:
+    """Upper-case status; known words by `words` (null and empty: no designation), others with _ for spaces."""
     s = F.coalesce(F.upper(F.trim(col(c))), F.lit(""))
-    return F.coalesce(looked_up(STATUSES, s), F.replace(s, F.lit(" "), F.lit("_")))
+    return F.coalesce(looked_up(words, s), F.replace(s, F.lit(" "), F.lit("_")))
+
+
+def practice(c: Column | str) -> Column:
+    """Share taken in practice: DNP, LIMITED, FULL, NOT_LISTED for null and empty; others with _ for spaces."""
+    return status(c, PRACTICES)
 
 
 def week_order(c: Column | str) -> Column:

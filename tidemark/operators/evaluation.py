@@ -101,3 +101,27 @@ def drift(df: DataFrame, key: Sequence[str], order: Sequence[str], p: str, y: st
     enough = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) >= least
     rows = rows.withColumn("drift_alarm", enough & (F.col("alarm") | (F.coalesce("trailing_ece", F.lit(0.0)) > most_ece)))
     return rows.drop("alarm").withColumn("triggered", F.bool_or("drift_alarm").over(Window.partitionBy(*key)))
+
+
+def against_market(df: DataFrame, markets: dict[str, tuple[str, str, str]], season: str) -> DataFrame:
+    """Per market, over all rows (season null) and per season: both sides' losses, what the model gains, its share of better rows.
+
+    markets: the columns (outcome, model's probability, market's probability) of each. Rows count whose outcome is 0 or 1 and
+    that have both probabilities; a row without a season is left out, so that null means all. One pass and one shuffle of partial sums.
+    """
+    row = lambda k, y, p, q: F.struct(F.lit(k).alias("market"), F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p"), F.col(q).cast("double").alias("q"))
+    t = df.where(F.col(season).isNotNull()).select(F.col(season).alias("season"), F.explode(F.array(*[row(k, *c) for k, c in markets.items()])).alias("r")).select("season", "r.*")
+    t = t.where(F.col("y").isin(0, 1) & F.col("p").isNotNull() & F.col("q").isNotNull())
+    loss = {"brier": lambda c: (F.col(c) - F.col("y")) ** 2, "log_loss": lambda c: log_loss(c, "y")}
+    g = t.groupingSets([[F.col("market")], [F.col("market"), F.col("season")]], F.col("market"), F.col("season"))
+    sides = [F.avg(f(c)).alias(f"{who}_{n}") for n, f in loss.items() for who, c in (("model", "p"), ("market", "q"))]
+    out = g.agg(F.count("*").alias("n"), *sides, F.avg((F.abs(F.col("p") - F.col("y")) < F.abs(F.col("q") - F.col("y"))).cast("int")).alias("better"))
+    return out.withColumns({f"{n}_gain": F.col(f"market_{n}") - F.col(f"model_{n}") for n in loss})
+
+
+def margins_against_market(df: DataFrame, actual: str, guess: str, spread: str, season: str) -> DataFrame:
+    """As against_market for margins: both mean absolute errors (the market's guess is minus the spread)."""
+    model, market = F.abs(F.col(guess) - F.col(actual)), F.abs(-F.col(spread) - F.col(actual))
+    t = df.where(F.col(season).isNotNull()).select(F.col(season).alias("season"), model.alias("a"), market.alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    g = t.groupingSets([[], [F.col("season")]], F.col("season")).agg(F.count("*").alias("n"), F.avg("a").alias("model_mae"), F.avg("b").alias("market_mae"), F.avg((F.col("a") < F.col("b")).cast("int")).alias("better"))
+    return g.withColumn("gain", F.col("market_mae") - F.col("model_mae"))

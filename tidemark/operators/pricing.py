@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.prices import offered_decimal, three_regions
-from tidemark.functions.scalars import normal_cdf
+from tidemark.functions.scalars import normal_cdf, number
 
 
 def kelly(p: Column, decimal: Column, push: Column | None = None) -> Column:
@@ -72,3 +72,28 @@ def shrunk_grid(df: DataFrame, bucket: str, margin: str, sd: float, low: int, hi
     g = margin_grid(n.withColumn("_zero", F.lit(0.0)), [bucket, "n"], "_zero", sd, low, high).withColumnRenamed("p", "_curve")
     j = g.join(h.withColumnRenamed(margin, "margin"), [bucket, "margin"], "left")
     return j.select(bucket, "margin", ((F.coalesce("_k", F.lit(0)) + strength * F.col("_curve")) / (F.col("n") + strength)).alias("p"))
+
+
+def card(games: DataFrame, key: list[str], margin_sd: float, total_sd: float, readiness: dict[str, str], decimal: float = 1 + 100 / 110) -> DataFrame:
+    """One row per game and market (moneyline, ats, total), from one pass over the games.
+
+    games: key, home_team, away_team, home_spread, total_line. win, push and other are the line's own probabilities of the
+    home side (over): they sum to one, and are null without a line. A moneyline's tie stands in tie and is no push.
+    Optional columns: market_<market> and model_<market> (null: the win, and the market's probability), odds_<market>
+    (null: `decimal`). stake is full Kelly. A market that `readiness` lacks is RETAIN_BASELINE.
+    """
+    spread, line = number("home_spread"), number("total_line")
+    home, tie, away = three_regions(-spread, margin_sd, F.when(spread.isNotNull(), 0.0))
+    cover = three_regions(F.when(spread.isNotNull(), 0.0), margin_sd, spread)
+    over = three_regions(F.when(line.isNotNull(), 0.0), total_sd, line)
+    given = lambda name: number(name) if name in games.columns else F.lit(None).cast("double")
+    rows = []
+    for market, at, (win, push, other) in (("moneyline", spread, (home, F.lit(0.0), away)), ("ats", spread, cover), ("total", line, over)):
+        has = lambda c, at=at: F.when(at.isNotNull(), c)
+        fair = F.coalesce(given(f"market_{market}"), has(win))
+        parts = {"win": has(win), "push": has(push), "other": has(other), "fair": fair, "model": F.coalesce(given(f"model_{market}"), fair), "odds": F.coalesce(given(f"odds_{market}"), F.lit(decimal))}
+        rows.append(F.struct(F.lit(market).alias("market"), F.lit(readiness.get(market, "RETAIN_BASELINE")).alias("readiness"), at.alias("line"), *[c.alias(n) for n, c in parts.items()]))
+    matchup = F.concat_ws(" @ ", "away_team", "home_team").alias("matchup")
+    c = games.select(*key, matchup, (-spread).alias("home_margin"), F.when(spread.isNotNull(), tie).alias("tie"), F.explode(F.array(*rows)).alias("m")).select(*key, "matchup", "home_margin", "tie", "m.*")
+    stake = kelly(F.col("model"), F.col("odds"), F.col("push"))
+    return c.withColumns({"edge": F.col("model") - F.col("fair"), "stake": F.coalesce(stake, F.lit(0.0))})
