@@ -79,3 +79,66 @@ def side_ratings(games: DataFrame, season: Sequence[str], own: str, other: str,
 
     schema = ", ".join([*[f"{s} {types[s]}" for s in season], "role string", f"side {types[own]}", "effect double", "n long"])
     return pairs.groupBy(*season).applyInPandas(solve, schema)
+
+
+def snapshot_ratings(
+    history: DataFrame, snapshots: DataFrame, sides: DataFrame, day: str, season: str, own: str, other: str, value: str, exposure: str, *, prior_mean: float, prior_sd: float, prior_exposure: float,
+    penalty: float = 30.0, decay: float = 0.55, seasons: int = 3, least_rows: int = 8, league_factor: float = 8.0, least_sd: float = 0.005, most_sides: int = 2000,
+) -> DataFrame:
+    """Opponent-adjusted ratings as known before each snapshot: one row per snapshot and side.
+
+    history: day, season, own, other, value, exposure; snapshots: day, season; sides: one column, all sides there are. Only
+    rows of strictly earlier days and of the last `seasons` seasons count, by exposure * decay^age; those with nulls or no
+    exposure don't. League mean and spread are shrunk to the priors, the effects of both roles fitted by a ridge on what
+    is left, centred over all sides, and the centres go to the mean. Under `least_rows` rows effects are zero.
+
+    History is summed to days and pairs of sides before it meets the snapshots by season, and to pairs after, so a
+    snapshot's task sees pairs. The system has two rows a side: over `most_sides` sides raise ValueError.
+    """
+    names = [r[0] for r in sides.toDF("side").dropna().distinct().orderBy("side").limit(most_sides + 1).collect()]
+    if len(names) > most_sides:
+        raise ValueError(f"over {most_sides} sides: a dense system for each snapshot would be too large")
+    types = dict(history.dtypes)
+    v, e = F.col(value).cast("double"), F.col(exposure).cast("double")
+    h = history.select(F.col(day).alias("_h"), F.col(season).cast("int").alias("_s"), F.col(own).alias("own"), F.col(other).alias("other"), v.alias("v"), e.alias("e")).dropna().where("e > 0")
+    h = h.groupBy("_h", "_s", "own", "other").agg(F.count("*").alias("n"), F.sum("e").alias("w"), F.sum(F.col("e") * F.col("v")).alias("wv"), F.sum(F.col("e") * F.col("v") * F.col("v")).alias("wvv"))
+    s = snapshots.select(F.col(day).alias("day"), F.col(season).cast("int").alias("season")).dropna().distinct().withColumn("age", F.explode(F.sequence(F.lit(0), F.lit(seasons - 1))))
+    j = s.join(h, (F.col("_s") == F.col("season") - F.col("age")) & (F.col("_h") < F.col("day")), "left").withColumn("k", F.pow(F.lit(decay), F.col("age")))
+    pairs = j.groupBy("day", "season", "own", "other").agg(F.sum("n").alias("n"), *[F.sum(F.col(c) * F.col("k")).alias(c) for c in ("w", "wv", "wvv")])
+    columns = ["day", "season", "side", "league_mean", "residual_sd", *[f"{role}_{c}" for role in ("own", "other") for c in ("effect", "exposure", "n", "reliability")]]
+    index = pd.Index(names)
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf["own"].notna() & pdf["own"].isin(index) & pdf["other"].isin(index)]
+        k, rows, total = len(index), int(pdf["n"].sum()), pdf["w"].sum()
+        i, j = index.get_indexer(pdf["own"]), k + index.get_indexer(pdf["other"])
+        w, wv, wvv = (pdf[c].to_numpy(float) for c in ("w", "wv", "wvv"))
+        effect, held, count, mean, sd = np.zeros(2 * k), np.zeros(2 * k), np.zeros(2 * k, np.int64), prior_mean, prior_sd
+        if total > 0:
+            known = total / (total + prior_exposure * league_factor)
+            mean = prior_mean + known * (wv.sum() / total - prior_mean)
+            for x in (i, j):
+                np.add.at(held, x, w)
+                np.add.at(count, x, pdf["n"].to_numpy(np.int64))
+            if rows >= least_rows:
+                m, b = penalty * np.eye(2 * k), np.zeros(2 * k)
+                for x in (i, j):
+                    np.add.at(b, x, wv - mean * w)
+                    for y in (i, j):
+                        np.add.at(m, (x, y), w)
+                effect = np.linalg.solve(m, b)
+                for part in (effect[:k], effect[k:]):
+                    mean += part.mean()
+                    part -= part.mean()
+                fit = mean + effect[i] + effect[j]
+                first, second = (wv - w * fit).sum() / total, (wvv - 2 * fit * wv + w * fit**2).sum() / total
+                sd = np.sqrt(known * max(0.0, second - first**2) + (1 - known) * prior_sd**2)
+            sd = max(sd, least_sd)
+        out = pd.DataFrame({"day": [key[0]] * k, "season": [key[1]] * k, "side": names, "league_mean": mean, "residual_sd": sd})
+        for role, at in (("own", slice(0, k)), ("other", slice(k, 2 * k))):
+            out[f"{role}_effect"], out[f"{role}_exposure"], out[f"{role}_n"] = effect[at], held[at], count[at]
+            out[f"{role}_reliability"] = held[at] / (held[at] + prior_exposure)
+        return out[columns]
+
+    schema = ", ".join([f"day {dict(snapshots.dtypes)[day]}", "season int", f"side {types[own]}", *[f"{c} {'long' if c.endswith('_n') else 'double'}" for c in columns[3:]]])
+    return pairs.groupBy("day", "season").applyInPandas(solve, schema)

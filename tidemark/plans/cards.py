@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import evaluation, pricing
+from tidemark.operators import evaluation, fits, pricing
 from tidemark.plans.registry import query, r6, read
 from tidemark.sources import injuries
 
@@ -96,3 +96,13 @@ def injury_feed(spark, sf):
     wrapped = F.to_json(F.struct(season, F.struct(sequence, team.alias("teams")).alias("week")))
     out = injuries.flatten(s.select(F.when(k % 5 > 0, top).otherwise(wrapped).alias("payload")))
     return out.select("season", "week", "team_id", "player_id", "player_name", "injury", "practice_status", "game_status")
+
+
+@query()
+def snapshot_ratings(spark, sf):
+    """Lines as games between 32 sides, rated before the first day of each month."""
+    l = read(spark, sf, "lineitem").withColumn("day", F.to_date("l_shipdate"))  # noqa: E741
+    h = l.select("day", F.year("day").alias("season"), (F.col("l_suppkey") % 32).alias("a"), (F.col("l_partkey") % 32).alias("b"), "l_discount", "l_quantity")
+    s = h.select(F.to_date(F.trunc("day", "month")).alias("day")).distinct().withColumn("season", F.year("day"))
+    out = fits.snapshot_ratings(h, s, h.select("a").union(h.select("b")), "day", "season", "a", "b", "l_discount", "l_quantity", prior_mean=0.05, prior_sd=0.03, prior_exposure=200.0)
+    return out.select("day", "season", "side", *[r6(F.col(c)).alias(c) for c in ("league_mean", "residual_sd", "own_effect", "other_effect", "own_reliability", "other_reliability")], "own_n", "other_n")
