@@ -34,7 +34,7 @@ def shin_devig(p: Column, q: Column) -> Column:
     return F.when((p > 0) & (p < 1) & (q > 0) & (q < 1), F.when(s <= 1, p / s).otherwise(fair))
 
 
-def three_regions(edge: Column, sd: float, line: Column) -> tuple[Column, Column, Column]:
+def three_regions(edge: Column, sd: Column | float, line: Column) -> tuple[Column, Column, Column]:
     """(win, push, loss) under a normal margin: only whole lines can push, half a point to both sides."""
     whole = F.abs(line - F.round(line)) <= 1e-8
     above, below = normal_cdf((0.5 - edge) / sd), normal_cdf((-0.5 - edge) / sd)

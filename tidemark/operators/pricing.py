@@ -82,18 +82,20 @@ def card(games: DataFrame, key: list[str], margin_sd: float, total_sd: float, re
     Optional columns: market_<market> and model_<market> (null: the win, and the market's probability), odds_<market>
     (null: `decimal`). stake is full Kelly. A market that `readiness` lacks is RETAIN_BASELINE.
     """
-    spread, line = number("home_spread"), number("total_line")
-    home, tie, away = three_regions(-spread, margin_sd, F.when(spread.isNotNull(), 0.0))
-    cover = three_regions(F.when(spread.isNotNull(), 0.0), margin_sd, spread)
-    over = three_regions(F.when(line.isNotNull(), 0.0), total_sd, line)
+    spread, total = number("home_spread"), number("total_line")
     given = lambda name: number(name) if name in games.columns else F.lit(None).cast("double")
+    level = lambda line: F.when(line.isNotNull(), 0.0)  # noqa: E731  the mean lies on the line
     rows = []
-    for market, at, (win, push, other) in (("moneyline", spread, (home, F.lit(0.0), away)), ("ats", spread, cover), ("total", line, over)):
-        has = lambda c, at=at: F.when(at.isNotNull(), c)
-        fair = F.coalesce(given(f"market_{market}"), has(win))
-        parts = {"win": has(win), "push": has(push), "other": has(other), "fair": fair, "model": F.coalesce(given(f"model_{market}"), fair), "odds": F.coalesce(given(f"odds_{market}"), F.lit(decimal))}
-        rows.append(F.struct(F.lit(market).alias("market"), F.lit(readiness.get(market, "RETAIN_BASELINE")).alias("readiness"), at.alias("line"), *[c.alias(n) for n, c in parts.items()]))
+    for market, at, edge, sd, line in (("moneyline", spread, -spread, margin_sd, level(spread)), ("ats", spread, level(spread), margin_sd, spread), ("total", total, level(total), total_sd, total)):
+        named = {"market": F.lit(market), "readiness": F.lit(readiness.get(market, "RETAIN_BASELINE")), "line": at, "_edge": edge, "_sd": F.lit(float(sd)), "_line": line}
+        named |= {"fair": given(f"market_{market}"), "model": given(f"model_{market}"), "odds": F.coalesce(given(f"odds_{market}"), F.lit(decimal))}
+        rows.append(F.struct(*[c.alias(n) for n, c in named.items()]))
     matchup = F.concat_ws(" @ ", "away_team", "home_team").alias("matchup")
+    tie = three_regions(-spread, margin_sd, level(spread))[1]
     c = games.select(*key, matchup, (-spread).alias("home_margin"), F.when(spread.isNotNull(), tie).alias("tie"), F.explode(F.array(*rows)).alias("m")).select(*key, "matchup", "home_margin", "tie", "m.*")
+    win, push, other = three_regions(F.col("_edge"), F.col("_sd"), F.col("_line"))
+    push = F.when(F.col("market") == "moneyline", 0.0).otherwise(push)
+    c = c.withColumns({n: F.when(F.col("_line").isNotNull(), p) for n, p in (("win", win), ("push", push), ("other", other))}).drop("_edge", "_sd", "_line")
+    c = c.withColumn("fair", F.coalesce("fair", "win")).withColumn("model", F.coalesce("model", "fair"))
     stake = kelly(F.col("model"), F.col("odds"), F.col("push"))
     return c.withColumns({"edge": F.col("model") - F.col("fair"), "stake": F.coalesce(stake, F.lit(0.0))})
