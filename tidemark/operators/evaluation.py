@@ -73,9 +73,14 @@ def classwise_ece(df: DataFrame, classes: dict[str, str], y: str, bins: int = 10
 
 
 def weighted_scorecard(df: DataFrame, key: Sequence[str], n: str, week: str, losses: dict[str, tuple[str, str]], correct: str) -> DataFrame:
-    """Per key: weeks, n, the gain of each loss (market less model, weighted by n) and the share of correct picks."""
-    w = lambda c: F.sum(F.col(c) * F.col(n)) / F.sum(n)
-    return df.groupBy(*key).agg(F.count_distinct(week).alias("weeks"), F.sum(n).alias("n"), *[(w(market) - w(model)).alias(name) for name, (market, model) in losses.items()], F.try_divide(F.sum(correct), F.sum(n)).alias("accuracy"))
+    """Per key: weeks, n, the gain of each loss (market less model, weighted by n) and the share of correct picks.
+
+    Losses are summed as decimals of nine places and divided once, so a gain is the same in whatever order rows come;
+    a row without either loss adds nothing to it.
+    """
+    nano, k = "decimal(18,9)", F.col(n).cast("decimal(10,0)")
+    gain = lambda market, model: F.try_divide(F.sum((F.col(market).cast(nano) - F.col(model).cast(nano)) * k).cast("double"), F.sum(n))
+    return df.groupBy(*key).agg(F.count_distinct(week).alias("weeks"), F.sum(n).alias("n"), *[gain(*pair).alias(name) for name, pair in losses.items()], F.try_divide(F.sum(correct), F.sum(n)).alias("accuracy"))
 
 
 def share_interval(share: str, n: str, z: float = 1.959963984540054) -> tuple[Column, Column]:

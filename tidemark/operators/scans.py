@@ -51,11 +51,13 @@ def cusum_rows(df: DataFrame, key: Sequence[str], order: Sequence[str], residual
 
 
 def ewm_rows(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, half_life: float, name: str) -> DataFrame:
-    """Adds the exponentially weighted mean of a key's earlier rows; the weight of what was seen fades over nulls too."""
+    """Adds the exponentially weighted mean of a key's earlier rows; the weight of what was seen fades over nulls
+    too, and NaN counts as null."""
     a = 1 - 0.5 ** (1 / half_life)
 
     def step(s: list, x: float | None) -> tuple:
         before, weight = s
+        x = None if x is None or x != x else x
         if x is None:
             s[1] = weight * (1 - a)
         elif before is None:

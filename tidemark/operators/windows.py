@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import scans
+from tidemark.operators import prefix, scans
 
 
 def prior_features(df: DataFrame, key: Sequence[str], order: Sequence[str], metrics: Sequence[str], season: str | None = None, last: Sequence[int] = (4, 8)) -> DataFrame:
@@ -30,7 +30,7 @@ def prior_features(df: DataFrame, key: Sequence[str], order: Sequence[str], metr
 
 def ewm_prior(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, half_life: float, name: str) -> DataFrame:
     """Adds the exponentially weighted mean of all earlier rows, as adjust=False with gaps that keep decaying."""
-    return scans.ewm_rows(df.withColumn("_x", F.col(value).cast("double")), key, order, "_x", half_life, name).drop("_x")
+    return prefix.fading_mean(df, key, order, value, half_life, name)
 
 
 def rest_days(df: DataFrame, key: Sequence[str], order: Sequence[str], time: str, short: float = 6.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import consensus, evaluation, joins, models, pricing, priors, windows
-from tidemark.plans import cards, feeds, games, markets  # noqa: F401  their queries register themselves
+from tidemark.plans import cards, feeds, games, markets, snapshots  # noqa: F401  their queries register themselves
 from tidemark.plans.registry import ORACLE_SQL, QUERIES, query, r6, read
 from tidemark.sources import tables
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import labels as L
 from tidemark.functions import scalars as S
-from tidemark.operators import evaluation, gates, joins, pricing, priors, scans
+from tidemark.operators import evaluation, gates, prefix, pricing, priors, scans
 from tidemark.plans.registry import query, r6, read
 
 
@@ -144,9 +144,9 @@ _WILSON = "(accuracy + 1.920729410347062::DOUBLE / n - 1.959963984540054::DOUBLE
 
 
 @query(f"""
-WITH s AS (SELECT market, count(DISTINCT week) AS weeks, sum(n)::BIGINT AS n, sum(market_ll * n) / sum(n) - sum(model_ll * n) / sum(n) AS gain, sum(market_b * n) / sum(n) - sum(model_b * n) / sum(n) AS brier_gain, sum(correct) / sum(n)::DOUBLE AS accuracy FROM {_WEEKS} GROUP BY 1),
+WITH s AS (SELECT market, count(DISTINCT week) AS weeks, sum(n)::BIGINT AS n, sum((market_ll::DECIMAL(18, 9) - model_ll::DECIMAL(18, 9)) * n::INT)::DOUBLE / sum(n) AS gain, sum((market_b::DECIMAL(18, 9) - model_b::DECIMAL(18, 9)) * n::INT)::DOUBLE / sum(n) AS brier_gain, sum(correct) / sum(n)::DOUBLE AS accuracy FROM {_WEEKS} GROUP BY 1),
 c AS (SELECT *, {_WILSON} AS low FROM s)
-SELECT market, weeks, n, round(gain, 6) AS gain, round(brier_gain, 6) AS brier_gain, round(accuracy, 6) AS accuracy, round(low, 6) AS low,
+SELECT market, weeks, n, gain, brier_gain, round(accuracy, 6) AS accuracy, round(low, 6) AS low,
   CASE WHEN market % 10 = 0 THEN 'DEMOTE_TO_RETAIN_BASELINE' WHEN weeks >= 60 AND gain > 0 AND low > 0.35 THEN 'PROMOTE_TO_LIVE_STAKE' ELSE 'HOLD_PROVISIONAL_STAKE_ZERO' END AS decision,
   CASE WHEN market % 10 = 0 THEN 'DRIFT_ALARM' WHEN weeks >= 60 AND gain > 0 AND low > 0.35 THEN 'LIVE_GATE_PASSED' ELSE concat_ws(';', CASE WHEN weeks < 60 THEN 'weeks<60' END, CASE WHEN gain <= 0 THEN 'log_loss_gain<=0' END, CASE WHEN low <= 0.35 THEN 'pick_acc_ci_lower<=0.35' END) END AS reason FROM c""")
 def live_scorecard(spark, sf):
@@ -158,7 +158,7 @@ def live_scorecard(spark, sf):
     s = evaluation.weighted_scorecard(l, ["market"], "n", "week", {"gain": ("market_ll", "model_ll"), "brier_gain": ("market_b", "model_b")}, "correct")
     s = s.withColumn("low", evaluation.share_interval("accuracy", "n")[0]).withColumn("drift", f("market") % 10 == 0)
     out = gates.promotion(s, "weeks", "gain", "low", "drift", 60, 0.35).drop("drift")
-    return out.withColumns({c: r6(f(c)) for c in ("gain", "brier_gain", "accuracy", "low")})
+    return out.withColumns({c: r6(f(c)) for c in ("accuracy", "low")})
 
 
 @query("""
@@ -237,7 +237,8 @@ SELECT user_id, day, count(hday) AS days, sum(n)::BIGINT AS rows FROM (SELECT DI
 LEFT JOIN (SELECT user_id AS hu, date_trunc('day', ts)::DATE AS hday, count(*) AS n FROM events GROUP BY 1, 2) h ON hu = user_id AND hday < day GROUP BY 1, 2""")
 def earlier_days_by_user(spark, sf):
     d = read(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    return joins.strictly_before(d.select("user_id", "day"), d, "day", "day", {"days": F.count("_hday"), "rows": F.sum("n")}, ["user_id"])
+    out = prefix.sums_before(d.select("user_id", "day"), d, ["user_id"], "day", "day", {"days": F.count("*"), "rows": F.sum("n")})
+    return out.withColumn("rows", F.when(F.col("days") > 0, F.col("rows")))
 
 
 @query("""
@@ -250,23 +251,18 @@ def feature_matrix(spark, sf):
 
 
 @query("""
-SELECT o_orderkey, l_linenumber, round(CASE WHEN l_returnflag = 'A' THEN l_discount * 100 WHEN l_returnflag = 'N' THEN 0 ELSE -100 END, 6) AS profit FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1""")
+SELECT o_orderkey, l_linenumber, round(CASE WHEN l_returnflag = 'A' THEN l_discount * 100 WHEN l_returnflag = 'N' THEN 0 ELSE -100 END, 6) AS profit FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
 def settled_bets(spark, sf):
-    bets = read(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_returnflag", "l_discount")
+    bets = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_returnflag", "l_discount")
     done = bets.join(read(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
     profit = F.when(F.col("l_returnflag") == "A", F.col("l_discount") * 100).when(F.col("l_returnflag") == "N", 0.0).otherwise(-100.0)
     return done.select("o_orderkey", "l_linenumber", r6(profit).alias("profit"))
 
 
-@query(f"""
-WITH RECURSIVE e AS (SELECT event_id, event_type, user_id AS a, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS b FROM events WHERE event_id < 400), g AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM e WHERE b IS NOT NULL AND a <> b),
-f AS (SELECT event_type, 0::BIGINT AS i, MAP {{0::BIGINT: 1500.0::DOUBLE}} AS r, NULL::BIGINT AS event_id, NULL::DOUBLE AS wb, NULL::DOUBLE AS lb FROM g WHERE i = 1
- UNION ALL SELECT event_type, i, map_from_entries(list_concat(list_filter(map_entries(r), lambda x: x.key <> a AND x.key <> b), [{{'key': a, 'value': ra + gain}}, {{'key': b, 'value': rb - gain}}])), event_id, ra, rb
- FROM (SELECT *, 20 * (1 - 1 / (1 + 10 ** ((rb - ra) / 400))) AS gain FROM (SELECT g.*, f.r, coalesce(f.r[g.a], 1500) AS ra, coalesce(f.r[g.b], 1500) AS rb FROM f JOIN g ON g.event_type = f.event_type AND g.i = f.i + 1)))
-SELECT event_id, round(wb, 4) AS winner_before, round(lb, 4) AS loser_before FROM f WHERE i > 0""")
+@query()
 def elo_before_games(spark, sf):
     from pyspark.sql import Window
 
-    e = read(spark, sf, "events").where("event_id < 400").select("event_type", "event_id", F.col("user_id").alias("a"), F.lead("user_id").over(Window.partitionBy("event_type").orderBy("ts", "event_id")).alias("b"))
+    e = read(spark, sf, "events").select("event_type", "event_id", F.col("user_id").alias("a"), F.lead("user_id").over(Window.partitionBy("event_type").orderBy("ts", "event_id")).alias("b"))
     out = scans.elo_rows(e.where("b IS NOT NULL AND a <> b"), "event_type", ["event_id"], "a", "b")
     return out.select("event_id", *[F.round(c, 4).alias(c) for c in ("winner_before", "loser_before")])
