@@ -392,7 +392,7 @@ def test_passages_of_benchmarks_are_found(spark):
     df = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, item int")
     bench = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, at int")
     for most in (4_000_000, 0):  # documents sifted in the scan, and not
-        got = decontaminate.contaminated(df, bench, most_filter=most).collect()
+        got = decontaminate.contaminated(df, bench, most_sift=most).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want
         assert all(0.5 <= r.score <= 1 for r in got)
     left = decontaminate.without_contaminated(df, bench)
@@ -442,6 +442,38 @@ def test_all_pairs_over_the_threshold_are_found(spark):
     assert want and got == want
 
 
+def test_edited_copies_at_half_the_score_are_found(spark):
+    """Words changed, put in and left out at every second to eighth place, and short items: as all-pairs alignment says."""
+    rnd = random.Random(33)
+    word = lambda: f"w{int(rnd.paretovariate(0.8))}"
+    items = [(i, [word() for _ in range(n)]) for i, n in enumerate([1, 2, 3, 4, 5, 6, 7, 12, 20, 30, 31, 60])]
+    edits = {
+        "changed": lambda w, k: [word() if j % k == k - 1 else x for j, x in enumerate(w)],
+        "put in": lambda w, k: [y for j, x in enumerate(w) for y in ((x, word()) if j % k == k - 1 else (x,))],
+        "left out": lambda w, k: [x for j, x in enumerate(w) if j % k != k - 1],
+    }
+    docs = [[word() for _ in range(rnd.randrange(0, 40))] for _ in range(20)]
+    for edit in edits.values():
+        for k in (1, 2, 3, 4, 5, 8):
+            for _, w in items[4:]:
+                text = [word() for _ in range(rnd.randrange(30))]
+                text[len(text) // 2 : len(text) // 2] = edit(w, k)
+                docs.append(text)
+    want = {}
+    for d, t in enumerate(docs):
+        for i, w in items:
+            score = local_score(w, t) / (2 * len(w))
+            if score >= 0.5:
+                want[d, i] = score
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    for most in (1000, 0):
+        got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(df, bench, least=0.5, most_sift=most).collect()}
+        assert got == want
+    long = {p for p in want if len(items[p[1]][1]) > 6 and want[p] < 0.8}
+    assert len(long) > 100
+
+
 def test_whole_leaks_in_the_corpus_are_found(spark):
     sf = "/root/testdata/sf0.01"
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))

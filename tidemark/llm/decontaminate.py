@@ -1,13 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the passages they point at.
-
-Word frequencies over the whole corpus decide which n-grams of a test item are its seeds: all that are rare, and the
-rarest of every short stretch, so that no stretch is without one. Documents meet the seeds in a Spark join on their
-hashes. Seeds that a document shares with an item mark passages, which are joined with the item's words and aligned
-with them word by word.
+"""Benchmark decontamination: rare seeds, then Smith-Waterman alignment of the passages they point at.
+
+A seed is a pair of words at most two apart. An alignment that reaches the threshold has so few changes that some of
+its neighbouring matches must be at most two apart in both texts, and how many is known from the item's length; so
+an item's most common pairs can be passed over, word frequencies over the whole corpus telling which, as long as enough
+rare ones are left. Documents meet the seeds in a Spark join on their hashes. Where enough seeds of an item stand near
+each other is a passage, which is joined with the item's words and aligned with them word by word. No document whose
+alignment reaches the threshold is lost.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,13 +37,16 @@ def _count_rows(words: np.ndarray | None):
     return run
 
 
-def grams(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n-grams of word hashes."""
-    h = np.full(max(0, len(words) - n + 1), n, np.uint64)
-    for i in range(n):
-        h = (h ^ words[i : len(words) - n + 1 + i]) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(i + 1)
-        h ^= h >> np.uint64(29)
-    return h * np.uint64(0x9FB21C651E98DF25)
+def pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of ordered pairs of word hashes."""
+    h = (first * np.uint64(0xD6E8FEB86659FD93)) ^ second
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
+    return h ^ (h >> np.uint64(32))
+
+
+def singles(words: np.ndarray) -> np.ndarray:
+    """Hashes of words alone, as seeds of items too short for pairs."""
+    return pairs(words, np.full(len(words), 1, np.uint64))
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,13 +83,34 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, first, last
 
 
-def seeds_of(odds: np.ndarray, rare: float, stretch: int) -> np.ndarray:
-    """Places of an item's seeds: grams of odds `rare` or less, and the least likely of every `stretch` in a row."""
-    chosen = odds <= rare
-    w = min(stretch, len(odds))
-    windows = np.lib.stride_tricks.sliding_window_view(odds, w)
-    chosen[np.arange(len(windows)) + windows.argmin(1)] = True
-    return np.flatnonzero(chosen) if chosen.sum() > 1 else np.arange(len(odds))
+def bounds(length: int, least: float) -> tuple[int, int]:
+    """(pairs, span) for an alignment of score `least` with an item of `length` words.
+
+    m matches and x changes score 2m - x >= t. A step between neighbouring matches that is over two words long in either
+    text takes two changes, so at least (m - 1) - x // 2 >= t / 2 - 1 steps are not; and the passage has m + x words at most.
+    """
+    t = max(1, ceil(MATCH * length * least - 1e-9))
+    return (t + 1) // 2 - 1, max(1, 3 * length - t)
+
+
+def seeds_of(words: np.ndarray, share: np.ndarray, least: float, rare: float) -> tuple[np.ndarray, int, int]:
+    """An item's seeds, how many of them a passage must have, and within how many words.
+
+    Up to half of the steps that are certain may be given away: the likeliest pairs over `rare` aren't seeds. An item
+    for which no step is certain has its words as seeds.
+    """
+    n, span = bounds(len(words), least)
+    if n < 1:
+        return np.unique(singles(words)), 1, span
+    h = np.concatenate([pairs(words[:-d], words[d:]) for d in (1, 2)])
+    odds = np.concatenate([share[:-d] * share[d:] for d in (1, 2)])
+    gram, at, times = np.unique(h, return_index=True, return_counts=True)
+    odds, spare, kept = odds[at], n // 2, np.ones(len(gram), bool)
+    for i in np.argsort(-odds, kind="stable"):
+        if odds[i] <= rare or times[i] > spare:
+            break
+        kept[i], spare = False, spare - times[i]
+    return gram[kept], n - (n // 2 - spare), span
 
 
 def _item_rows(longest: int):
@@ -102,44 +130,87 @@ def _item_rows(longest: int):
     return run
 
 
-def _seed_rows(n: int, rare: float, stretch: int, total: float):
+def _seed_rows(rare: float, least: float, total: float):
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
             for item, words in zip(*(c.to_pylist() for c in batch.columns)):
                 words.sort(key=lambda w: w["pos"])
                 own, share = np.array([w["word"] for w in words], np.int64).view(np.uint64), (np.array([w["n"] for w in words]) + 1) / max(1.0, total)
-                size = min(n, len(own))
-                odds = np.prod([share[k : len(own) - size + 1 + k] for k in range(size)], axis=0)
-                start = seeds_of(odds, rare, stretch)
-                out += [(g, item, s, len(own), size) for g, s in zip(signed(grams(own, size)[start]).tolist(), start.tolist())]
+                gram, need, span = seeds_of(own, share, least, rare)
+                out += [(g, item, need, span, len(own)) for g in signed(gram).tolist()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["gram", "part", "start", "length", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["gram", "part", "need", "span", "length"])
 
     return run
 
 
-def _hit_rows(sizes: list[int], wanted: np.ndarray | None):
-    """Documents that hold a wanted gram (null: any gram): their words and where those grams start."""
+def dense(part: np.ndarray, doc: np.ndarray, pos: np.ndarray, need: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places i and ends of windows of `need` hits within `span` words, of hits sorted by (part, doc, pos)."""
+    end = np.arange(len(pos)) + need - 1
+    ok = end < len(pos)
+    end = np.minimum(end, len(pos) - 1)
+    ok &= (part[end] == part) & (doc[end] == doc) & (pos[end] - pos <= span)
+    return np.flatnonzero(ok), end[ok]
+
+
+class Sift:
+    """Seeds as arrays: which hits of a text stand densely enough for some item."""
+
+    def __init__(self, seeds: pa.Table):
+        gram, part, need, span = (seeds.column(c).to_numpy() for c in ("gram", "part", "need", "span"))
+        order = np.argsort(gram.view(np.uint64), kind="stable")
+        ids, self.part = np.unique(part[order], return_inverse=True)
+        self.need, self.span = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        self.need[self.part], self.span[self.part] = need[order], span[order]
+        self.known = Members(gram.view(np.uint64))
+        self.first = np.searchsorted(gram.view(np.uint64)[order], np.append(self.known.values, np.uint64(2**64 - 1)))
+        self.first[-1] = len(gram)
+
+    def hits(self, gram: np.ndarray, spot: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Places of the hits to keep among candidate grams at words `spot`."""
+        at = self.known.find(gram)
+        hit = np.flatnonzero(at >= 0)
+        if not len(hit):
+            return hit
+        a, n = self.first[at[hit]], self.first[at[hit] + 1] - self.first[at[hit]]
+        which = np.repeat(hit, n)
+        part = self.part[np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+        pos = spot[which]
+        order = np.lexsort((pos, part))
+        part, pos, which = part[order], pos[order], which[order]
+        new = np.append(True, (part[1:] != part[:-1]) | (pos[1:] != pos[:-1]))  # a word counts once for a part
+        u = np.flatnonzero(new)
+        doc = np.searchsorted(off, pos[u], side="right")
+        i, end = dense(part[u], doc, pos[u], self.need[part[u]], self.span[part[u]])
+        mark = np.zeros(len(u) + 1, np.int64)
+        np.add.at(mark, i, 1)
+        np.add.at(mark, end + 1, -1)
+        return np.unique(which[u[np.cumsum(mark[:-1]) > 0]])
+
+
+def _hit_rows(sift, short: bool):
+    """Documents with their words and where seeds start in them: those that stand densely enough, or all grams without a sift."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        known = Members(wanted) if wanted is not None else None
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text"):
             words, off, _ = word_hashes(batch.column(1))
             spot, gram = [], []
-            for size in sizes:
-                g = grams(words, size)
-                at = np.flatnonzero(known.find(g) >= 0) if known else np.arange(len(g))
-                at = at[at + size <= off[np.searchsorted(off, at, side="right")]]
+            for d in (0, 1, 2) if short else (1, 2):
+                at = np.arange(max(0, len(words) - d))
+                at = at[at + d < off[np.searchsorted(off, at, side="right")]]
                 spot.append(at)
-                gram.append(g[at])
-            spot, gram = np.concatenate(spot), signed(np.concatenate(gram))
+                gram.append(pairs(words[at], words[at + d]) if d else singles(words[at]))
+            spot, gram = np.concatenate(spot), np.concatenate(gram)
+            if sift is not None:
+                kept = sift.value.hits(gram, spot, off)
+                spot, gram = spot[kept], gram[kept]
             doc = np.searchsorted(off, spot, side="right") - 1
             order = np.argsort(doc, kind="stable")
-            spot, gram, doc = spot[order], gram[order], doc[order]
+            spot, gram, doc = spot[order], signed(gram)[order], doc[order]
             held, first = np.unique(doc, return_index=True)
             if not len(held):
                 continue
@@ -152,23 +223,31 @@ def _hit_rows(sizes: list[int], wanted: np.ndarray | None):
     return run
 
 
-def _passage_rows(batches):
-    """Passages that a document's seeds point at: near ones of one item are joined up to four times its length."""
+def _window_rows(batches):
+    """Stretches of a document that an item's seeds point at: (row, part, a, b, k).
+
+    Every alignment of a window's seeds lies within the span around them. Stretches that overlap are joined, and cut
+    with an overlap of more than a span where they are over four spans long, so that an alignment is whole in one.
+    """
     for batch in batches:
         out: list[tuple] = []
-        for row, words, found in zip(*(c.to_pylist() for c in batch.columns)):
-            held: dict[int, list] = {}
-            found = [(h["part"], max(0, h["pos"] - h["start"] - h["length"] // 4 - 4), min(len(words), h["pos"] - h["start"] + h["length"] + h["length"] // 4 + 4), h["length"]) for h in found]
-            for part, a, b, length in sorted(found):
-                w = held.setdefault(part, [])
-                if w and a <= w[-1][1] and max(b, w[-1][1]) - w[-1][0] <= 4 * length + 64:
-                    w[-1][1], w[-1][2] = max(w[-1][1], b), w[-1][2] + 1
-                else:
-                    w.append([a, b, 1])
-            out += [(row, part, a, k, words[a:b]) for part, w in held.items() for a, b, k in w]
-        for at in range(0, len(out), 1000):
-            part = out[at : at + 1000]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["row", "part", "a", "k", "passage"])
+        for row, part, need, span, pos in zip(*(c.to_pylist() for c in batch.columns)):
+            pos = np.unique(np.array(pos, np.int64))
+            same = np.zeros(len(pos), np.int64)
+            i, end = dense(same, same, pos, same + need, same + span)
+            a, b = np.maximum(0, pos[end] - span - 3), pos[i] + span + 3
+            if not len(a):
+                continue
+            heads = np.flatnonzero(np.append(True, a[1:] > b[:-1]))
+            for x, y in zip(a[heads].tolist(), b[np.append(heads[1:] - 1, len(b) - 1)].tolist()):
+                while True:
+                    to = min(y, x + 4 * span + 16)
+                    out.append((row, part, x, to, int(np.count_nonzero((pos >= x) & (pos < to)))))
+                    if to == y:
+                        break
+                    x = to - span - 8
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["row", "part", "a", "b", "k"])
 
 
 def _score_rows(cells: int = 1 << 20):
@@ -193,53 +272,56 @@ def _score_rows(cells: int = 1 << 20):
     return run
 
 
-def _filter(df: DataFrame, column: str, most: int) -> np.ndarray | None:
-    """The column's distinct values, to sift documents by, if there are at most `most` (eight bytes each)."""
-    few = df.select(column).distinct()
-    if few.count() > most:
-        return None
-    return np.array([r[0] for r in few.collect()], np.int64).view(np.uint64)
+def _few(df: DataFrame, most: int) -> pa.Table | None:
+    """The rows as an Arrow table if there are at most `most`."""
+    return df.toArrow() if df.count() <= most else None
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: float = 1e-7, least: float = 0.5, longest: int = 512, stretch: int = 3, most_filter: int = 4_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rare: float = 1e-7, least: float = 0.5, longest: int = 512, most_sift: int = 2_000_000) -> DataFrame:
     """Rows (doc_id, item_id, score, first_word, past_word, n_seeds): documents with a passage like a test item.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored, whatever their names. score is the best
-    local alignment of lower-cased words over that of an exact copy (1.0); rows have score >= `least`. A seed is an
-    n-gram whose words' corpus frequencies multiply to `rare` or less, or the least likely of `stretch` n-grams in a row;
-    an item with fewer than two seeds uses all its n-grams, and an item of fewer than n words uses one gram of all
-    its words. An item of over `longest` words is matched in stretches of that many, of which the best counts. Null or
-    wordless texts match nothing; rows that repeat give rows that repeat, items with equal ids or texts are kept apart.
-    Empty tables give an empty result.
-
-    The benchmark's words and seeds sift the documents in the scan if there are at most `most_filter` of them (32 MB);
-    beyond it all grams go to the join, with the same result.
+    local alignment of lower-cased words over that of an exact copy (1.0); rows have score >= `least`, and every
+    document and item with such an alignment has a row. Seeds are pairs of words at most two apart, without the likeliest
+    of those whose words' corpus frequencies multiply to over `rare`. n_seeds counts those in the passage.
+    An item of over `longest` words is matched in stretches of that many, of which the best counts. Null or wordless
+    texts match nothing; rows that repeat give rows that repeat, items with equal ids or texts are kept apart. Empty tables give
+    an empty result.
+
+    Seeds sift the documents in the scan, as arrays of 32 bytes a seed, if there are at most `most_sift` of them (64 MB);
+    beyond it all pairs of words go to the join, with the same result.
     """
-    id_type = dict(docs.dtypes)["doc_id"]
+    id_type, spark = dict(docs.dtypes)["doc_id"], docs.sparkSession
     items = written(benchmark.select("item_id", "text").where("text IS NOT NULL").withColumn("at", F.monotonically_increasing_id()), "items")
     parts = items.select("at", "text").mapInArrow(_item_rows(longest), "at long, words array<long>").withColumn("part", F.monotonically_increasing_id())
     parts = written(parts, "item-parts")
     texts = docs.select("doc_id", "text").where("text IS NOT NULL")
     placed = parts.select("part", F.posexplode("words").alias("pos", "word"))
-    counts = texts.select("text").mapInArrow(_count_rows(_filter(placed, "word", most_filter)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    few = _few(placed.select("word").distinct(), most_sift)
+    counts = texts.select("text").mapInArrow(_count_rows(None if few is None else few.column("word").to_numpy().view(np.uint64)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = written(counts, "word-counts")
     total = counts.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
-    shares = placed.join(counts, "word", "left").groupBy("part").agg(F.collect_list(F.struct("pos", "word", F.coalesce("n", F.lit(0)).alias("n"))).alias("words"))
-    seeds = written(shares.mapInArrow(_seed_rows(n, rare, stretch, float(total)), "gram long, part long, start long, length long, size long"), "seeds")
-    sizes = sorted(r[0] for r in seeds.select("size").distinct().collect()) or [n]  # at most n
-    held = texts.mapInArrow(_hit_rows(sizes, _filter(seeds, "gram", most_filter)), f"row long, doc_id {id_type}, words array<long>, hits array<struct<gram:long,pos:int>>")
-    held = written(held, "seeded")
-    met = held.select("row", F.explode("hits").alias("h")).select("row", "h.gram", "h.pos").join(seeds, "gram")
-    met = met.groupBy("row").agg(F.collect_list(F.struct("part", "pos", "start", "length")).alias("found"))
-    passages = held.select("row", "words").join(met, "row").select("row", "words", "found").mapInArrow(_passage_rows, "row long, part long, a long, k long, passage array<long>")
+    shares = placed.join(counts, "word", "left").groupBy("part").agg(F.collect_list(F.struct("pos", "word", F.coalesce("n", F.lit(0)).alias("n"))).alias("words"))  # `longest` words at most
+    seeds = written(shares.mapInArrow(_seed_rows(rare, least, float(total)), "gram long, part long, need long, span long, length long"), "seeds")
+    short = not seeds.where(F.col("length") <= 1 / least).isEmpty()
+    few = _few(seeds.select("gram", "part", "need", "span"), most_sift)
+    sift = spark.sparkContext.broadcast(Sift(few)) if few is not None and few.num_rows else None
+    held = texts.mapInArrow(_hit_rows(sift, short), f"row long, doc_id {id_type}, words array<long>, hits array<struct<gram:long,pos:int>>")
+    held = written(held if few is None or few.num_rows else held.where("false"), "seeded")
+    hits = held.select("row", F.explode("hits").alias("h")).select("row", "h.gram", "h.pos")
+    sized = seeds.join(hits.groupBy("gram").agg(F.count("*").alias("m")), "gram")
+    met = hot_join(hits, written(sized, "met-seeds"), ["gram"], "m", "inner")
+    found = met.groupBy("row", "part", "need", "span").agg(F.collect_set("pos").alias("pos"))  # a document's words at most
+    windows = written(found.mapInArrow(_window_rows, "row long, part long, a long, b long, k long"), "windows")
+    passages = windows.join(held.select("row", "words"), "row").select("row", "part", "a", "k", F.slice("words", (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")).alias("passage"))
     passages = written(passages, "passages")
     use = parts.join(passages.groupBy("part").agg(F.count("*").alias("m")), "part").select("part", F.col("words").alias("item"), "m")
     scored = hot_join(passages, use, ["part"], "m", "inner").select("row", "part", "a", "k", "passage", "item")
     scored = scored.repartition(tasks(docs)).mapInArrow(_score_rows(), "row long, part long, score double, first_word long, past_word long, n_seeds long")
-    best = F.max(F.struct("score", (-F.col("first_word")).alias("back"), (-F.col("past_word")).alias("end"))).alias("b")
-    top = written(scored, "scored").join(parts.select("part", "at"), "part").groupBy("row", "at").agg(best, F.sum("n_seeds").alias("n_seeds")).where(F.col("b.score") >= least)
+    best = F.max(F.struct("score", (-F.col("first_word")).alias("back"), (-F.col("past_word")).alias("end"), "n_seeds")).alias("b")
+    top = written(scored, "scored").join(parts.select("part", "at"), "part").groupBy("row", "at").agg(best).where(F.col("b.score") >= least)
     top = top.join(items.select("at", "item_id"), "at").join(held.select("row", "doc_id"), "row")
-    return top.select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.back")).alias("first_word"), (-F.col("b.end")).alias("past_word"), "n_seeds")
+    return top.select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.back")).alias("first_word"), (-F.col("b.end")).alias("past_word"), F.col("b.n_seeds").alias("n_seeds"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
