@@ -83,12 +83,28 @@ def sums_before(snapshots: DataFrame, history: DataFrame, key: Sequence[str], da
     return out.fillna(0, list(sums))
 
 
+def fading_sums(df: DataFrame, key: Sequence[str], order: Sequence[str], fade: str, amounts: Sequence[str]) -> DataFrame:
+    """df with faded_<amount>: the sum of the amount over the key's rows through this one, each times 2^(its fade - this row's).
+
+    `fade` is a number that never falls along the order. Sums are made in stretches of 64 of it, where no power
+    overflows; of what came before, only the stretch just before is over a double's precision, and it is carried in.
+    """
+    at = [*key, "_stretch"]
+    rows = df.withColumn("_stretch", F.floor(F.col(fade) / 64))
+    rows = rows.withColumns({f"_up_{a}": F.coalesce(F.col(a).cast("double"), F.lit(0.0)) * F.pow(F.lit(2.0), F.col(fade) - F.col("_stretch") * 64) for a in amounts})
+    ends = rows.groupBy(*at).agg(*[(F.sum(f"_up_{a}") * 2.0**-64).alias(f"_end_{a}") for a in amounts]).withColumn("_stretch", F.col("_stretch") + 1)
+    own = Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = _same(rows.withColumns({f"faded_{a}": F.sum(f"_up_{a}").over(own) for a in amounts}), ends, at, "_of_")
+    down = F.pow(F.lit(2.0), F.col("_stretch") * 64 - F.col(fade))
+    out = out.withColumns({f"faded_{a}": (F.col(f"faded_{a}") + F.coalesce(f"_end_{a}", F.lit(0.0))) * down for a in amounts})
+    return out.drop("_stretch", *[f"_{w}_{a}" for a in amounts for w in ("up", "end")])
+
+
 def fading_mean(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, half_life: float, name: str) -> DataFrame:
     """Adds the exponentially weighted mean of a key's earlier rows, null before the first value; NaN counts as null.
 
     The weight of what was seen halves every `half_life` rows, fading over nulls too, and a new value takes the rest. It
-    solves m = c m' + (1 - c) x with sums of x over the product of the c so far. Products are cut where they have faded
-    by 2^-64: what came before the cut before a row's is under a double's precision, so none can overflow.
+    solves m = c m' + (1 - c) x as a fading sum, in the product of the c so far.
     """
     a = 1 - 0.5 ** (1 / half_life)
     w = Window.partitionBy(*key).orderBy(*order)
@@ -98,14 +114,6 @@ def fading_mean(df: DataFrame, key: Sequence[str], order: Sequence[str], value:
     left = F.pow(F.lit(1 - a), F.col("_i") - F.col("_seen"))
     rows = rows.withColumn("_seen", seen).withColumn("_c", F.when(F.col("_seen").isNull(), 0.0).otherwise(left / (left + a)))
     rows = rows.withColumn("_fade", F.sum(F.when(F.col("_x").isNotNull() & (F.col("_c") > 0), -F.log2("_c")).otherwise(0.0)).over(w))
-    rows = rows.withColumn("_stretch", F.floor(F.col("_fade") / 64))
-    part = F.when(F.col("_x").isNotNull(), (1 - F.col("_c")) * F.col("_x") * F.pow(F.lit(2.0), F.col("_fade") - F.col("_stretch") * 64))
-    own = Window.partitionBy(*key, "_stretch").orderBy("_i")
-    rows = rows.withColumn("_part", part).withColumn("_own", F.sum("_part").over(own))
-    # what the stretch before ended with, read by the first row of each stretch and passed on within it
-    last = F.struct("_stretch", F.col("_own").alias("own"))
-    before = F.when(F.row_number().over(own) == 1, F.lag(last).over(w))
-    rows = rows.withColumn("_end", F.first(before).over(own))
-    far = F.when(F.col("_end._stretch") == F.col("_stretch") - 1, F.coalesce("_end.own", F.lit(0.0)) * 2.0**-64).otherwise(0.0)
-    mean = (F.coalesce("_own", F.lit(0.0)) + far) * F.pow(F.lit(2.0), F.col("_stretch") * 64 - F.col("_fade"))
-    return rows.withColumn("_mean", mean).withColumn(name, F.when(F.col("_seen").isNotNull(), F.lag("_mean").over(w))).select(*df.columns, name)
+    rows = rows.withColumn("_part", (1 - F.col("_c")) * F.col("_x"))
+    rows = fading_sums(rows, key, ["_i"], "_fade", ["_part"])
+    return rows.withColumn(name, F.when(F.col("_seen").isNotNull(), F.lag("faded__part").over(w))).select(*df.columns, name)

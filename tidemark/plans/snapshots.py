@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import cutoffs
+from tidemark.operators import cutoffs, entities
 from tidemark.plans.registry import query, r6, read
 
 _CUTS = {"t10": 10.0, "open_50d": 50 * 1440.0, "open_30d": 30 * 1440.0, "open_12d": 12 * 1440.0}
@@ -39,3 +39,33 @@ def odds_at_cutoff(spark, sf):
     base = read(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
     out = cutoffs.attached(base, moved, "o_orderkey", "market features")
     return out.withColumns({c: r6(F.col(c)) for c, k in out.dtypes if k == "double"})
+
+
+_PRIOR_SQL = """
+WITH e AS (SELECT event_id, user_id::VARCHAR AS player, event_type AS team, ts::DATE AS day, week(ts)::INT AS season, value / 100 AS v, (1 + event_id % 30)::DOUBLE AS x FROM events),
+s AS (SELECT DISTINCT day, season FROM e),
+b AS (SELECT *, 'player' AS kind, player AS entity FROM e UNION ALL BY NAME SELECT *, 'team' AS kind, team AS entity FROM e),
+k AS (SELECT s.day, s.season, kind, entity, v, x, s.season - b.season AS age, coalesce(sum(x) OVER (PARTITION BY s.day, kind, entity ORDER BY b.day DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later
+  FROM s JOIN b ON b.day < s.day AND s.season - b.season BETWEEN 0 AND 1),
+w AS (SELECT *, greatest(0, least(x, 150 - later)) * 0.6::DOUBLE ** age * 0.5::DOUBLE ** (later / 60) AS w, x * 0.6::DOUBLE ** age AS lw FROM k),
+n AS (SELECT day, kind, entity, sum(w) AS n, sum(w * v) / sum(w) AS m FROM w WHERE w > 0 GROUP BY ALL),
+g AS (SELECT day, kind, sum(w * v) / sum(w) AS mu, greatest(sum(w * v * v) / sum(w) - (sum(w * v) / sum(w)) ** 2, 0.0004) AS var FROM w WHERE w > 0 GROUP BY ALL),
+l AS (SELECT day, sum(lw) / (sum(lw) + 320) AS known, sum(lw * v) / sum(lw) AS m, greatest(sum(lw * v * v) / sum(lw) - (sum(lw * v) / sum(lw)) ** 2, 0.0004) AS var FROM w WHERE kind = 'player' GROUP BY 1),
+lg AS (SELECT s.day, coalesce(0.3 + known * (m - 0.3), 0.3) AS mean, CASE WHEN m IS NULL THEN 0.3 ELSE greatest(sqrt(known * var + (1 - known) * 0.09), 0.02) END AS sd FROM s LEFT JOIN l USING (day)),
+c AS (SELECT day, season, team, player, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY day, season, team) AS p FROM e GROUP BY day, season, team, player),
+r AS (SELECT c.day, c.season, kind, entity, coalesce(n.n, 0) AS eff, coalesce(n.n / (n.n + 40), 0) AS share, CASE WHEN n.n > 0 THEN g.mu + n.n / (n.n + 40) * (n.m - g.mu) ELSE lg.mean END AS mean, CASE WHEN n.n > 0 THEN greatest(sqrt(g.var * (1 - n.n / (n.n + 40))), 0.02) ELSE lg.sd END AS sd, lg.mean AS league
+  FROM (SELECT DISTINCT day, season, 'player' AS kind, player AS entity FROM c UNION SELECT DISTINCT day, season, 'team', team FROM c) c LEFT JOIN n USING (day, kind, entity) LEFT JOIN g USING (day, kind) JOIN lg USING (day))
+SELECT c.day, c.team, count(*) AS candidates, arg_min(c.player, (-c.p, c.player)) AS expected, round(-sum(c.p * ln(c.p)), 6) AS entropy, round(sum(c.p * a.mean), 6) AS mean, round(greatest(sqrt(greatest(sum(c.p * (a.sd ** 2 + a.mean ** 2)) - sum(c.p * a.mean) ** 2, 0)), 0.02), 6) AS sd, round(sum(c.p * a.eff), 6) AS effective,
+  round(sum(c.p * a.share), 6) AS weight, round(any_value(t.mean), 6) AS team_mean, round(any_value(greatest(t.sd, 0.02)), 6) AS team_sd, CASE WHEN abs(sum(c.p * a.mean) - any_value(t.mean)) < 5e-7 THEN 0 ELSE round(sum(c.p * a.mean) - any_value(t.mean), 6) END AS delta, round(any_value(t.league), 6) AS league_mean
+FROM c JOIN r a ON a.day = c.day AND a.kind = 'player' AND a.entity = c.player JOIN r t ON t.day = c.day AND t.kind = 'team' AND t.entity = c.team GROUP BY c.day, c.team"""
+
+
+@query(_PRIOR_SQL)
+def starter_snapshots(spark, sf):
+    """Users as players of the event types they act in, known before each day; weeks are the seasons."""
+    e = read(spark, sf, "events").select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"), F.weekofyear("ts").alias("season"), (F.col("value") / 100).alias("v"), (1 + F.col("event_id") % 30).cast("double").alias("x"))
+    c = e.groupBy("day", "season", "event_type", "user_id").agg(F.count("*").cast("double").alias("p"))
+    metric = entities.Metric("v", "x", 0.3, 0.3, strength=40.0)
+    out = entities.starter_features(e, c, [metric], entities.Fading(60.0, 150.0, 2, 0.6), game="day", team="event_type", player="user_id", probability="p", day="day", season="season", order=["day", "event_id"])
+    cols = ("entropy", "mean", "sd", "effective", "weight", "team_mean", "team_sd", "delta", "league_mean")
+    return out.select("day", "team", "candidates", "expected", *[r6(F.col(x)).alias(x) for x in cols])
