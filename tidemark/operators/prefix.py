@@ -24,7 +24,7 @@ def as_number(df: DataFrame, column: str) -> Column:
     return F.col(column)
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str], mark: str) -> DataFrame:
+def joined_same(left: DataFrame, right: DataFrame, names: Sequence[str], mark: str) -> DataFrame:
     """left with right's other columns, by names that may be null; right has a row per names."""
     on = [F.col(n).eqNullSafe(F.col(mark + n)) for n in names]
     return left.join(right.withColumnsRenamed({n: mark + n for n in names}), on, "left").drop(*[mark + n for n in names])
@@ -42,7 +42,7 @@ def running(df: DataFrame, key: Sequence[str], order: Sequence[str], amounts: Se
     earlier = Window.partitionBy(*key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.select(*at, *[F.coalesce(F.sum(f"_sum_{a}").over(earlier), F.lit(0)).alias(f"_carry_{a}") for a in amounts])
     own = Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out = _same(rows.withColumns({f"before_{a}": F.coalesce(F.sum(a).over(own), F.lit(0)) for a in amounts}), carry, at, "_of_")
+    out = joined_same(rows.withColumns({f"before_{a}": F.coalesce(F.sum(a).over(own), F.lit(0)) for a in amounts}), carry, at, "_of_")
     return out.withColumns({f"before_{a}": F.col(f"before_{a}") + F.col(f"_carry_{a}") for a in amounts}).drop("_stretch", *[f"_carry_{a}" for a in amounts])
 
 
@@ -66,7 +66,7 @@ def last_before(left: DataFrame, right: DataFrame, key: Sequence[str], left_time
     seen = le.select(*at).dropna().distinct()
     earlier = Window.partitionBy(*key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     carry = seen.join(ends, at, "full").withColumn("_carry", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
-    out = _same(met, carry, at, "_of_").select("_row", F.coalesce("_found", "_carry").alias("_found"))
+    out = joined_same(met, carry, at, "_of_").select("_row", F.coalesce("_found", "_carry").alias("_found"))
     out = out.unionByName(le.where("_t IS NULL").select("_row", F.lit(None).cast(r.schema["_value"].dataType).alias("_found")))
     return out.select("_row.*", "_found.*")
 
@@ -83,8 +83,9 @@ def sums_before(snapshots: DataFrame, history: DataFrame, key: Sequence[str], da
     return out.fillna(0, list(sums))
 
 
-def fading_sums(df: DataFrame, key: Sequence[str], order: Sequence[str], fade: str, amounts: Sequence[str]) -> DataFrame:
-    """df with faded_<amount>: the sum of the amount over the key's rows through this one, each times 2^(its fade - this row's).
+def fading_sums(df: DataFrame, key: Sequence[str], order: Sequence[str], fade: str, amounts: Sequence[str], inclusive: bool = True) -> DataFrame:
+    """df with faded_<amount>: the sum of the amount over the key's rows through this one (or only those before), each
+    times 2^(its fade - this row's).
 
     `fade` is a number that never falls along the order. Sums are made in stretches of 64 of it, where no power
     overflows; of what came before, only the stretch just before is over a double's precision, and it is carried in.
@@ -93,8 +94,8 @@ def fading_sums(df: DataFrame, key: Sequence[str], order: Sequence[str], fade: s
     rows = df.withColumn("_stretch", F.floor(F.col(fade) / 64))
     rows = rows.withColumns({f"_up_{a}": F.coalesce(F.col(a).cast("double"), F.lit(0.0)) * F.pow(F.lit(2.0), F.col(fade) - F.col("_stretch") * 64) for a in amounts})
     ends = rows.groupBy(*at).agg(*[(F.sum(f"_up_{a}") * 2.0**-64).alias(f"_end_{a}") for a in amounts]).withColumn("_stretch", F.col("_stretch") + 1)
-    own = Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = _same(rows.withColumns({f"faded_{a}": F.sum(f"_up_{a}").over(own) for a in amounts}), ends, at, "_of_")
+    own = Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = joined_same(rows.withColumns({f"faded_{a}": F.coalesce(F.sum(f"_up_{a}").over(own), F.lit(0.0)) for a in amounts}), ends, at, "_of_")
     down = F.pow(F.lit(2.0), F.col("_stretch") * 64 - F.col(fade))
     out = out.withColumns({f"faded_{a}": (F.col(f"faded_{a}") + F.coalesce(f"_end_{a}", F.lit(0.0))) * down for a in amounts})
     return out.drop("_stretch", *[f"_{w}_{a}" for a in amounts for w in ("up", "end")])

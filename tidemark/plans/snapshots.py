@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import cutoffs, entities
+from tidemark.operators import cutoffs, entities, pregame
 from tidemark.plans.registry import query, r6, read
 
 _CUTS = {"t10": 10.0, "open_50d": 50 * 1440.0, "open_30d": 30 * 1440.0, "open_12d": 12 * 1440.0}
@@ -69,3 +69,46 @@ def starter_snapshots(spark, sf):
     out = entities.starter_features(e, c, [metric], entities.Fading(60.0, 150.0, 2, 0.6), game="day", team="event_type", player="user_id", probability="p", day="day", season="season", order=["day", "event_id"])
     cols = ("entropy", "mean", "sd", "effective", "weight", "team_mean", "team_sd", "delta", "league_mean")
     return out.select("day", "team", "candidates", "expected", *[r6(F.col(x)).alias(x) for x in cols])
+
+
+def _games(spark, sf):
+    """Orders as games of two leagues: 40 sides, seasons by year, one game in 29 not played."""
+    k = F.col("o_orderkey")
+    home = F.col("o_custkey") % 40
+    o = read(spark, sf, "orders").select(
+        k.alias("game"), (k % 2).alias("league"), F.year("o_orderdate").alias("season"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 86_400_000_000).cast("int").alias("game_index"), home.alias("home"), ((home + 1 + k % 39) % 40).alias("away"),
+        F.when(k % 29 > 0, F.floor(F.col("o_totalprice")) % 45).alias("home_score"), F.when(k % 29 > 0, F.floor(F.col("o_totalprice") / 50) % 41).alias("away_score"), (k % 17 == 0).alias("neutral"), (F.month("o_orderdate") == 12).alias("playoff"),
+        F.when(k % 5 > 0, (k % 13 - 6) / 2).alias("home_spread"), F.when(k % 7 > 0, (k % 21 + 70) / 2).alias("total_line"),
+    )
+    return o
+
+
+_GAMES = """g AS (SELECT o_orderkey AS game, o_orderkey % 2 AS league, year(o_orderdate)::INT AS season, (epoch_us(o_orderdate) // 86400000000)::INT AS game_index, o_custkey % 40 AS home, (o_custkey % 40 + 1 + o_orderkey % 39) % 40 AS away,
+  CASE WHEN o_orderkey % 29 > 0 THEN floor(o_totalprice)::BIGINT % 45 END AS hs, CASE WHEN o_orderkey % 29 > 0 THEN floor(o_totalprice / 50)::BIGINT % 41 END AS aws FROM orders)"""
+
+
+@query(f"""
+WITH {_GAMES},
+s AS (SELECT game, league, season, game_index, home AS side, 'home' AS venue, hs AS pf, aws AS pa FROM g UNION ALL SELECT game, league, season, game_index, away, 'away', aws, hs FROM g),
+b AS (SELECT *, sum(CASE WHEN venue = 'home' THEN pf END) OVER w AS hpf, sum(CASE WHEN venue = 'home' THEN pa END) OVER w AS hpa, count(CASE WHEN venue = 'home' THEN pf END) OVER w AS hn,
+  sum(CASE WHEN venue = 'away' THEN pf END) OVER w AS apf, sum(CASE WHEN venue = 'away' THEN pa END) OVER w AS apa, count(CASE WHEN venue = 'away' THEN pf END) OVER w AS an, count(pf) OVER w AS n
+  FROM s WINDOW w AS (PARTITION BY league, side ORDER BY season, game_index, game, venue ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT x.game, x.venue, sum(0.18 * y.pf * 0.82::DOUBLE ** (x.n - y.n - 1)) AS f, sum(0.18 * y.pa * 0.82::DOUBLE ** (x.n - y.n - 1)) AS a FROM b x JOIN b y ON x.league = y.league AND x.side = y.side AND y.pf IS NOT NULL AND (y.season, y.game_index, y.game, y.venue) < (x.season, x.game_index, x.game, x.venue) GROUP BY ALL),
+t AS (SELECT b.*, coalesce(f, 0) + 22 * 0.82::DOUBLE ** n AS ff, coalesce(a, 0) + 22 * 0.82::DOUBLE ** n AS fa FROM b LEFT JOIN f USING (game, venue)),
+l AS (SELECT *, coalesce(avg(hs) OVER w, 22) AS lh, coalesce(avg(aws) OVER w, 20.5) AS la, count(hs) OVER m AS meetings, avg(hs + aws) OVER m AS mt FROM g
+  WINDOW w AS (PARTITION BY league ORDER BY season, game_index, game ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), m AS (PARTITION BY league, least(home, away), greatest(home, away) ORDER BY season, game_index, game ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT l.game, venue, lh, la, meetings, mt, n, ff, fa, ((coalesce(hpf, 0) + 8 * lh) / (hn + 8) / lh + (coalesce(apf, 0) + 8 * la) / (an + 8) / la) / 2 AS attack, ((coalesce(hpa, 0) + 8 * la) / (hn + 8) / la + (coalesce(apa, 0) + 8 * lh) / (an + 8) / lh) / 2 AS weak FROM l JOIN t USING (game))
+SELECT h.game, round(h.lh, 6) AS league_home, round(h.la, 6) AS league_away, round(h.attack, 6) AS home_attack, round(h.weak, 6) AS home_weakness, round(a.attack, 6) AS away_attack, round(a.weak, 6) AS away_weakness, round(h.lh * h.attack * a.weak, 6) AS expected_home, round(h.la * a.attack * h.weak, 6) AS expected_away,
+  round(h.lh * h.attack * a.weak + h.la * a.attack * h.weak, 6) AS expected_total, h.meetings, round(h.mt, 6) AS meetings_total, h.n AS home_games, round(h.ff, 6) AS home_fading_for, round(h.fa, 6) AS home_fading_against, CASE WHEN abs(h.ff - h.fa) < 5e-7 THEN 0 ELSE round(h.ff - h.fa, 6) END AS home_fading_margin,
+  a.n AS away_games, round(a.ff, 6) AS away_fading_for, round(a.fa, 6) AS away_fading_against, CASE WHEN abs(a.ff - a.fa) < 5e-7 THEN 0 ELSE round(a.ff - a.fa, 6) END AS away_fading_margin
+FROM r h JOIN r a ON h.game = a.game AND h.venue = 'home' AND a.venue = 'away'""")
+def pregame_states(spark, sf):
+    out = pregame.pregame_states(_games(spark, sf), ["league"])
+    return out.withColumns({c: r6(F.col(c)) for c, k in out.dtypes if k == "double"})
+
+
+@query()
+def pregame_fold(spark, sf):
+    """All states and ratings of every game; the ratings have no SQL that reads the whole table."""
+    out = pregame.pregame(_games(spark, sf), ["league"])
+    return out.withColumns({c: r6(F.col(c)) for c, k in out.dtypes if k == "double"})
