@@ -342,11 +342,31 @@ def test_media_is_rebuilt(docs, rows):
     assert Counter(map(tuple, moved)) == Counter(map(tuple, got))
 
 
+def test_media_digests_are_of_the_stored_bytes(spark):
+    rnd = random.Random(2)
+    part = "".join(rnd.choice("abcdefghij klmn") for _ in range(40_000))
+    df = spark.createDataFrame([(1, part), (2, "x" * 9000 + part), (3, part), (4, None), (5, part[:30_000] + "end"), (None, "short")], "doc_id long, text string")
+    lists, _, owner, shared, store = media_chunks.stored_chunks(df)
+    heads = {bytes(r.row): (bytes(r.head), bytes(r.z)) for r in store.where("row IS NOT NULL").collect()}
+    lent = {bytes(r.digest): bytes(r.z) for r in store.where("digest IS NOT NULL").collect()}
+    assert lent.keys() == {bytes(r.digest) for r in owner.collect()} and lent
+    away = {}
+    for r in sorted(shared.collect(), key=lambda r: r.place):
+        away.setdefault(bytes(r.row), []).append(lent[bytes(r.digest)])
+    got = {r.doc_id: r for r in media_chunks.chunked_media(df).collect()}
+    for r in lists.collect():
+        row = bytes(r.row)
+        media = b"".join((*heads[row], *away.get(row, ())))
+        assert (got[r.doc_id].media_bytes, got[r.doc_id].media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+    n, size, chunks = media_chunks.read_head(heads[bytes(lists.where("doc_id = 4").first().row)][0])
+    assert (n, size, len(chunks)) == (0, 576, 1)
+
+
 def test_equal_stretches_give_equal_chunks(spark):
     rnd = random.Random(5)
     long = "".join(chr(97 + rnd.randrange(26)) for _ in range(60_000))
     df = spark.createDataFrame([(1, long), (2, "start " + long), (3, long[:30_000] + "!" + long[30_000:])], "doc_id long, text string")
-    lists = [r.chunks for r in df.selectExpr("unhex(md5(text)) row", "text").mapInArrow(media_chunks._list_rows, "row binary, n_bytes long, chunks array<struct<place:int,size:int,digest:binary>>").collect()]
+    lists = [r.chunks for r in df.selectExpr("unhex(md5(text)) row", "text").mapInArrow(media_chunks._list_rows, "key binary, n_bytes long, chunks array<struct<place:int,size:int,digest:binary>>").collect()]
     all_ = [bytes(c.digest) for chunks in lists for c in chunks]
     assert len(set(all_)) < 0.6 * len(all_)
     assert len(media_chunks.chunked_media(df).collect()) == 3

@@ -28,16 +28,21 @@ def test_query_equals_sql(spark, name):
 
 def test_archives_round_trip(spark):
     long = "<p>" + "long é " * 40
-    pages = [(5, "http://a", long), (3, "http://b", long), (9, None, long), (4, "u v\r\nX: y", "short"), (6, "", "short"), (7, "http://n", None), (8, "http://e", ""), (None, "http://x", long), (10, "WARC/1.1", "WARC/1.1\r\n\r\n" * 20 + "page-id: 77")]
+    pages = [(5, "http://a", long), (3, "http://b", long), (9, None, long), (4, "u v\r\nX: y", "short"), (6, "", "short"), (7, "http://n", None), (8, "http://e", ""), (None, "http://x", long), (None, "http://y", long), (None, None, None), (10, "WARC/1.1", "WARC/1.1\r\n\r\n" * 20 + "page-id: 77")]
     df = spark.createDataFrame([(*p, "a", 1) for p in pages], "page_id long, url string, html string, digest string, first int")
-    got = {r.page_id: r for r in warc.capture_digests(df).collect()}
-    assert set(got) == {p[0] for p in pages} - {None}
+    rows = warc.capture_digests(df).collect()
+    got = {r.page_id: r for r in rows if r.page_id is not None}
+    assert Counter(r.page_id for r in rows) == Counter(p[0] for p in pages)
+    unnamed = Counter((r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows if r.page_id is None)
+    assert unnamed == Counter((len(b), hashlib.sha256(b).hexdigest(), "response", None) for b in (long.encode(), long.encode(), b""))
     for i, _, html in pages:
         if i is not None:
             b = (html or "").encode()
             assert (got[i].payload_bytes, got[i].payload_digest) == (len(b), hashlib.sha256(b).hexdigest())
     assert {i: r.refers_to for i, r in got.items() if r.record_type == "revisit"} == {5: 3, 9: 3}
-    nested = {r.page_id: r for r in warc.captures(df).collect()}
+    captured = warc.captures(df).collect()
+    assert Counter(r.url for r in captured if r.page_id is None) == Counter(["http://x", "http://y", None])
+    nested = {r.page_id: r for r in captured if r.page_id is not None}
     assert nested[9].url is None and nested[5].url == "http://a"
     assert all(r.request.id and r.metadata.page == i for i, r in nested.items())
     assert warc.capture_digests(df.limit(0)).count() == 0

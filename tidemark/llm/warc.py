@@ -25,8 +25,8 @@ LEAST_PAYLOAD = 100
 ARCHIVE_BYTES = 32 << 20
 
 
-def record_id(page: int, digest: str, kind: str) -> str:
-    """A name-based URN of a page and its payload, the same at every attempt."""
+def record_id(page: int | str, digest: str, kind: str) -> str:
+    """A name-based URN of a page and its payload, the same at every attempt; a page without an id goes by its address."""
     h = hashlib.sha256(f"{kind}:{page}:{digest}".encode()).hexdigest()
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-5{h[13:16]}-a{h[17:20]}-{h[20:32]}>"
 
@@ -36,22 +36,24 @@ def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def capture_records(page: int, url: str | None, html: bytes, digest: str, first: int) -> list[bytes]:
+def capture_records(page: int | None, url: str | None, html: bytes, digest: str, first: int | None) -> list[bytes]:
     """request, response or revisit, and metadata records of one page; `first` is the page whose payload it is."""
     uri = re.sub(r"[\x00-\x20\x7f]+", "%20", url or "urn:page:none")
-    own = record_id(page, digest, "response")
+    name = uri if page is None else page
+    own = record_id(name, digest, "response")
+    told = "" if page is None else f"page-id: {page}\r\n"
     common = [("WARC-Target-URI", uri), ("WARC-Date", DATE)]
     asked = b"GET / HTTP/1.1\r\n\r\n"
-    answer = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {page}\r\nContent-Length: {len(html)}\r\n\r\n".encode()
+    answer = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{told and 'X-' + told.title()}Content-Length: {len(html)}\r\n\r\n".encode()
     main = [*common, ("WARC-Record-ID", own), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     if first == page:
         body = record("response", main, answer + html)
     else:
         body = record("revisit", [*main, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(first, digest, "response")), ("WARC-Refers-To-Page", str(first))], answer)
     return [
-        record("request", [*common, ("WARC-Record-ID", record_id(page, digest, "request")), ("WARC-Concurrent-To", own), ("Content-Type", "application/http;msgtype=request")], asked),
+        record("request", [*common, ("WARC-Record-ID", record_id(name, digest, "request")), ("WARC-Concurrent-To", own), ("Content-Type", "application/http;msgtype=request")], asked),
         body,
-        record("metadata", [*common, ("WARC-Record-ID", record_id(page, digest, "metadata")), ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")], f"page-id: {page}\r\npayload-bytes: {len(html)}\r\nhas-url: {int(url is not None)}\r\n".encode()),
+        record("metadata", [*common, ("WARC-Record-ID", record_id(name, digest, "metadata")), ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")], f"{told}payload-bytes: {len(html)}\r\nhas-url: {int(url is not None)}\r\n".encode()),
     ]
 
 
@@ -167,8 +169,8 @@ def write_warc(pages: DataFrame) -> tuple[str, DataFrame]:
     rows = pages.select("page_id", "url", "html", F.sha2(F.encode(F.coalesce("html", F.lit("")), "utf-8"), 256).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
     first = rows.where(F.col("size") >= LEAST_PAYLOAD).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     shared = hot_join(rows, written(first, "payloads"), ["digest"], "n", "left")  # equal digests, equal sizes
-    shared = shared.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "digest", F.coalesce("first", "page_id").cast("long").alias("first"))
-    return folder, written(shared.where("page_id IS NOT NULL").mapInArrow(_write_archives(folder), "task long, path string"), "warc-manifest")
+    shared = shared.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "digest", F.when(F.col("page_id").isNotNull(), F.coalesce("first", "page_id")).cast("long").alias("first"))
+    return folder, written(shared.mapInArrow(_write_archives(folder), "task long, path string"), "warc-manifest")
 
 
 def read_captures(folder: str, manifest: DataFrame) -> DataFrame:
@@ -192,8 +194,8 @@ def read_captures(folder: str, manifest: DataFrame) -> DataFrame:
 def captures(pages: DataFrame) -> DataFrame:
     """Writes pages as WARC archives, reads them back and assembles captures.
 
-    pages: page_id (a whole number), url, html; other columns are ignored, whatever their names. Rows without a
-    page_id have no record identifier and are left out. Rows that repeat a page_id and payload give one record each with the
+    pages: page_id (a whole number), url, html; other columns are ignored, whatever their names. A row without a
+    page_id is always a response, with an identifier of its address and payload. Rows that repeat a page_id and payload give one record each with the
     same identifier, and one capture row each; with another payload they have an identifier of their own. An empty table gives an empty result.
     """
     return read_captures(*write_warc(pages))
@@ -204,7 +206,9 @@ def capture_digests(pages: DataFrame) -> DataFrame:
 
     A revisit's payload is that of the response it refers to; its length and digest are taken there.
     """
-    rows = captures(pages).select("page_id", "response")
-    kept = rows.where("response.kind = 'response'").groupBy(F.col("response.id").alias("rid")).agg(F.min(F.struct(F.col("response.payload_bytes").alias("n"), F.col("response.payload_sha256").alias("d"))).alias("p"))
-    joined = rows.join(kept, F.coalesce("response.refers", "response.id") == F.col("rid"))
+    rows = captures(pages).select("page_id", "response", F.coalesce("response.refers", "response.id").alias("rid"))
+    rows = written(rows, "capture-rows")
+    main = F.when(F.col("response.kind") == "response", F.struct(F.col("response.payload_bytes").alias("n"), F.col("response.payload_sha256").alias("d")))
+    kept = written(rows.groupBy("rid").agg(F.min(main).alias("p"), F.count("*").alias("uses")), "capture-payloads")
+    joined = hot_join(rows, kept, ["rid"], "uses", "inner")  # one payload may be a large share of all pages
     return joined.select("page_id", F.col("p.n").alias("payload_bytes"), F.col("p.d").alias("payload_digest"), F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("refers_to"))
