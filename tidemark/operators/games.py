@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import flag, number
+from tidemark.operators.stages import staged
 
 #: Margins within which a play is competitive, by the least seconds left; the last holds from 0 on.
 COMPETITIVE = ((1800, 24.0), (900, 20.0), (300, 16.0), (-1, 8.0))
@@ -121,6 +122,7 @@ def team_games(plays: DataFrame) -> DataFrame:
     own = _measured(plays).groupBy("game_id", F.col("posteam").alias("team_id"), F.col("defteam").alias("opponent_id")).agg(*[_metric(m).alias(k) for k, m in TEAM_METRICS.items()])
     drives = drive_metrics(plays) if "drive" in plays.columns else None
     both = own if drives is None else own.join(drives, key, "left").fillna(0, [c for c in drives.columns if c.endswith("drives")])
+    both = staged(both, "team-games")  # both sides read it: plays are aggregated once
     metrics = [c for c in both.columns if c not in key]
     kick = lambda c: c.startswith(SPECIAL)
     offense = both.select(*key, *[F.col(c).alias(c if kick(c) else f"offense_{c}") for c in metrics])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import cutoffs, entities, pregame
+from tidemark.operators import cutoffs, entities, live, pregame
 from tidemark.plans.registry import query, r6, read
 
 _CUTS = {"t10": 10.0, "open_50d": 50 * 1440.0, "open_30d": 30 * 1440.0, "open_12d": 12 * 1440.0}
@@ -112,3 +112,43 @@ def pregame_fold(spark, sf):
     """All states and ratings of every game; the ratings have no SQL that reads the whole table."""
     out = pregame.pregame(_games(spark, sf), ["league"])
     return out.withColumns({c: r6(F.col(c)) for c, k in out.dtypes if k == "double"})
+
+
+_LIVE_SQL = """
+WITH o AS (SELECT o_orderkey AS game_id, year(o_orderdate)::INT AS season, o_custkey % 30 AS home, (o_custkey % 30 + 1 + o_orderkey % 29) % 30 AS away, o_orderdate AS kickoff, o_orderkey % 50 = 0 AS open, o_orderkey % 31 = 0 AS bare, (o_orderkey % 21 - 10) / 2.0::DOUBLE AS home_spread, (o_orderkey % 30 + 70) / 2.0::DOUBLE AS total_line FROM orders),
+h AS (SELECT * FROM o WHERE kickoff + INTERVAL 4 HOUR <= TIMESTAMP '2001-07-01' AND NOT open AND NOT bare), t AS (SELECT * FROM o WHERE kickoff > TIMESTAMP '2001-07-01'),
+p AS (SELECT l_orderkey AS game_id, CASE WHEN (l_linenumber + l_partkey) % 2 = 0 THEN home ELSE away END AS own, CASE WHEN (l_linenumber + l_partkey) % 2 = 0 THEN away ELSE home END AS other, l_quantity >= 25 AS dropback, round(l_discount * 100) - 5 AS epa, (l_tax > 0.04)::INT AS success
+  FROM lineitem JOIN h ON h.game_id = l_orderkey WHERE l_partkey % 13 <> 0 AND l_shipdate <= TIMESTAMP '2001-07-01'),
+g AS (SELECT DISTINCT l_orderkey AS game_id, CASE WHEN (l_linenumber + l_partkey) % 2 = 0 THEN home ELSE away END AS team, CASE WHEN (l_linenumber + l_partkey) % 2 = 0 THEN away ELSE home END AS other FROM lineitem JOIN h ON h.game_id = l_orderkey WHERE l_shipdate <= TIMESTAMP '2001-07-01'),
+m AS (SELECT game_id, own AS team, avg(epa) AS e, avg(success) AS s, avg(epa) FILTER (dropback) AS d, avg(epa) FILTER (NOT dropback) AS r FROM p GROUP BY ALL),
+q AS (SELECT g.game_id, g.team, x.e, x.s, x.d, x.r, y.e AS a FROM g LEFT JOIN m x ON x.game_id = g.game_id AND x.team = g.team LEFT JOIN m y ON y.game_id = g.game_id AND y.team = g.other),
+b AS (SELECT q.*, season, kickoff FROM q JOIN h USING (game_id) UNION ALL SELECT game_id, unnest([home, away]), NULL, NULL, NULL, NULL, NULL, season, kickoff FROM t),
+f AS (SELECT game_id, team, avg(e) OVER l AS e4, avg(s) OVER l AS s4, avg(d) OVER l AS d4, avg(r) OVER l AS r4, avg(a) OVER l AS a4, avg(e) OVER y AS ey, avg(s) OVER y AS sy, avg(d) OVER y AS dy, avg(r) OVER y AS ry, avg(a) OVER y AS ay FROM b
+  WINDOW l AS (PARTITION BY team ORDER BY kickoff, game_id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), y AS (PARTITION BY team, season ORDER BY kickoff, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT game_id, team, (epoch_us(kickoff) - epoch_us(lag(kickoff) OVER (PARTITION BY team ORDER BY kickoff, game_id))) / 86400000000.0::DOUBLE AS rest FROM (SELECT game_id, unnest([home, away]) AS team, kickoff FROM h UNION ALL SELECT game_id, unnest([home, away]), kickoff FROM t))
+SELECT t.game_id, home_spread, total_line, round(x.e4 - z.a4, 6) AS epa_matchup_home_last4_mean, round(z.e4 - x.a4, 6) AS epa_matchup_away_last4_mean, round(x.e4 - z.a4 - (z.e4 - x.a4), 6) AS epa_net_edge_last4_mean, round(x.s4 - z.s4, 6) AS success_rate_net_last4_mean, round(x.d4 - z.d4, 6) AS dropback_epa_net_last4_mean, round(x.r4 - z.r4, 6) AS rush_epa_net_last4_mean,
+  round(x.ey - z.ay, 6) AS epa_matchup_home_season_mean, round(z.ey - x.ay, 6) AS epa_matchup_away_season_mean, round(x.ey - z.ay - (z.ey - x.ay), 6) AS epa_net_edge_season_mean, round(x.sy - z.sy, 6) AS success_rate_net_season_mean, round(x.dy - z.dy, 6) AS dropback_epa_net_season_mean, round(x.ry - z.ry, 6) AS rush_epa_net_season_mean,
+  round(u.rest, 6) AS home_rest_days, round(v.rest, 6) AS away_rest_days, round(u.rest - v.rest, 6) AS rest_diff, (coalesce(u.rest < 6, false))::INT::DOUBLE AS home_short_week, (coalesce(v.rest < 6, false))::INT::DOUBLE AS away_short_week
+FROM t JOIN f x ON x.game_id = t.game_id AND x.team = home JOIN f z ON z.game_id = t.game_id AND z.team = away JOIN s u ON u.game_id = t.game_id AND u.team = home JOIN s v ON v.game_id = t.game_id AND v.team = away"""
+for _c in ("epa_matchup_home", "epa_matchup_away", "epa_net_edge", "success_rate_net", "dropback_epa_net", "rush_epa_net"):
+    for _w in live.WINDOWS:  # SQL's rounding keeps the sign of a zero
+        _LIVE_SQL = _LIVE_SQL.replace(f" AS {_c}_{_w}_mean", f" + 0.0::DOUBLE AS {_c}_{_w}_mean")
+
+
+@query(_LIVE_SQL)
+def live_slate(spark, sf):
+    """Orders after the first of July 2001 as games to come, those before as history, lines as plays."""
+    k = F.col("o_orderkey")
+    home = F.col("o_custkey") % 30
+    o = read(spark, sf, "orders").select(
+        k.alias("game_id"), F.year("o_orderdate").alias("season"), home.alias("home_team_id"), ((home + 1 + k % 29) % 30).alias("away_team_id"), F.col("o_orderdate").alias("scheduled_kickoff_utc"), F.when(k % 50 == 0, "in_progress").otherwise("Final ").alias("game_status"),
+        F.when(k % 31 > 0, F.expr("o_orderdate + INTERVAL 4 HOUR")).alias("completion_timestamp_utc"), ((k % 21 - 10) / 2).alias("home_spread"), ((k % 30 + 70) / 2).alias("total_line"),
+    )
+    even = (F.col("l_linenumber") + F.col("l_partkey")) % 2 == 0
+    plays = read(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("game_id")).select(
+        "game_id", F.when(even, F.col("home_team_id")).otherwise(F.col("away_team_id")).alias("posteam"), F.when(even, F.col("away_team_id")).otherwise(F.col("home_team_id")).alias("defteam"), (F.col("l_partkey") % 13 == 0).cast("int").alias("no_play"),
+        (F.col("l_quantity") >= 25).cast("int").alias("qb_dropback"), (F.col("l_quantity") < 25).cast("int").alias("rush_attempt"), (F.round(F.col("l_discount") * 100) - 5).alias("epa"), (F.col("l_tax") > 0.04).cast("int").alias("success"), F.col("l_shipdate").alias("start_time"),
+    )
+    moment = "2001-07-01T00:00:00"
+    out, _ = live.live_features(o, o.where(f"scheduled_kickoff_utc > timestamp_ntz '{moment}'"), plays, moment)
+    return out.withColumns({c: r6(F.col(c)) for c in live.features() if not c.endswith(("spread", "line", "week"))})
