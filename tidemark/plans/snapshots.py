@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import cutoffs, entities, live, pregame
+from tidemark.operators import cutoffs, entities, live, pregame, threeway
 from tidemark.plans.registry import query, r6, read
 
 _CUTS = {"t10": 10.0, "open_50d": 50 * 1440.0, "open_30d": 30 * 1440.0, "open_12d": 12 * 1440.0}
@@ -152,3 +152,37 @@ def live_slate(spark, sf):
     moment = "2001-07-01T00:00:00"
     out, _ = live.live_features(o, o.where(f"scheduled_kickoff_utc > timestamp_ntz '{moment}'"), plays, moment)
     return out.withColumns({c: r6(F.col(c)) for c in live.features() if not c.endswith(("spread", "line", "week"))})
+
+
+def _three_way_sql(steps: int = 9) -> str:
+    """The curves' Newton steps written out, one CTE each."""
+    newton = "w0 AS (SELECT variant, season, n, up, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM n WHERE n >= 100 AND up > 0 AND up < n)"
+    for i in range(1, steps + 1):
+        newton += f""",
+s{i} AS (SELECT w.variant, w.season, any_value(a) AS a, any_value(b) AS b, sum(y - q) AS ga, sum((y - q) * x) - 5 * any_value(b) AS gb, sum(q * (1 - q)) AS haa, sum(q * (1 - q) * x) AS hab, sum(q * (1 - q) * x * x) + 5 AS hbb
+  FROM (SELECT w.*, x, y, 1 / (1 + exp(-(a + b * x))) AS q FROM w{i - 1} w JOIN t ON t.variant = w.variant AND t.season < w.season) w GROUP BY 1, 2),
+w{i} AS (SELECT variant, season, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM s{i})"""
+    return f"""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus AS variant, year(l_shipdate)::INT AS season, CASE l_returnflag WHEN 'A' THEN 'spread' ELSE 'total' END AS market, (l_quantity - 25) / 2 AS line, (0.5 + l_quantity) / 51 AS p, l_tax AS q, (l_partkey % 23 = 0)::INT AS push, (l_discount * 300 + l_quantity > 45)::INT AS y FROM lineitem),
+b AS (SELECT *, CASE WHEN abs(line - round(line)) > 1e-9 THEN 'NO_PUSH' ELSE 'INT_' || round(CASE WHEN market = 'spread' THEN abs(line) ELSE line END)::BIGINT END AS bucket FROM r),
+t AS (SELECT variant, season, ln(p) - ln(1 - p) AS x, y FROM r WHERE push = 0), d AS (SELECT DISTINCT variant, season FROM r),
+n AS (SELECT d.variant, d.season, count(x) AS n, sum(y) AS up FROM d LEFT JOIN t ON t.variant = d.variant AND t.season < d.season GROUP BY 1, 2),
+{newton},
+g AS (SELECT d.variant, d.season, count(push) AS n, sum(push) AS k, avg(q) AS m FROM d LEFT JOIN b ON b.variant = d.variant AND b.season < d.season GROUP BY 1, 2),
+e AS (SELECT d.variant, d.season, d.bucket, count(b.push) AS n, sum(b.push) AS k, avg(b.q) AS m FROM (SELECT DISTINCT variant, season, bucket FROM b) d LEFT JOIN b ON b.variant = d.variant AND b.bucket = d.bucket AND b.season < d.season GROUP BY 1, 2, 3),
+c AS (SELECT b.*, g.n AS rows, CASE WHEN g.n = 0 THEN q ELSE least(q * CASE WHEN b.bucket = 'NO_PUSH' THEN 0 WHEN e.n > 0 THEN (e.k + 40 * (g.k + 0.5) / (g.n + 1)) / (e.n + 40) / greatest(e.m, 1e-6) ELSE (g.k + 0.5) / (g.n + 1) / greatest(g.m, 1e-6) END, 0.25) END AS pq,
+  CASE WHEN g.n = 0 OR w.a IS NULL THEN p ELSE greatest(least(1 / (1 + exp(-(w.a + w.b * (ln(p) - ln(1 - p))))), 1 - 1e-6), 1e-6) END AS pu FROM b JOIN g USING (variant, season) JOIN e USING (variant, season, bucket) LEFT JOIN w{steps} w USING (variant, season))
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN rows = 0 THEN 'identity_no_prior_oof' ELSE 'expanding_prior_seasons_only' END AS calibration_method, round((1 - pq) * (1 - pu), 6) AS calibrated_lower, round(pq, 6) AS calibrated_push, round((1 - pq) * pu, 6) AS calibrated_upper FROM c"""
+
+
+@query(_three_way_sql())
+def three_way_calibration(spark, sf):
+    """Lines as forecasts of two variants, every year calibrated by the years before it."""
+    k = F.col("l_partkey") % 23 == 0
+    r = read(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_linestatus").alias("variant"), F.year("l_shipdate").alias("season"), F.when(F.col("l_returnflag") == "A", "spread").otherwise("total").alias("market"), ((F.col("l_quantity") - 25) / 2).alias("line"),
+        ((0.5 + F.col("l_quantity")) / 51).alias("p"), F.col("l_tax").alias("q"), k.cast("int").alias("push"), (F.col("l_discount") * 300 + F.col("l_quantity") > 45).cast("int").alias("y"),
+    )
+    r = r.withColumn("scored", F.col("push") == 0)
+    out = threeway.three_way(r, ["variant"], market="market", season="season", line="line", conditional="p", raw_push="q", scored="scored", target="y", push="push")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "calibration_method", *[r6(F.col(f"calibrated_{c}")).alias(f"calibrated_{c}") for c in ("lower", "push", "upper")])
