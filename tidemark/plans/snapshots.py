@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import cutoffs, entities, live, pregame, threeway
+from tidemark.operators.stages import shared_folder
 from tidemark.plans.registry import query, r6, read
+from tidemark.streaming import stateful
 
 _CUTS = {"t10": 10.0, "open_50d": 50 * 1440.0, "open_30d": 30 * 1440.0, "open_12d": 12 * 1440.0}
 
@@ -186,3 +190,19 @@ def three_way_calibration(spark, sf):
     r = r.withColumn("scored", F.col("push") == 0)
     out = threeway.three_way(r, ["variant"], market="market", season="season", line="line", conditional="p", raw_push="q", scored="scored", target="y", push="push")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "calibration_method", *[r6(F.col(f"calibrated_{c}")).alias(f"calibrated_{c}") for c in ("lower", "push", "upper")])
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, event_type, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, (event_id % 97) / 97.0::DOUBLE - (event_id % 7 < 2)::INT AS r FROM events),
+f AS (SELECT event_type, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS ts, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down FROM e WHERE i = 1
+ UNION ALL SELECT event_type, i, event_id, ts, CASE WHEN u > 3 OR d > 3 THEN 0 ELSE u END, CASE WHEN u > 3 OR d > 3 THEN 0 ELSE d END, u, d
+ FROM (SELECT e.event_type, e.i, e.event_id, e.ts, greatest(0, f.a + e.r - 0.02) AS u, greatest(0, f.b - e.r - 0.02) AS d FROM f JOIN e ON e.event_type = f.event_type AND e.i = f.i + 1))
+SELECT event_id, event_type, i AS seen, round(up, 6) AS up, round(down, 6) AS down, up > 3 OR down > 3 AS alarm FROM f WHERE i > 0 AND ts < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_drift(spark, sf):
+    """The events file as a stream into the drift monitor: the rows that its watermark has passed."""
+    schema = read(spark, sf, "events").schema
+    e = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").withColumn("r", (F.col("event_id") % 97) / 97.0 - (F.col("event_id") % 7 < 2).cast("int"))
+    root = f"{shared_folder(spark)}/drift-{uuid.uuid4().hex}"
+    stateful.drain_into(stateful.drift_monitor(e, "event_type", "ts", "event_id", "r", "1 hour", 0.02, 3.0), f"{root}/rows", f"{root}/state")
+    out = spark.read.schema("k string, id long, up double, down double, alarm boolean, seen long").parquet(f"{root}/rows")
+    return out.select(F.col("id").alias("event_id"), F.col("k").alias("event_type"), "seen", r6(F.col("up")).alias("up"), r6(F.col("down")).alias("down"), "alarm")

@@ -56,20 +56,26 @@ class DriftProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows))
-        for at in sorted(set(new["at"].tolist())):
-            self.handle.registerTimer(int(at) // 1000 + 1)
         self.held.appendList([(int(a), int(i), float(r)) for a, i, r in zip(new["at"], new["id"], new["r"])])
+        self._wake(int(new["at"].min()))
         yield from ()
 
+    def _wake(self, at: int) -> None:
+        """A timer for the key's earliest row that waits; there is one at most."""
+        due, timers = at // 1000 + 1, [int(t) for t in self.handle.listTimers()]
+        if not timers or due < min(timers):
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(due)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        until = timerValues.getCurrentWatermarkInMs() * 1000
         held = sorted(tuple(x) for x in self.held.get())
         ready = [x for x in held if x[0] < until]
-        if not ready:
-            return
         self.held.clear()
         if len(held) > len(ready):
             self.held.put(held[len(ready) :])
+            self.handle.registerTimer(held[len(ready)][0] // 1000 + 1)
         up, down, seen = self.sums.get() if self.sums.exists() else (0.0, 0.0, 0)
         out = []
         for _, i, r in ready:
