@@ -78,20 +78,6 @@ def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_media_chunks, op2_tool_calls, op3_best_fit_packing, op4_suffix_dedup, op5_token_blocks, op6_warc, op7_decontamination, op8_ngram_join, op9_license_scan, op10_toxicity, op11_whitening, op12_importance, op13_source_mix)}
 
 
-def _license_sql() -> str:
-    lookup = "CASE s " + " ".join(f"WHEN '{v}' THEN '{k}'" for k, v in licenses.SENTENCES.items()) + " END"
-    shown = ", ".join("CASE WHEN " + " OR ".join(f"contains(line, ',{','.join(w)},')" for w in ways) + f" THEN '{name}' END" for name, ways in sorted(licenses.RULES.items()))
-    return f"""
-WITH cut AS (
-  SELECT doc_id, [trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g')) FOR p IN regexp_split_to_array(coalesce(text, ''), '[.!?]\\s+|\\n+')] AS parts FROM documents
-), known AS (
-  SELECT doc_id, list_filter([{lookup} FOR s IN parts], lambda x: x IS NOT NULL) AS ids FROM cut
-), lines AS (SELECT doc_id, ids, ',' || array_to_string(ids, ',') || ',' AS line FROM known)
-SELECT doc_id, len(ids)::BIGINT AS n_known, array_to_string(ids, ',') AS sentence_ids,
-       array_to_string(list_filter([{shown}], lambda x: x IS NOT NULL), ',') AS licences
-FROM lines"""
-
-
 ORACLE_SQL = {
     "op2_tool_calls": """
 WITH RECURSIVE t AS (SELECT *, len(string_split(text, ' ')) AS words, string_split(text, ' ')[1] AS word FROM conversations),
@@ -118,7 +104,7 @@ SELECT page_id, n::BIGINT AS payload_bytes, d.h AS payload_digest,
        CASE WHEN n >= 100 AND f.first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 100 AND f.first <> page_id THEN f.first END AS refers_to
 FROM d LEFT JOIN f ON d.h = f.h""",
-    "op9_license_scan": _license_sql(),
+    "op9_license_scan": licenses.scan_sql(),
     "op12_importance": r"""
 WITH RECURSIVE bits AS (SELECT i, i AS c, 0 AS step FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM bits WHERE step < 8),
 tab AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE step = 8),
