@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import cutoffs, entities, live, pregame, threeway
+from tidemark.operators import cutoffs, entities, gates, live, pregame, roster, threeway
 from tidemark.operators.stages import shared_folder
 from tidemark.plans.registry import query, r6, read
+from tidemark.sources import discovery
 from tidemark.streaming import stateful
 
 _CUTS = {"t10": 10.0, "open_50d": 50 * 1440.0, "open_30d": 30 * 1440.0, "open_12d": 12 * 1440.0}
@@ -206,3 +207,22 @@ def stream_drift(spark, sf):
     stateful.drain_into(stateful.drift_monitor(e, "event_type", "ts", "event_id", "r", "1 hour", 0.02, 3.0), f"{root}/rows", f"{root}/state")
     out = spark.read.schema("k string, id long, up double, down double, alarm boolean, seen long").parquet(f"{root}/rows")
     return out.select(F.col("id").alias("event_id"), F.col("k").alias("event_type"), "seen", r6(F.col("up")).alias("up"), r6(F.col("down")).alias("down"), "alarm")
+
+
+@query()
+def roster_ridge(spark, sf):
+    """Suppliers' mean tax from what of their lines returns, by a ridge that chooses its penalty."""
+    l = read(spark, sf, "lineitem").withColumn("l_linenumber", F.col("l_linenumber").cast("double"))  # noqa: E741
+    shares = gates.continuity(l.where("l_returnflag <> 'N'"), l.where("l_returnflag = 'N'"), "l_suppkey", "l_partkey", "l_linestatus", ["l_quantity", "l_linenumber"], ["F", "O"])
+    rows = shares.join(l.groupBy("l_suppkey").agg(F.avg("l_tax").alias("y")), "l_suppkey")
+    model = roster.fit_ridge(rows, [c for c in shares.columns if c != "l_suppkey"], "y", ["l_suppkey"], least_sd=0.001)
+    return roster.adjusted(rows, model).select("l_suppkey", r6(F.col("adjustment_mean")).alias("adjustment_mean"), r6(F.col("adjustment_sd")).alias("adjustment_sd"), F.lit(model.penalty).alias("penalty"))
+
+
+@query("""
+SELECT l_orderkey::VARCHAR AS game, l_suppkey::VARCHAR AS player, sum(l_quantity)::DOUBLE AS attempts, sum(l_linenumber)::DOUBLE AS yards, 0.0::DOUBLE AS sacks FROM lineitem GROUP BY ALL""")
+def discovered_totals(spark, sf):
+    """The table that has the columns, found by its footer among all there are, and its sums."""
+    path = discovery.discover(spark, sf, [["game_id", "l_orderkey"], ["player_id", "l_suppkey"], ["attempts", "l_quantity"]], "lineitem")
+    found = spark.read.parquet(path if path.endswith("lineitem.parquet") else path.rsplit("/", 1)[0])  # a table may be a folder of files
+    return discovery.totals(found, {"game": ["game_id", "l_orderkey"], "player": ["player_id", "l_suppkey"]}, {"attempts": ["attempts", "l_quantity"], "yards": ["yards", "l_linenumber"], "sacks": ["sacks"]}, ["sacks"])
