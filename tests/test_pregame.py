@@ -103,3 +103,21 @@ def test_state_goes_on_without_history(spark):
     assert sum(got[k] for k in got if k[0] == "x") == pytest.approx(2 / 3 * 3000 + 2 / 3 * 1505 + 1500)
     empty, _ = pregame.season_ratings(df.limit(0), ["league"])
     assert empty.count() == 0
+
+
+def test_elo_before_games_reads_all_events(spark):
+    """The registered query against a plain loop over the whole table."""
+    from tidemark.plans.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    events = sorted((r.event_type, r.ts, r.event_id, r.user_id) for r in spark.read.parquet(f"{sf}/events.parquet").collect())
+    pairs = [(a[0], a[2], a[3], b[3]) for a, b in zip(events, events[1:]) if a[0] == b[0] and a[3] != b[3]]
+    rating, want = {}, {}
+    for kind, event, a, b in sorted(pairs, key=lambda x: (x[0], x[1], x[2], x[3])):
+        ra, rb = rating.get((kind, a), 1500.0), rating.get((kind, b), 1500.0)
+        want[event] = (ra, rb)
+        gain = 20 * (1 - 1 / (1 + 10 ** ((rb - ra) / 400)))
+        rating[kind, a], rating[kind, b] = ra + gain, rb - gain
+    got = {r.event_id: (r.winner_before, r.loser_before) for r in QUERIES["elo_before_games"](spark, sf).collect()}
+    assert len(want) > 900 and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)

@@ -69,7 +69,7 @@ def shrunk_grid(df: DataFrame, bucket: str, margin: str, sd: float, low: int, hi
     """Per bucket and whole margin: the share of rows, shrunk n / (n + strength) towards a centred normal curve."""
     h = df.where(F.col(margin).between(low, high)).groupBy(bucket, margin).agg(F.count("*").alias("_k"))
     n = h.groupBy(bucket).agg(F.sum("_k").alias("n"))
-    g = margin_grid(n.withColumn("_zero", F.lit(0.0)), [bucket, "n"], "_zero", sd, low, high).withColumnRenamed("p", "_curve")
+    g = folded_grid(n.withColumn("_zero", F.lit(0.0)), [bucket, "n"], "_zero", sd, low, high).withColumnRenamed("p", "_curve")
     j = g.join(h.withColumnRenamed(margin, "margin"), [bucket, "margin"], "left")
     return j.select(bucket, "margin", ((F.coalesce("_k", F.lit(0)) + strength * F.col("_curve")) / (F.col("n") + strength)).alias("p"))
 

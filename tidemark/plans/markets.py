@@ -67,19 +67,18 @@ def alternate_ladder(spark, sf):
     return rounded(pricing.ladder(t, ["p_partkey"], "m", "line", 12.75), "win", "push", "loss").withColumn("offered", F.round("offered", 4))
 
 
-_GRID = f"""(SELECT p_partkey, margin, {S.normal_cdf_sql('((margin + 0.5::DOUBLE - m) / 12.75::DOUBLE)')} - {S.normal_cdf_sql('((margin - 0.5::DOUBLE - m) / 12.75::DOUBLE)')} AS p
+_GRID = f"""(SELECT p_partkey, margin, CASE WHEN margin = 75 THEN 1 ELSE {S.normal_cdf_sql('((margin + 0.5::DOUBLE - m) / 12.75::DOUBLE)')} END - CASE WHEN margin = -75 THEN 0 ELSE {S.normal_cdf_sql('((margin - 0.5::DOUBLE - m) / 12.75::DOUBLE)')} END AS p
 FROM (SELECT p_partkey, p_size - 25.0::DOUBLE AS m, unnest(generate_series(-75, 75))::INT AS margin FROM part))"""
 
 
 @query(f"""
 SELECT p_partkey, round(sum(p) FILTER (WHERE margin > 3) / sum(p), 6) AS cover, round(sum(p) FILTER (WHERE margin = 3) / sum(p), 6) AS push, round(sum(p) FILTER (WHERE margin < 3) / sum(p), 6) AS fail FROM {_GRID} GROUP BY 1""")
 def cover_probabilities(spark, sf):
-    g = pricing.margin_grid(read(spark, sf, "part").withColumn("m", F.col("p_size") - F.lit(25.0)), ["p_partkey"], "m", 12.75, -75, 75)
+    g = pricing.folded_grid(read(spark, sf, "part").withColumn("m", F.col("p_size") - F.lit(25.0)), ["p_partkey"], "m", 12.75, -75, 75)
     return rounded(pricing.covers(g, ["p_partkey"], "margin", "p", F.lit(-3)), "cover", "push", "fail")
 
 
-_CURVE = f"""({S.normal_cdf_sql('((margin + 0.5::DOUBLE) / 14.0::DOUBLE)')} - {S.normal_cdf_sql('((margin - 0.5::DOUBLE) / 14.0::DOUBLE)')})
- / ({S.normal_cdf_sql('(25.5::DOUBLE / 14.0::DOUBLE)')} - {S.normal_cdf_sql('((-25.5::DOUBLE) / 14.0::DOUBLE)')})"""
+_CURVE = f"""(CASE WHEN margin = 25 THEN 1 ELSE {S.normal_cdf_sql('((margin + 0.5::DOUBLE) / 14.0::DOUBLE)')} END - CASE WHEN margin = -25 THEN 0 ELSE {S.normal_cdf_sql('((margin - 0.5::DOUBLE) / 14.0::DOUBLE)')} END)"""
 
 
 @query(f"""

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import cutoffs, entities, gates, live, pregame, roster, threeway
+from tidemark.operators import cutoffs, entities, gates, ledger, live, pregame, roster, threeway
 from tidemark.operators.stages import shared_folder
 from tidemark.plans.registry import query, r6, read
 from tidemark.sources import discovery
@@ -226,3 +226,30 @@ def discovered_totals(spark, sf):
     path = discovery.discover(spark, sf, [["game_id", "l_orderkey"], ["player_id", "l_suppkey"], ["attempts", "l_quantity"]], "lineitem")
     found = spark.read.parquet(path if path.endswith("lineitem.parquet") else path.rsplit("/", 1)[0])  # a table may be a folder of files
     return discovery.totals(found, {"game": ["game_id", "l_orderkey"], "player": ["player_id", "l_suppkey"]}, {"attempts": ["attempts", "l_quantity"], "yards": ["yards", "l_linenumber"], "sacks": ["sacks"]}, ["sacks"])
+
+
+_LEDGER_SQL = """
+WITH r AS (SELECT year(l_shipdate)::INT AS season, month(l_shipdate)::INT AS week, (0.5 + l_quantity) / 51 AS p1, CASE WHEN l_partkey % 11 > 0 THEN (0.5 + l_quantity + l_linenumber) / 60 END AS q1, (l_suppkey % 50 < l_quantity)::INT AS y1, l_partkey % 17 = 0 AS x1, 0.05 + l_discount * 9 AS p2, 0.06 + l_tax * 11 AS q2, (l_orderkey % 3 = 0)::INT AS y2 FROM lineitem),
+o AS (SELECT *, unnest(list_filter([CASE WHEN season = 2001 AND week = 1 THEN 'locked' END, CASE WHEN season < 2001 AND week = 1 THEN 'first' END, CASE WHEN season < 2001 AND week <= 2 THEN 'early' END, CASE WHEN season < 2001 AND week >= 3 THEN 'late' END], lambda x: x IS NOT NULL)) AS population FROM r),
+m AS (SELECT population, 'spread' AS market, season, p1 AS p, q1 AS q, CASE WHEN NOT x1 THEN y1 END AS y, x1 AS excluded FROM o UNION ALL SELECT population, 'total', season, p2, q2, y2, false FROM o),
+l AS (SELECT *, y IS NOT NULL AND q IS NOT NULL AS g, -ln(CASE WHEN y = 1 THEN p ELSE 1 - p END) AS lp, -ln(CASE WHEN y = 1 THEN q ELSE 1 - q END) AS lq FROM m),
+b AS (SELECT population, market, least(floor(p * 10), 9) AS b, count(*) AS n, abs(avg(p) - avg(y)) AS gap FROM l WHERE g GROUP BY ALL), c AS (SELECT population, market, least(floor(q * 10), 9) AS b, count(*) AS n, abs(avg(q) - avg(y)) AS gap FROM l WHERE g GROUP BY ALL)
+SELECT population, market, count(*) AS rows, count(*) FILTER (excluded) AS excluded, count(*) FILTER (q IS NULL) AS unmatched, count(*) FILTER (g) AS graded, round(avg(lp) FILTER (g), 6) AS model_log_loss, round(avg(lq) FILTER (g), 6) AS market_log_loss, round(avg((p - y) ** 2) FILTER (g), 6) AS model_brier, round(avg((q - y) ** 2) FILTER (g), 6) AS market_brier,
+  round(avg(lq - lp) FILTER (g), 6) AS gain, round(stddev_samp(lq - lp) FILTER (g) / sqrt(count(*) FILTER (g)), 6) AS gain_se, round(avg((lq > lp)::INT) FILTER (g), 6) AS better, round(avg(y) FILTER (g), 6) AS base_rate,
+  (SELECT round(sum(n * gap) / sum(n), 6) FROM b WHERE b.population = l.population AND b.market = l.market) AS model_ece, (SELECT round(sum(n * gap) / sum(n), 6) FROM c WHERE c.population = l.population AND c.market = l.market) AS market_ece
+FROM l GROUP BY population, market"""
+
+
+@query(_LEDGER_SQL)
+def reliability_ledger(spark, sf):
+    """Lines as out-of-fold forecasts of two markets in four overlapping populations."""
+    f = F.col
+    r = read(spark, sf, "lineitem").select(
+        F.year("l_shipdate").alias("season"), F.month("l_shipdate").alias("week"), ((0.5 + f("l_quantity")) / 51).alias("p1"), F.when(f("l_partkey") % 11 > 0, (0.5 + f("l_quantity") + f("l_linenumber")) / 60).alias("q1"), (f("l_suppkey") % 50 < f("l_quantity")).cast("int").alias("y1"),
+        (f("l_partkey") % 17 == 0).alias("x1"), (0.05 + f("l_discount") * 9).alias("p2"), (0.06 + f("l_tax") * 11).alias("q2"), (f("l_orderkey") % 3 == 0).cast("int").alias("y2"),
+    )
+    old = f("season") < 2001
+    where = {"locked": (f("season") == 2001) & (f("week") == 1), "first": old & (f("week") == 1), "early": old & (f("week") <= 2), "late": old & (f("week") >= 3)}
+    rows = ledger.ledger(r, where, {"spread": ("p1", "q1", f("y1"), f("x1")), "total": ("p2", "q2", f("y2"), F.lit(False))}, ["season", "week"])
+    out = ledger.paired_scores(rows)
+    return out.withColumns({c: r6(f(c)) for c, k in out.dtypes if k == "double"})
