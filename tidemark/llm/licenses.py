@@ -144,7 +144,7 @@ HARD, SOFT = "\x01", "\x02"
 MARKS = (
     # what opens a line of a comment or of a list: marks, the words rem and dnl, and numbers or letters in brackets
     (r"\n[ \t#*/;%|<>!-]*(?:(?:rem|dnl)[ \t]+)?(?:\(?[0-9a-z]{1,2}\)[ \t]+)?", "\n"),
-    (r"\bv[.!?]\s+", "v" + SOFT), (r"[.!?]\s+", HARD), (r"\n", SOFT), (f"[^a-z0-9{HARD}{SOFT}]+", " "),
+    (r"\bv[.!?]\s+", "v" + SOFT), (r"[.!?]\s+", HARD), (r"\n", SOFT), (f" *[^a-z0-9{HARD}{SOFT} ][^a-z0-9{HARD}{SOFT}]*|  +", " "),  # single spaces stand
     (f" ?{SOFT} ?{SOFT}[ {SOFT}]*", HARD),  # a line without words
     (f" ?{HARD}[ {HARD}{SOFT}]*", HARD), (f" ?{SOFT} ?", SOFT),
 )
@@ -176,6 +176,27 @@ def _every(known: dict[str, str], soft: str) -> str:
     return "|".join(_pattern(v, soft) for v in sorted(known, key=lambda v: (-len(v), v)))
 
 
+def _tree(sentences: list[list[str]], soft: str) -> str:
+    """A pattern for sentences (lists of words) that share their first words, so that a text is tried once for those.
+
+    At every fork the ways on come before the end, so the longest sentence is met first.
+    """
+    ends, ways = [] in sentences, {}
+    for s in sentences:
+        if s:
+            ways.setdefault(s[0], []).append(s[1:])
+    parts = []
+    for word, rest in ways.items():
+        run = [word]
+        while [] not in rest and len({r[0] for r in rest}) == 1:
+            run.append(rest[0][0])
+            rest = [r[1:] for r in rest]
+        on = _tree([r for r in rest if r], soft)
+        tail = f"(?:{soft}{on})" + ("?" if [] in rest else "") if on else ""
+        parts.append(soft.join(run) + tail)
+    return ("(?:" + "|".join(parts) + ")" + ("?" if ends else "")) if parts else ""
+
+
 def _ways(rules: dict, wording_rules: dict) -> dict[str, list[list[str]]]:
     return {k: rules.get(k, []) + wording_rules.get(k, []) for k in sorted({*rules, *wording_rules})}
 
@@ -192,7 +213,8 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: dict[str
     known = _known(sentences, wordings)
     plain = F.create_map(*[F.lit(x) for v, k in known.items() if "*" not in v for x in (v, k)])
     gapped = [(f"^(?:{_pattern(v)})$", k) for v, k in known.items() if "*" in v]
-    every = _every(known, f"[ {SOFT}]")
+    soft = f"[ {SOFT}]"
+    every = "|".join([_tree([v.split(" ") for v in sorted(known) if "*" not in v], soft), *[_pattern(v, soft) for v in sorted(known, key=len, reverse=True) if "*" in v]])
     found = F.regexp_extract_all(marked(F.coalesce("text", F.lit(""))), F.lit(f"(?<=[{HARD}{SOFT}])(?:{every})(?=[{HARD}{SOFT}])"), F.lit(0))
 
     def name(s: Column) -> Column:
