@@ -32,6 +32,17 @@ def test_query_equals_sql(spark, con, name):
     assert got == Counter(tuple(map(plain, r)) for r in rel.fetchall())
 
 
+def test_ages_count_seconds_of_the_clock(spark, tmp_path):
+    times = ["2024-01-09 23:59:59", "2024-01-09 23:59:59.000001", "2024-01-09 23:59:59.6", "2024-01-10 00:00:00", "2024-01-10 00:00:00.5", "2024-01-19 23:59:59.7", "2024-01-20 00:00:00.4", "2024-01-20 00:00:01.4"]
+    rows = " UNION ALL ".join(f"SELECT {i}::BIGINT AS event_id, TIMESTAMP '{t}' AS ts, 10.0::DOUBLE AS value" for i, t in enumerate(times)) + " UNION ALL SELECT 8, NULL, NULL"
+    c = duckdb.connect()
+    c.execute(f"COPY ({rows}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = {tuple(r) for r in QUERIES["freshness_reasons"](spark, str(tmp_path)).collect()}
+    assert got == set(c.sql(ORACLE_SQL["freshness_reasons"]).fetchall())
+    assert {r[0] for r in got if r[1] == "STALE"} == {0, 1, 2}
+
+
 def test_flagship_is_there():
     assert FLAGSHIP in QUERIES and set(ORACLE_SQL) <= set(QUERIES)
 

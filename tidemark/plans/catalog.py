@@ -199,7 +199,8 @@ WITH a AS (SELECT event_id, value, date_diff('second', ts, TIMESTAMP '2024-01-20
 SELECT event_id, reasons, (reasons = '')::INT AS eligible FROM (SELECT event_id, array_to_string(list_sort(list_filter([
   CASE WHEN age > 864000 THEN 'STALE' END, CASE WHEN age < 0 THEN 'FUTURE' END, CASE WHEN value IS NULL THEN 'MISSING' END, CASE WHEN value < 5 THEN 'TOO_LOW' END, CASE WHEN value > 200 THEN 'TOO_HIGH' END], lambda x: x IS NOT NULL)), '|') AS reasons FROM a)""")
 def freshness_reasons(spark, sf):
-    e = read(spark, sf, "events").withColumn("age", F.expr("timestampdiff(SECOND, ts, TIMESTAMP_NTZ '2024-01-20 00:00:00')"))
+    seconds = lambda t: F.unix_seconds(t.cast("timestamp"))  # noqa: E731  whole seconds of the clock: date_diff counts those passed, not 1000 ms each
+    e = read(spark, sf, "events").withColumn("age", seconds(F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")) - seconds(F.col("ts")))
     return consensus.freshness(e, "age", "value", 864_000, 5, 200).select("event_id", "reasons", "eligible")
 
 
