@@ -105,6 +105,20 @@ def test_folds_on_small_tables(spark):
     assert [(r.s, r.mean_without) for r in one] == [(1, 4.0), (3, 2.0)]
 
 
+def test_bootstrap_draws_are_compared_in_compiled_code(spark):
+    """Poisson counts around every step, and a plan that neither parses numbers nor loops over arrays per draw."""
+    import io
+    from contextlib import redirect_stdout
+
+    at = [(f"{s + d:08x}", k + (d >= 0)) for k, s in enumerate(resampling.STEPS) for d in (-1, 0, 1)] + [("00000000", 0), ("ffffffff", 6)]
+    got = spark.createDataFrame(at, "u string, want long").withColumn("k", resampling.draws_of(F.col("u"))).collect()
+    assert all(r.k == r.want for r in got)
+    text = io.StringIO()
+    with redirect_stdout(text):
+        resampling.bootstrap(spark.range(9).withColumn("v", F.lit(1.0)), "v", ["id"], 5, 0.05, 0.95).explain()
+    assert "filter(" not in text.getvalue() and "conv(" not in text.getvalue()
+
+
 def test_bootstrap_of_equal_values_has_no_width(spark):
     df = spark.createDataFrame([(i, i % 3, 2.0) for i in range(60)] + [(99, 0, None)], "c int, g int, v double")
     assert tuple(resampling.bootstrap(df, "v", ["c"], 20, 0.05, 0.95, ["g"]).first()) == (20, 2.0, 2.0, 2.0)
