@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import prices as P
-from tidemark.operators import evaluation, fits, folds, priors, resampling, walkforward
+from tidemark.operators import evaluation, fits, folds, pricing, priors, resampling, walkforward
 from tidemark.operators.ranks import running_totals
 
 
@@ -119,6 +119,31 @@ def test_bootstrap_draws_are_compared_in_compiled_code(spark):
     assert "filter(" not in text.getvalue() and "conv(" not in text.getvalue()
 
 
+def test_ladder_fits_one_compiled_method_and_is_dealt_out(spark):
+    """Methods over 8000 bytes are interpreted; a rung's prices are those of the regions, row by row."""
+    import io
+    import re
+    from contextlib import redirect_stdout
+
+    from tidemark.functions.prices import three_regions
+
+    df = spark.createDataFrame([(i, m, line) for i, (m, line) in enumerate([(0.0, 3.0), (-7.5, 2.5), (24.0, -3.0), (-24.0, 0.25), (None, 1.0), (3.0, None)])], "id int, m double, line double")
+    got = pricing.ladder(df, ["id"], "m", "line", 12.75, steps=2)
+    want = dict(zip(("w", "p", "l"), three_regions(F.col("m") + F.col("rung"), 12.75, F.col("rung"))))
+    both = got.join(df, "id").withColumns(want)
+    assert both.count() == 30 and both.where("abs(win - w) > 1e-15 OR abs(push - p) > 1e-15 OR abs(loss - l) > 1e-15 OR (win IS NULL) <> (w IS NULL)").count() == 0
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = io.StringIO()
+        with redirect_stdout(text):
+            pricing.ladder(df, ["id"], "m", "line", 12.75).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text.getvalue())]
+    assert len(sizes) == 2 and max(sizes) < 8000  # a stage on either side of the shuffle
+
+
 def test_bootstrap_of_equal_values_has_no_width(spark):
     df = spark.createDataFrame([(i, i % 3, 2.0) for i in range(60)] + [(99, 0, None)], "c int, g int, v double")
     assert tuple(resampling.bootstrap(df, "v", ["c"], 20, 0.05, 0.95, ["g"]).first()) == (20, 2.0, 2.0, 2.0)

@@ -48,13 +48,22 @@ def decision(edge: Column, fresh: Column, least_edge: float) -> Column:
     return F.when(edge.isNull() | ~F.coalesce(fresh, F.lit(False)), "ABSTAIN").when(edge >= least_edge, "BET").otherwise("NO_BET")
 
 
+def regions(df: DataFrame, edge: Column, sd: float, line: str) -> DataFrame:
+    """df with win, push and loss as three_regions gives them, from two points of the curve that a row has once."""
+    whole = F.abs(F.col(line) - F.round(line)) <= 1e-8
+    z = df.withColumns({"_whole": whole, "_edge": edge})
+    z = z.withColumns({"_up": F.when(F.col("_whole"), (0.5 - F.col("_edge")) / sd).otherwise(F.col("_edge") / sd), "_down": (-0.5 - F.col("_edge")) / sd})
+    p = z.withColumns({"_above": normal_cdf("_up"), "_below": normal_cdf("_down")})
+    a, b = F.col("_above"), F.col("_below")
+    out = {"win": F.when(F.col("_whole"), 1 - a).otherwise(a), "push": F.when(F.col("_whole"), a - b).otherwise(0.0), "loss": F.when(F.col("_whole"), b).otherwise(1 - a)}
+    return p.withColumns(out).drop("_whole", "_edge", "_up", "_down", "_above", "_below")
+
+
 def ladder(df: DataFrame, key: list[str], mean: str, line: str, sd: float, steps: int = 14, step: float = 1.0, hold: float = 0.045) -> DataFrame:
     """Rungs around a line: rung, win, push, loss and the price offered under a hold (null where a win is rarer than 1%)."""
-    g = df.select(*key, F.col(mean).alias("_m"), F.col(line).alias("_l"), F.explode(F.sequence(F.lit(-steps), F.lit(steps))).alias("_k"))
-    g = g.select(*key, "_m", (F.col("_l") + F.col("_k") * step).alias("rung"))
-    win, push, loss = three_regions(F.col("_m") + F.col("rung"), sd, F.col("rung"))
-    g = g.withColumns({"win": win, "push": push, "loss": loss})
-    return g.withColumn("offered", F.when(F.col("win") > 0.01, offered_decimal(F.col("win"), F.col("loss"), hold))).drop("_m")
+    g = df.select(*key, F.col(mean).alias("_m"), F.col(line).alias("_l")).repartition(*key)  # a small file is one task, and each row becomes many
+    g = g.withColumn("_k", F.explode(F.sequence(F.lit(-steps), F.lit(steps)))).select(*key, "_m", (F.col("_l") + F.col("_k") * step).alias("rung"))
+    return regions(g, F.col("_m") + F.col("rung"), sd, "rung").withColumn("offered", F.when(F.col("win") > 0.01, offered_decimal(F.col("win"), F.col("loss"), hold))).drop("_m")
 
 
 def covers(grid: DataFrame, key: list[str], margin: str, p: str, line: Column) -> DataFrame:
