@@ -2,7 +2,9 @@
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +36,67 @@ def folders(spark, tmp_path):
     return arrivals, write, {n: str(tmp_path / n) for n in ("in", "out", "state")}
 
 
+class Kept:
+    """Spark's state and timers for one key, in dicts."""
+
+    def __init__(self):
+        self.values, self.timers = {}, set()
+        self.largest = 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        box = SimpleNamespace(exists=lambda: name in self.values, get=lambda: self.values[name], update=lambda v: self.values.__setitem__(name, v))
+        return box
+
+    def getMapState(self, name, key, schema):  # noqa: N802
+        at = self.values.setdefault(name, {})
+
+        def put(k, v):
+            self.largest = max(self.largest, len(v[0]))
+            at[k] = v
+
+        return SimpleNamespace(keys=lambda: iter(list(at)), getValue=lambda k: at[k], removeKey=lambda k: at.pop(k), updateValue=put)
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def registerTimer(self, t):  # noqa: N802
+        self.timers.add(t)
+
+    def deleteTimer(self, t):  # noqa: N802
+        self.timers.discard(t)
+
+
+def test_a_hot_key_waits_in_chunks(monkeypatch):
+    """Runs and chunks of a few rows give the order of all rows, and no value or output grows with the key."""
+    monkeypatch.setattr(stateful, "_RUN", 50)
+    monkeypatch.setattr(stateful, "_CHUNK", 8)
+    r, kept = random.Random(4), Kept()
+    rows = [(r.randrange(400) * 1000, i // 2, r.choice([0.5, -0.5, 1.2])) for i in range(700)]
+    p = stateful.DriftProcessor(0.02, 1.5)
+    p.init(kept)
+    out, sizes, seen = [], [], 0
+    for k, mark in ((0, 90), (1, 91), (2, 300), (3, 1000)):
+        part = [x for x in rows[k * 175 : k * 175 + 175] if x[0] >= seen]
+        frame = pd.DataFrame(part, columns=["at", "id", "r"])
+        assert list(p.handleInputRows(("k",), iter([frame[i : i + 20] for i in range(0, len(frame), 20)]), None)) == []
+        assert len(kept.timers) == 1
+        kept.timers.clear()
+        for x in p.handleExpiredTimer(("k",), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark), None):
+            sizes.append(len(x))
+            out += x.values.tolist()
+        seen = mark * 1000
+    want, up, down, low = [], 0.0, 0.0, 0
+    for k, mark in ((0, 90), (1, 91), (2, 300), (3, 1000)):
+        want += [(*x, k) for x in rows[k * 175 : k * 175 + 175] if x[0] >= low]
+        low = mark * 1000
+    for n, (_, i, d, _) in enumerate(sorted(want), 1):
+        up, down, hit = stateful._moved(up, down, d, 0.02, 1.5)
+        assert out[n - 1] == ["k", i, up, down, hit, n]
+        up, down = (0.0, 0.0) if hit else (up, down)
+    assert len(out) == len(want) and kept.largest <= 8 * 24 and not kept.values["chunks"] and not kept.timers
+    assert max(sizes) < 250
+
+
 def test_drift_goes_on_after_a_restart(spark, folders):
     arrivals, write, at = folders
     for k in range(4):  # each arrival is a query of its own: it ends, and the next goes on from the checkpoint
