@@ -49,6 +49,24 @@ def test_last_quote_of_each_source(tables):
         assert got[k].lag_minutes is None or got[k].lag_minutes >= 0
 
 
+def test_quotes_are_shuffled_once(spark, tables):
+    """Quotes and games meet by game, and only sums of the consensus may move after that."""
+    import io
+    from contextlib import redirect_stdout
+
+    _, _, g, q = tables
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        met = cutoffs.quotes_at(g, q, CUTS, game="game", start="start", source="book", taken="taken", columns=["line", "own", "other"], ties=["line", "own", "other"])
+        text = io.StringIO()
+        with redirect_stdout(text):
+            cutoffs.consensus_at(met, game="game", line="line", own="own", other="other", most_lag=600.0, least_sources=2).explain()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert text.getvalue().count("Exchange") <= 3
+
+
 def test_refusals_and_movement(tables):
     games, quotes, g, q = tables
     met = cutoffs.quotes_at(g, q, CUTS, game="game", start="start", source="book", taken="taken", columns=["line", "own", "other"], ties=["line", "own", "other"])

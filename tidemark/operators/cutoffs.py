@@ -7,20 +7,24 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.prefix import DAY, last_before
 
-
-def quotes_at(games: DataFrame, quotes: DataFrame, cutoffs: Mapping[str, float], *, game: str, start: str, source: str, taken: str, columns: Sequence[str], ties: Sequence[str] = (), width: float = DAY) -> DataFrame:
+def quotes_at(games: DataFrame, quotes: DataFrame, cutoffs: Mapping[str, float], *, game: str, start: str, source: str, taken: str, columns: Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
     """One row per game, cut-off and source that ever quoted it: the source's last quote taken at or before the cut-off.
 
     cutoffs: names and minutes before the start. Adds cutoff, taken_at, lag_minutes (never below 0) and the columns;
-    nulls where the source had none yet. All cut-offs are read in one pass over the quotes.
+    nulls where the source had none yet. Every quote is shuffled once, by its game, and all cut-offs are read in one
+    pass: what goes on is one row per game and source.
     """
-    seats = quotes.select(game, source).dropna().distinct().join(games.select(game, F.col(start).alias("_start")), game)
-    names = F.array(*[F.struct(F.lit(n).alias("cutoff"), F.lit(int(m * 60_000_000)).alias("before")) for n, m in cutoffs.items()])
-    seats = seats.select(game, source, "_start", F.explode(names).alias("c")).select(game, source, "c.cutoff", F.timestamp_micros(F.unix_micros(F.col("_start").cast("timestamp")) - F.col("c.before")).alias("cutoff_at"))
-    met = last_before(seats, quotes.where(F.col(source).isNotNull()), [game, source], "cutoff_at", taken, {"taken_at": taken, **{c: c for c in columns}}, ties=ties, width=width)
-    lag = (F.unix_micros("cutoff_at") - F.unix_micros(F.col("taken_at").cast("timestamp"))) / 60_000_000
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    q = quotes.select(game, source, F.col(taken).alias("_taken"), *[F.col(c).alias(f"_c_{c}") for c in columns], *[F.col(c).alias(f"_r_{c}") for c in ties if c not in columns]).dropna(subset=[game, source])
+    tie = [F.col(f"_c_{c}" if c in columns else f"_r_{c}") for c in ties]
+    met = q.join(games.select(game, micros(start).alias("_start")).hint("shuffle_hash"), game).withColumn("_at", micros("_taken"))
+    value = F.struct(F.col("_taken").alias("taken_at"), *[F.col(f"_c_{c}").alias(c) for c in columns])
+    last = [F.max_by(value, F.when(F.col("_at") <= F.col("_start") - int(m * 60_000_000), F.struct("_at", *tie))).alias(f"_v{i}") for i, m in enumerate(cutoffs.values())]
+    met = met.groupBy(game, source, "_start").agg(*last)
+    cells = F.array(*[F.struct(F.lit(n).alias("cutoff"), F.timestamp_micros(F.col("_start") - int(m * 60_000_000)).alias("cutoff_at"), F.col(f"_v{i}").alias("v")) for i, (n, m) in enumerate(cutoffs.items())])
+    met = met.select(game, source, F.explode(cells).alias("c")).select(game, source, "c.cutoff", "c.cutoff_at", "c.v.*")
+    lag = (F.unix_micros("cutoff_at") - micros("taken_at")) / 60_000_000
     return met.withColumn("lag_minutes", lag)
 
 

@@ -38,7 +38,7 @@ def odds_at_cutoff(spark, sf):
         F.col("l_orderkey").alias("o_orderkey"), (F.col("l_suppkey") % 5).alias("book"), F.expr("l_shipdate + make_dt_interval(0, l_linenumber)").alias("taken"),
         F.col("l_quantity").alias("line"), (0.45 + F.col("l_discount")).alias("own"), (0.5 + F.col("l_tax")).alias("other"),
     )
-    met = cutoffs.quotes_at(games, quotes, _CUTS, game="o_orderkey", start="start", source="book", taken="taken", columns=["line", "own", "other"], ties=["line", "own", "other"], width=30 * cutoffs.DAY)
+    met = cutoffs.quotes_at(games, quotes, _CUTS, game="o_orderkey", start="start", source="book", taken="taken", columns=["line", "own", "other"], ties=["line", "own", "other"])
     rows = cutoffs.consensus_at(met, game="o_orderkey", line="line", own="own", other="other", most_lag=30_000, least_sources=2)
     moved = cutoffs.movements(rows, games, game="o_orderkey", closing="t10", openings=["open_50d", "open_30d", "open_12d"])
     base = read(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
