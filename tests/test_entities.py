@@ -111,3 +111,23 @@ def test_no_history(spark):
     wanted = spark.createDataFrame([("player", "a", 2020, START)], "kind string, entity string, season int, day date")
     got = entities.priors_before(entities.long_history(games, METRICS, ["player", "team"], "day", "season", ["day", "game"]), wanted, METRICS, FADING).collect()
     assert {(r.metric, r.mean, r.sd, r.effective) for r in got} == {("epa", 0.04, 0.25, 0.0), ("rate", 0.6, 0.08, 0.0)}
+
+
+def test_states_are_read_once_a_day(spark, monkeypatch):
+    """An entity with many games a day has one state a day; the ledger meets entities and groups in one pass."""
+    from datetime import date, timedelta
+
+    games = spark.createDataFrame([(i, "p1", "t1", date(2024, 1, 1) + timedelta(days=i // 40), 2024, 0.1 * (i % 7), 3.0) for i in range(200)], "game long, player string, team string, day date, season int, a double, n double")
+    metric = [entities.Metric("a", "n", 0.3, 0.3)]
+    history = entities.long_history(games, metric, ["player", "team"], "day", "season", ["day", "game"])
+    wanted = spark.createDataFrame([("player", "p1", 2024, date(2024, 1, 1) + timedelta(days=d)) for d in range(6)], "kind string, entity string, season int, day date")
+    seen, read = [], entities._read
+
+    def counted(points, *args):
+        seen.append(points.count())
+        return read(points, *args)
+
+    monkeypatch.setattr(entities, "_read", counted)
+    got = entities.priors_before(history, wanted, metric, entities.Fading(60.0, 150.0, 2, 0.6)).orderBy("day").collect()
+    assert len(got) == 6 and [r.effective > 0 for r in got] == [False, True, True, True, True, True]
+    assert len(seen) == 1 and seen[0] <= 5 + 2 * (5 + 1)  # five known states; two entities' days and their next season

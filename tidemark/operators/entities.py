@@ -91,11 +91,17 @@ def _ledger(history: DataFrame, f: Fading) -> DataFrame:
     return staged(rows.unionByName(firsts.where("n = 1").select(*_KEY, *null, F.lit(0.0).alias("x"), start.alias("pack"))), "ledger")
 
 
-def _read(points: DataFrame, ledger: DataFrame, f: Fading) -> DataFrame:
+def _day_ends(ledger: DataFrame) -> DataFrame:
+    """Every entity's last game of a day: x and pack. Snapshots are of days, so nothing else is read as a state."""
+    games = ledger.where("season IS NOT NULL")
+    return staged(games.groupBy(*_KEY, "season", "day").agg(F.max("x").alias("x"), F.max_by("pack", "x").alias("pack")), "day-ends")
+
+
+def _read(points: DataFrame, ledger: DataFrame, days: DataFrame, f: Fading) -> DataFrame:
     """points (metric, kind, entity, season, pack: the last game that is known) with w, wv, wvv of the games that count in that season."""
     points = staged(points.withColumn("_floor", F.col("pack.x") - f.cap).withColumn("_old", F.col("season") - f.seasons), "points")
     p = staged(last_before(points, ledger, _KEY, "_floor", "x", {"_capped": "pack"}, width=f.cap), "capped")
-    closing = ledger.where("season IS NOT NULL").groupBy(*_KEY, "season").agg(F.max_by("pack", "x").alias("pack"))
+    closing = days.groupBy(*_KEY, "season").agg(F.max_by("pack", "x").alias("pack"))
     p = last_before(p, closing, _KEY, "_old", "season", {"_aged": "pack"}, width=16)
     p = p.withColumn("_j", F.when(F.coalesce(F.col("_aged.x") > F.col("_capped.x"), F.col("_capped").isNull()), F.col("_aged")).otherwise(F.col("_capped")))
     half = lambda gap: F.pow(F.lit(2.0), -gap / f.half_life)
@@ -111,18 +117,21 @@ def _read(points: DataFrame, ledger: DataFrame, f: Fading) -> DataFrame:
     return p.withColumns(out).drop("_floor", "_old", "_capped", "_aged", "_j")
 
 
-def _group_sums(ledger: DataFrame, snapshots: DataFrame, f: Fading) -> DataFrame:
-    """metric, kind, season, day and the sums over all entities as known before each snapshot (season, day)."""
-    games = ledger.where("season IS NOT NULL")
-    last = games.groupBy(*_KEY, "season").agg(F.max_by("pack", "x").alias("pack")).withColumn("season", F.explode(F.sequence(F.col("season") + 1, F.col("season") + f.seasons - 1))) if f.seasons > 1 else None
-    points = games.select(*_KEY, "season", "day", F.lit(1).alias("own"), "pack")
-    if last is not None:  # the state at a season's start: the last game of the latest season before it
+def _group_points(days: DataFrame, f: Fading) -> DataFrame:
+    """The states that _group_sums takes the changes of: every day's end (own 1), and the start of every season (own 0)."""
+    points = days.select(*_KEY, "season", "day", F.lit(1).alias("own"), "pack")
+    if f.seasons > 1:  # the state at a season's start: the last game of the latest season before it
+        last = days.groupBy(*_KEY, "season").agg(F.max_by("pack", "x").alias("pack")).withColumn("season", F.explode(F.sequence(F.col("season") + 1, F.col("season") + f.seasons - 1)))
         last = last.groupBy(*_KEY, "season").agg(F.max_by("pack", "pack.x").alias("pack"))
         points = points.unionByName(last.select(*_KEY, "season", F.lit(None).cast(points.schema["day"].dataType).alias("day"), F.lit(0).alias("own"), "pack"))
-    r = _read(points, ledger, f)
+    return points
+
+
+def _group_sums(r: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """metric, kind, season, day and the sums over all entities as known before each snapshot (season, day), from _read's rows of _group_points."""
     w = Window.partitionBy(*_KEY, "season").orderBy("own", "pack.x")
     r = r.withColumns({f"d_{c}": F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0.0)) for c in _SUMS})
-    early = F.lit("0001-01-02").cast(points.schema["day"].dataType)
+    early = F.lit("0001-01-02").cast(r.schema["day"].dataType)
     by = r.groupBy("metric", "kind", "season", F.coalesce("day", early).alias("day")).agg(*[F.sum(f"d_{c}").alias(c) for c in _SUMS])
     by = staged(running(staged(by, "changes"), ["metric", "kind", "season"], ["day"], _SUMS, F.lit(0), inclusive=True), "totals")  # a row per day of a season
     grid = snapshots.select("season", "day").distinct().join(by.select("metric", "kind", "season").distinct(), "season")
@@ -161,11 +170,12 @@ def priors_before(history: DataFrame, wanted: DataFrame, metrics: Sequence[Metri
     days = staged(rows.select("season", "day").distinct(), "snapshots")
     league = _league(history, days, league_kind or "player", metrics, f)
     each = rows.withColumn("metric", F.explode(F.array(*[F.lit(m.name) for m in metrics])))
-    games = ledger.where("day IS NOT NULL")
-    known = staged(last_before(each, games, _KEY, "day", "day", {"pack": "pack"}, strict=True, ties=["at"], width=90 * DAY), "known")
-    read = _read(known.where("pack IS NOT NULL"), ledger, f)
-    rows = read.unionByName(known.where("pack IS NULL").withColumns({c: F.lit(0.0) for c in _SUMS}))
-    j = rows.join(_group_sums(ledger, days, f), ["metric", "kind", "season", "day"], "left").join(league, ["metric", "season", "day"], "left")
+    ends = _day_ends(ledger)
+    known = staged(last_before(each, ends, _KEY, "day", "day", {"pack": "pack"}, strict=True, ties=["x"], width=90 * DAY), "known")
+    points = known.where("pack IS NOT NULL").withColumn("own", F.lit(2)).unionByName(_group_points(ends, f))
+    read = staged(_read(points, ledger, ends, f), "read")  # one pass over the ledger for entities and groups
+    rows = read.where("own = 2").drop("own").unionByName(known.where("pack IS NULL").withColumns({c: F.lit(0.0) for c in _SUMS}))
+    j = rows.join(_group_sums(read.where("own < 2"), days), ["metric", "kind", "season", "day"], "left").join(league, ["metric", "season", "day"], "left")
     least = _of(metrics, "least_sd")
     some = (F.col("w") > 0) & (F.col("g_w") > 0)
     share = F.when(some, F.col("w") / (F.col("w") + _of(metrics, "strength"))).otherwise(0.0)
