@@ -121,3 +121,21 @@ def test_elo_before_games_reads_all_events(spark):
     got = {r.event_id: (r.winner_before, r.loser_before) for r in QUERIES["elo_before_games"](spark, sf).collect()}
     assert len(want) > 900 and got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
+
+
+def test_a_season_is_spread_over_its_days(spark, monkeypatch):
+    """A league's and a side's running sums are cut by day of the season, so that no task holds a whole season."""
+    rows = [(i, 0, 2024, i // 5, i % 4, (i + 1) % 4, 20 + i % 7, 17 + i % 5) for i in range(50)]
+    df = spark.createDataFrame(rows, "game long, league int, season int, game_index int, home int, away int, home_score int, away_score int")
+    seen, run = [], pregame.running
+
+    def counted(d, key, order, amounts, stretch, *args):
+        seen.append((list(key), d.groupBy(*key, stretch.alias("_s")).count().groupBy().max("count").first()[0]))
+        return run(d, key, order, amounts, stretch, *args)
+
+    monkeypatch.setattr(pregame, "running", counted)
+    got = {r.game: r for r in pregame.pregame_states(df, ["league"]).collect()}
+    most = {tuple(k): n for k, n in seen}
+    assert most["league",] == 5 and most["league", "side"] <= 5
+    for g in (5, 23, 49):
+        assert got[g].league_home == pytest.approx(sum(x[6] for x in rows[:g]) / g)

@@ -56,7 +56,7 @@ def side_states(games: DataFrame, league: Sequence[str], alpha: float = 0.18, po
         rows = rows.withColumns({f"{v}_n": at.cast("int"), f"{v}_pf": F.when(at, F.col("pf")), f"{v}_pa": F.when(at, F.col("pa"))})
     amounts = [f"{v}_{c}" for v in ("home", "away") for c in ("n", "pf", "pa")]
     order = ["season", "game_index", "game", "venue"]
-    rows = staged(running(rows, key, order, amounts, F.col("season")), "side-sums")
+    rows = staged(running(rows, key, order, amounts, F.struct(*order[:2])), "side-sums")
     step = -log2(1 - alpha)
     n = F.col("before_home_n") + F.col("before_away_n")
     own = F.col("pf").isNotNull().cast("int")
@@ -80,7 +80,7 @@ def pregame_states(games: DataFrame, league: Sequence[str] = (), alpha: float =
     wide = s.groupBy("game").agg(*[F.max(F.when(F.col("venue") == v, F.struct(*fields))).alias(v) for v in ("home", "away")])
     ran = g.select("game", *league, *order[:2], F.least("home", "away").alias("_a"), F.greatest("home", "away").alias("_b"), _played().cast("int").alias("n"), F.when(_played(), F.col("home_score")).cast("double").alias("h"), F.when(_played(), F.col("away_score")).cast("double").alias("w"))
     ran = ran.withColumn("t", F.col("h") + F.col("w"))
-    whole = running(ran, league, order, ["n", "h", "w"], F.col("season")).select("game", *[F.col(f"before_{c}").alias(c) for c in ("n", "h", "w")])
+    whole = running(ran, league, order, ["n", "h", "w"], F.struct(*order[:2])).select("game", *[F.col(f"before_{c}").alias(c) for c in ("n", "h", "w")])
     met = running(ran, [*league, "_a", "_b"], order, ["n", "t"], F.col("season")).select("game", F.col("before_n").alias("m"), F.col("before_t").alias("mt"))
     j = g.select("game").join(wide, "game").join(staged(whole, "league"), "game").join(staged(met, "meetings"), "game")
     home, away = F.when(F.col("n") > 0, F.col("h") / F.col("n")).otherwise(22.0), F.when(F.col("n") > 0, F.col("w") / F.col("n")).otherwise(20.5)
