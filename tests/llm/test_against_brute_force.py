@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemark.llm import decontaminate, media_chunks, ngram_join, packing, suffix_dedup, token_blocks, toxicity
+from tidemark.llm import decontaminate, media_chunks, ngram_join, packing, queries, suffix_dedup, token_blocks, toxicity
 from tidemark.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -102,6 +102,41 @@ def test_repeated_runs_of_words_are_removed(spark, seed, span, most):
     assert all(r.n_chars == 7 or r.n_chars == len(r.text) for r in got)
 
 
+def repeated_words(rows, span):
+    """How many words of each text lie in runs of `span` words that start anywhere else, too."""
+    words = [re.findall(r"[0-9A-Za-z_\u0080-\U0010ffff]+", (t or "").lower()) for _, t in rows]
+    seen = Counter(tuple(w[p : p + span]) for w in words for p in range(len(w) - span + 1))
+    return [len({k for p in range(len(w) - span + 1) if seen[tuple(w[p : p + span])] > 1 for k in range(p, p + span)}) for w in words]
+
+
+@pytest.mark.parametrize("most", [20_000, 2])
+def test_passages_of_over_50_words_are_counted_whatever_their_bytes(spark, most):
+    rnd = random.Random(5)
+    fresh = lambda n: [f"{rnd.choice('abcdefgh')}{rnd.randrange(9999)}" for _ in range(n)]
+    rows = []
+    for i, n in enumerate([49, 50, 51, 55, 60, 51, 119]):
+        passage = fresh(n)  # up to 60 words have less than 400 bytes
+        rows += [(10 * i + j, " ".join(fresh(rnd.randrange(80)) + passage + fresh(rnd.randrange(80)))) for j in range(2 + i % 2)]
+        rows.append((10 * i + 5, "\n".join(fresh(9) + [w.upper() for w in passage[: 50 + i]]) + "!"))
+    twice = fresh(52)
+    rows += [(100, None), (101, ""), (102, " ".join(fresh(300))), (103, " ".join(twice + fresh(3) + twice)), (104, "x" * 900), (105, "na " * 120), (106, rows[4][1]), (106, rows[4][1]), (106, "other " + rows[8][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.remove_repeats(df, 400, most=most, words=50).collect()
+    assert Counter(tuple(r)[:5] for r in got) == removed(rows, 400)
+    assert Counter((r.doc_id, r.n_repeated_words) for r in got) == Counter((i, n) for (i, _), n in zip(rows, repeated_words(rows, 50)))
+    # passages of 50 words and more in under 400 bytes: no byte string of 400 repeats, yet each document is marked
+    short = [r for r in got if r.doc_id in (10, 11, 12, 20, 21, 30, 31, 32, 40, 41)]
+    assert len(short) == 10 and all(r.n_repeated_words >= 50 for r in short) and any(r.n_removed == 0 for r in short)
+    assert [r.n_repeated_words for r in got if r.doc_id in (0, 1, 100, 101, 102)] == [0] * 5
+
+
+def test_op4_counts_words_of_repeated_runs(spark):
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = queries.op4_suffix_dedup(spark, SF).collect()
+    assert Counter(tuple(r)[:5] for r in got) == removed(rows, 400)
+    assert Counter((r.doc_id, r.n_repeated_words) for r in got) == Counter((i, n) for (i, _), n in zip(rows, repeated_words(rows, 50)))
+
+
 def shingles_of(text):
     w = re.findall(r"[0-9A-Za-z_\u0080-\U0010ffff]+", (text or "").lower())
     return w, {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()

@@ -1,10 +1,10 @@
 """Removal of strings that repeat, from merged shard suffix orders (sparse Burrows-Wheeler transforms).
 
-A full suffix array of the corpus is several times its size, so the transform is sampled. Anchors are the
-minima of hashed 16-byte grams in sliding windows, chosen so that every `span`-byte string holds an anchor that
-depends on the string alone. The first such anchor owns the string. Bytes that all strings of an anchor share
-are the first symbol of its suffix; suffixes whose first symbol occurs once have no long common prefix with any
-other and are set aside by a join, and equal suffixes are counted before any shuffle of their bytes.
+A full suffix array of the corpus is several times its size, so the transform is sampled. A string's anchor is the
+least of its hashed grams (of a third of `span` or less, a power of two), so it depends on the string alone, and
+strings that start one after the other mostly have the same. The gram is the first symbol of the anchor's suffix;
+suffixes whose first symbol occurs once have no long common prefix with any other and are set aside by a join, and
+equal suffixes are counted before any shuffle of their bytes.
 
 Each shard (about a megabyte of documents) sorts its own suffixes and hands them on in that order, each with the
 bytes that precede it (the transform's column). Shards are merged by iterative interleave refinement: the interleave
@@ -36,16 +36,15 @@ UNITS = {"byte": 1, "word": 4}  # bytes that stand for one
 
 
 class Shape:
-    """Lengths that follow from the span: grams of `gram` bytes, windows of `window` grams."""
+    """Lengths that follow from the span: grams of `gram` bytes, `window` of them in a string."""
 
     def __init__(self, span: int):
         if span < 24:
             raise ValueError("span must be at least 24 bytes")
         self.span = span
-        self.gram = 16 if span >= 128 else 4
-        self.window = (span + 3 - self.gram) // 3
-        self.near, self.far = self.window - 1, 2 * self.window - 2  # least and most bytes from a string's start to its anchor
-        self.after = span - self.far  # bytes from the anchor on that all its strings share
+        self.gram = 1 << (span // 3).bit_length() - 1  # all strings of an anchor share it
+        self.window = span - self.gram + 1
+        self.far = self.window - 1  # most bytes from a string's start to its anchor
 
 
 def symbols(column: pa.Array, unit: str) -> tuple[np.ndarray, np.ndarray]:
@@ -76,21 +75,16 @@ def anchors_of(data: np.ndarray, off: np.ndarray, shape: Shape) -> tuple[np.ndar
         size *= 2
     if size < w:
         h = np.minimum(h[: len(h) - (w - size)], h[w - size :])
-    length = np.diff(off)
-    windows = np.maximum(length - (w + k - 1) + 1, 0)
+    starts = np.maximum(np.diff(off) - shape.span + 1, 0)
     mark = np.zeros(n + 1, np.int32)
-    rows = np.flatnonzero(windows)
+    rows = np.flatnonzero(starts)
     np.add.at(mark, off[rows], 1)
-    np.add.at(mark, off[rows] + windows[rows], -1)
-    at = np.int64(0xFFFFFFFF) - (h[np.cumsum(mark)[: len(h)] > 0] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    x = at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
-    row = np.searchsorted(off, x, side="right") - 1
-    lo = off[row].copy()
-    same = row[1:] == row[:-1]
-    lo[1:][same] = np.maximum(lo[1:][same], x[:-1][same] - shape.near + 1)
-    hi = np.minimum(x - shape.near, off[row + 1] - shape.span)
-    own = lo <= hi
-    return row[own], x[own], lo[own], hi[own]
+    np.add.at(mark, off[rows] + starts[rows], -1)
+    s = np.flatnonzero(np.cumsum(mark)[: len(h)])
+    at = np.int64(0xFFFFFFFF) - (h[s] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else none
+    x = at[first]
+    return np.searchsorted(off, x, side="right") - 1, x, s[first], s[np.append(first[1:], len(s)) - 1] if len(s) else none
 
 
 def _anchor_rows(span: int, unit: str):
@@ -100,7 +94,7 @@ def _anchor_rows(span: int, unit: str):
             data, off = symbols(batch.column(1), unit)
             row, x, lo, hi = anchors_of(data, off, shape)
             raw = memoryview(np.ascontiguousarray(data))
-            a, b = (x - shape.near).tolist(), (x + shape.after).tolist()
+            a, b = x.tolist(), (x + shape.gram).tolist()
             key = [xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(a, b)]
             dlo, dhi = x - lo, x - hi
             ctx = [xxhash.xxh3_64_intdigest(raw[i:j], s) for i, j, s in zip(lo.tolist(), (hi + span).tolist(), ((dlo << 20) | dhi).tolist())]
@@ -131,8 +125,8 @@ def _tail_rows(span: int, unit: str):
                 text = data[off[i] : off[i + 1]]
                 for s in found:
                     x = s["x"]
-                    left = text[x - s["dlo"] : x - shape.near][::-1].tobytes()
-                    right = text[x + shape.after : x - s["dhi"] + span].tobytes()
+                    left = text[x - s["dlo"] : x][::-1].tobytes()
+                    right = text[x + shape.gram : x - s["dhi"] + span].tobytes()
                     out.append((s["key"], row, s["n"], s["m"], x, s["dlo"], s["dhi"], left, right))
             if out:
                 out.sort(key=lambda t: (t[0], t[8]))
@@ -196,7 +190,7 @@ def interleave(group: np.ndarray, rows: np.ndarray, length: np.ndarray) -> tuple
 
 
 def repeated(group: np.ndarray, dlo: np.ndarray, dhi: np.ndarray, left: tuple, right: tuple, shape: Shape) -> np.ndarray:
-    """rows x distances: whether the string that starts near + i bytes before the row's anchor is in another row too."""
+    """rows x distances: whether the string that starts i bytes before the row's anchor is in another row too."""
     n = len(group)
     flag = np.zeros((n, shape.window), bool)
     ranks, lcps, best = [], [], []
@@ -210,9 +204,8 @@ def repeated(group: np.ndarray, dlo: np.ndarray, dhi: np.ndarray, left: tuple, r
         lcps.insert(0, lcp)
         best.insert(0, np.maximum(lcp, np.append(lcp[1:], -1))[rank])
     for i in range(shape.window):
-        l = shape.near + i  # noqa: E741
-        r = shape.far - l
-        on = np.flatnonzero((dhi <= l) & (l <= dlo) & (best[0] >= i) & (best[1] >= r))
+        r = shape.far - i
+        on = np.flatnonzero((dhi <= i) & (i <= dlo) & (best[0] >= i) & (best[1] >= r))
         if not len(on):
             continue
         pair = np.cumsum(lcps[0] < i)[ranks[0][on]] * np.int64(n + 1) + np.cumsum(lcps[1] < r)[ranks[1][on]]
@@ -226,7 +219,7 @@ def _span_batch(row: np.ndarray, x: np.ndarray, flag: np.ndarray, shape: Shape)
     edge = np.diff(np.pad(flag, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     r, first = np.nonzero(edge == 1)
     _, past = np.nonzero(edge == -1)
-    return pa.RecordBatch.from_arrays([pa.array(row[r]), pa.array(x[r] - shape.near - past + 1), pa.array(x[r] - shape.near - first + shape.span)], ["row", "s", "e"])
+    return pa.RecordBatch.from_arrays([pa.array(row[r]), pa.array(x[r] - past + 1), pa.array(x[r] - first + shape.span)], ["row", "s", "e"])
 
 
 def _merge_rows(span: int):
@@ -234,7 +227,7 @@ def _merge_rows(span: int):
         shape = Shape(span)
         for t in runs(batches, ["key"], 20_000):
             key, row, n, x, dlo, dhi = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "row", "n", "x", "dlo", "dhi"))
-            left, right = (matrix(t.column(c).combine_chunks(), shape.near) for c in ("left", "right"))
+            left, right = (matrix(t.column(c).combine_chunks(), shape.far) for c in ("left", "right"))
             flag = repeated(np.unique(key, return_inverse=True)[1], dlo, dhi, left, right, shape)
             flag[n > 1] = False  # known without the merge
             yield _span_batch(row, x, flag, shape)
@@ -251,7 +244,7 @@ def _string_rows(span: int):
             out: list[tuple] = []
             for s in batch.to_pylist():
                 for l in range(s["dhi"], s["dlo"] + 1):  # noqa: E741
-                    d = xxhash.xxh3_128_digest(s["left"][: l - shape.near] + b"|" + s["right"][: shape.far - l], l)
+                    d = xxhash.xxh3_128_digest(s["left"][:l] + b"|" + s["right"][: shape.far - l], l)
                     out.append((s["key"], d, s["row"], s["n"], s["x"] - l))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], ["key", "d", "row", "n", "s"])
@@ -260,7 +253,7 @@ def _string_rows(span: int):
 
 
 def repeated_spans(docs: DataFrame, dealt: DataFrame, span: int = 400, most: int = 20_000, unit: str = "byte") -> DataFrame:
-    """(row, s, e) spans of repeated strings, in bytes of symbols; docs: text, row; dealt: the same, dealt out by row.
+    """(row, s, e) spans of repeated strings, in bytes of symbols; docs: text, row; dealt: doc, text, row, dealt out by row.
 
     `most`: rows of one first symbol that a merge task takes; beyond it strings are counted by their 128-bit digests
     in a shuffle, with the same result.
@@ -277,7 +270,8 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, span: int = 400, most: int
     open_ = hot_join(contexts, keys, ["key"], "m", "inner").select("at.row", F.struct("key", "n", "m", "at.x", "at.dlo", "at.dhi").alias("s"))
     by_doc = open_.groupBy("row").agg(F.collect_list("s").alias("found"))
     # rows that are equal in id and text share `row` and come as often; their contexts have n > 1, so it changes nothing
-    tails = dealt.join(by_doc.hint("shuffle_hash"), "row").select("row", "text", "found").mapInArrow(_tail_rows(span, unit), _TAILS)
+    # doc comes along unused: without it Spark would deal out the texts once more, as a narrower table
+    tails = dealt.join(by_doc.hint("shuffle_hash"), "row").select("row", "text", "found", "doc").mapInArrow(_tail_rows(span, unit), _TAILS)
     order = ["key", "shard", "rank"]
     spans = whole.unionByName(tails.where(F.col("m") <= most).repartition(tasks(docs), "key").sortWithinPartitions(*order).mapInArrow(_merge_rows(span), "row long, s long, e long"))
     if keys.where(F.col("m") > most).isEmpty():
@@ -288,8 +282,17 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, span: int = 400, most: int
     return spans.unionByName(hot_join(strings.where("n = 1"), counted, ["key", "d"], "k").select("row", "s", (F.col("s") + span).alias("e")))
 
 
+def _words_in(found: list[dict] | None) -> int:
+    """How many words lie in spans of symbols."""
+    count = end = 0
+    for a, b in sorted((-(-s["s"] // 4), s["e"] // 4) for s in found or ()):
+        count += max(0, b - max(a, end))
+        end = max(end, b)
+    return count
+
+
 def _cut_rows(unit: str, with_text: bool):
-    """Rows of (anything, text, found): what is left of each text."""
+    """Rows of (anything, text, found, further spans of words): what is left of each text."""
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -325,6 +328,9 @@ def _cut_rows(unit: str, with_text: bool):
             if with_text:
                 arrays.append(pa.array(out["kept"], pa.string()))
                 names.append("kept_text")
+            if batch.num_columns > 3:
+                arrays.append(pa.array([_words_in(found) for found in batch.column(3).to_pylist()], pa.int64()))
+                names.append("n_repeated_words")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
@@ -337,16 +343,23 @@ def _word_starts(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     return [np.append(start[a:b] - o, e - o) for a, b, o, e in zip(at[:-1], at[1:], off[:-1], off[1:])]
 
 
-def _cut(docs: DataFrame, doc: Column, span: int, unit: str, most: int, with_text: bool) -> DataFrame:
-    """(doc, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of each row."""
+def _cut(docs: DataFrame, doc: Column, span: int, unit: str, most: int, with_text: bool, words: int | None = None) -> DataFrame:
+    """(doc, n_bytes, n_removed, n_spans, kept_sha256, kept_text, n_repeated_words) of each row."""
     base = docs.select(doc.alias("doc"), F.coalesce("text", F.lit("")).alias("text"), row_key("doc_id", F.coalesce("text", F.lit(""))).alias("row"))
-    dealt = base.repartition(tasks(docs), "row")  # one exchange of the texts serves both joins
-    spans = repeated_spans(base.select("row", "text"), dealt, span, most, unit).groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("found"))
-    schema = T.StructType([base.schema["doc"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), *(T.StructField(n, T.StringType()) for n in ["kept_sha256", "kept_text"][: 1 + with_text])])
-    return dealt.join(spans.hint("shuffle_hash"), "row", "left").select("doc", "text", "found").mapInArrow(_cut_rows(unit, with_text), schema)
-
-
-def remove_repeats(docs: DataFrame, span: int = 400, with_text: bool = False, most: int = 20_000, unit: str = "byte") -> DataFrame:
+    dealt = base.repartition(tasks(docs), "row")  # one exchange of the texts serves all joins
+    spans = repeated_spans(base.select("row", "text"), dealt, span, most, unit).select("row", F.struct("s", "e").alias("cut"))
+    lists = [F.collect_list("cut").alias("found")]
+    if words:
+        again = repeated_spans(base.select("row", "text"), dealt, words, most, "word").select("row", F.struct("s", "e").alias("run"))
+        spans = spans.unionByName(again, allowMissingColumns=True)
+        lists.append(F.collect_list("run").alias("again"))
+    spans = spans.groupBy("row").agg(*lists)
+    schema = [base.schema["doc"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), *(T.StructField(n, T.StringType()) for n in ["kept_sha256", "kept_text"][: 1 + with_text])]
+    schema += [T.StructField("n_repeated_words", T.LongType())] * bool(words)
+    return dealt.join(spans.hint("shuffle_hash"), "row", "left").select("doc", "text", *spans.columns[1:]).mapInArrow(_cut_rows(unit, with_text), T.StructType(schema))
+
+
+def remove_repeats(docs: DataFrame, span: int = 400, with_text: bool = False, most: int = 20_000, unit: str = "byte", words: int | None = None) -> DataFrame:
     """One row per document with what is left once every byte of a repeated string of `span` units is gone.
 
     docs: doc_id, text; other columns are ignored, whatever their names. `unit` is byte or word (see the top; a word
@@ -354,9 +367,10 @@ def remove_repeats(docs: DataFrame, span: int = 400, with_text: bool = False, mo
     cross documents; overlapping matches within one document count. Rows that repeat both id and text are two
     occurrences and lose the same bytes; rows with one id and other texts are handled apart. An empty table gives an
     empty result. `with_text` adds the kept text; a character cut in two is dropped there, while kept_sha256 is over
-    the exact bytes.
+    the exact bytes. `words` adds n_repeated_words, how many of the document's words lie in runs of that many words which
+    also start anywhere else, whatever `span` removes: passages of so many words are often shorter than a span of bytes.
     """
-    return _cut(docs, F.col("doc_id"), span, unit, most, with_text).withColumnRenamed("doc", "doc_id")
+    return _cut(docs, F.col("doc_id"), span, unit, most, with_text, words).withColumnRenamed("doc", "doc_id")
 
 
 def without_repeats(docs: DataFrame, span: int = 50, unit: str = "word", length: str | None = None, most: int = 20_000) -> DataFrame:
